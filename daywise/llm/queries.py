@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daywise.llm.plain_form import disguised_fields
 from daywise.llm.tokenize_corpus import encode_documents
 from daywise.llm.top_n import latest_records
 from daywise.sources.tables import table
@@ -16,11 +17,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_records(table(spark, sf_dir, "record_view"), 3)
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disguised_fields(table(spark, sf_dir, "record_view"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p8_ids)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_found, p8_ids)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
