@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daywise.llm.plain_form import disguised_fields
+from daywise.llm.sentences import sentence_positions
 from daywise.llm.tokenize_corpus import encode_documents
 from daywise.llm.top_n import latest_records
 from daywise.sources.tables import table
@@ -25,7 +26,11 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_found, p8_ids)}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_positions(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_found, p8_ids, p10_found)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
