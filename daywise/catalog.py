@@ -6,8 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from daywise.operators.unify_units import recorded_elsewhere, unify_units
+from daywise.sources.tables import table
+
 FLAGSHIP = "c1_latest_at_or_before"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+def _unit_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return tuple(table(spark, sf_dir, t) for t in ("unified_fixture_submission", "item_unit", "item_alias"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recorded_elsewhere(*_unit_tables(spark, sf_dir))
+
+
+def p2_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unify_units(*_unit_tables(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_common)}
 
 ORACLE: dict[str, str] = {}
