@@ -65,24 +65,24 @@ def readings(text: str) -> tuple[list[float], str, str]:
     return numbers, (m.group("bound") or ""), clean.replace("\x00", "^")[m.end() :].strip()
 
 
-def _unit_texts(rest: str) -> Iterator[str]:
-    """The texts that may be a unit: without marked result flags, then without bare letters that may be flags."""
+def _unit_texts(rest: str, flagged: bool) -> Iterator[str]:
+    """The texts that may be a unit; after a number without marked result flags, then without letters that may be flags."""
     last = ""
-    for flags in (_MARKED, _FLAG):
-        bare = " ".join(flags.sub(" ", rest).split()).strip(",;:()[]（）【】 ")
+    for flags in (_MARKED, _FLAG) if flagged else (None,):
+        bare = " ".join((flags.sub(" ", rest) if flags else rest).split()).strip(",;:()[]（）【】 ")
         if bare and bare != last:
             yield bare
             last = bare
 
 
 @functools.lru_cache(maxsize=100_000)
-def _stated(text: str, codes: tuple[str, ...]) -> str | None:
+def _stated(text: str, codes: tuple[str, ...], flagged: bool) -> str | None:
     """The item's unit a text states, the empty text for a unit of another item, None for no unit."""
-    for t in _unit_texts(text):
+    for t in _unit_texts(text, flagged):
         code = unit_code(t, codes)
         if code:
             return code
-    for t in _unit_texts(text):
+    for t in _unit_texts(text, flagged):
         if any(c.isalpha() or c in "%°″\"" for c in t) and is_unit(t):
             return ""
     return None
@@ -130,7 +130,7 @@ def resolve(item_text: str | None, value: str | None, unit: str | None, names: d
     def fits(x: float, u: str) -> bool:
         return by[u][3] <= common(x, u) <= by[u][4]
 
-    stated = [s for s in (_stated(t, codes) for t in (unit or "", rest, tail) if t) if s]
+    stated = [s for s in (_stated(t, codes, t is rest) for t in (unit or "", rest, tail) if t) if s]
     for s in stated:
         if fits(numbers[0], s):
             return code, numbers[0], bound, s, common(numbers[0], s), "stated"
