@@ -49,3 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(f"{shared_folder(spark)}/{uuid.uuid4().hex}")
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as a table and read back, so that plans know its true size.
+
+    Joins with it broadcast it only where that size is under the session's threshold.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
