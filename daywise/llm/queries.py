@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daywise.llm.consensus import judged_observations
 from daywise.llm.plain_form import disguised_fields
 from daywise.llm.sentences import sentence_positions
 from daywise.llm.tokenize_corpus import encode_documents
@@ -18,6 +19,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest_records(table(spark, sf_dir, "record_view"), 3)
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_observations(table(spark, sf_dir, "review_template"))[0].select("observation_id", "judgment")
+
+
+def p4_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_observations(table(spark, sf_dir, "review_template"))[0]
+
+
+def p4_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_observations(table(spark, sf_dir, "review_template"))[1]
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disguised_fields(table(spark, sf_dir, "record_view"))
 
@@ -30,7 +43,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_positions(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p6_found, p8_ids, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_agreement, p4_reviewers, p6_found, p8_ids, p10_found)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
