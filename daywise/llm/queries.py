@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daywise.llm.consensus import judged_observations
 from daywise.llm.plain_form import disguised_fields
+from daywise.llm.redaction import personal_items, redacted_lines
 from daywise.llm.sentences import sentence_positions
 from daywise.llm.tokenize_corpus import encode_documents
 from daywise.llm.top_n import latest_records
@@ -35,6 +36,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disguised_fields(table(spark, sf_dir, "record_view"))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_items(table(spark, sf_dir, "layout_line")).select("document_token", "line_index", "pii_kind", "occurrence")
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted_lines(table(spark, sf_dir, "layout_line"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
@@ -43,7 +52,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_positions(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_agreement, p4_reviewers, p6_found, p8_ids, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_agreement, p4_reviewers, p6_found, p7_found, p7_redacted, p8_ids, p10_found)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
