@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daywise.llm.consensus import judged_observations
 from daywise.llm.plain_form import disguised_fields
 from daywise.llm.redaction import personal_items, redacted_lines
+from daywise.llm.scan_repair import paragraphs, scan_noise
 from daywise.llm.sentences import sentence_positions
 from daywise.llm.tokenize_corpus import encode_documents
 from daywise.llm.top_n import latest_records
@@ -32,6 +33,14 @@ def p4_reviewers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged_observations(table(spark, sf_dir, "review_template"))[1]
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_noise(table(spark, sf_dir, "layout_line"))
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs(table(spark, sf_dir, "layout_line"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disguised_fields(table(spark, sf_dir, "record_view"))
 
@@ -52,7 +61,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_positions(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_agreement, p4_reviewers, p6_found, p7_found, p7_redacted, p8_ids, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_agreement, p4_reviewers, p5_found, p5_paragraphs, p6_found, p7_found, p7_redacted, p8_ids, p10_found)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""
