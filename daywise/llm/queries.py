@@ -12,6 +12,7 @@ from daywise.llm.plain_form import disguised_fields
 from daywise.llm.redaction import personal_items, redacted_lines
 from daywise.llm.scan_repair import paragraphs, scan_noise
 from daywise.llm.sentences import sentence_positions
+from daywise.llm.source_mix import mix_sources
 from daywise.llm.tokenize_corpus import encode_documents
 from daywise.llm.top_n import latest_records
 from daywise.sources.tables import table
@@ -57,11 +58,19 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_positions(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_agreement, p4_reviewers, p5_found, p5_paragraphs, p6_found, p7_found, p7_redacted, p8_ids, p10_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p3_found, p4_found, p4_agreement, p4_reviewers, p5_found, p5_paragraphs, p6_found, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found)}
 
 ORACLE: dict[str, str] = {
     "p3_found": r"""

@@ -167,3 +167,17 @@ def encode_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
         return pd.Series([join_chunks([(p["chunk"], list(p["ids"]), p["start"], p["n_last"]) for p in row], folder, name) for row in pieces])
 
     return grouped.select("doc_id", joined("pieces").alias("ids"))
+
+
+def token_counts(text: str = "text", *, name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
+    """A column with the number of ids of each whole text; 0 for null and empty texts."""
+
+    @F.pandas_udf(T.LongType())
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = _encoder(folder, name)
+        for batch in batches:
+            codes, distinct = pd.factorize(batch)
+            sizes = [len(x) for x in enc.encode_ordinary_batch(list(distinct), num_threads=1)]
+            yield pd.Series([sizes[c] if c >= 0 else 0 for c in codes], dtype="int64")
+
+    return counted(F.col(f"`{text}`"))
