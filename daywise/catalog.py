@@ -1,4 +1,4 @@
-"""The queries over the driver's tables, and the SQL they are compared with."""
+"""All queries of the core, and the SQL they are compared with."""
 
 from __future__ import annotations
 
@@ -6,33 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daywise.operators.schema_drift import consistent_snapshots, schema_changes
-from daywise.operators.unify_units import recorded_elsewhere, unify_units
-from daywise.sources.tables import table
+from daywise.workload import general, selection
 
 FLAGSHIP = "c1_latest_at_or_before"
+_FAMILIES = (selection, general)
 
-
-def _unit_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(table(spark, sf_dir, t) for t in ("unified_fixture_submission", "item_unit", "item_alias"))
-
-
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return schema_changes(table(spark, sf_dir, "source_snapshot"))
-
-
-def p1_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return consistent_snapshots(table(spark, sf_dir, "source_snapshot"))
-
-
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recorded_elsewhere(*_unit_tables(spark, sf_dir))
-
-
-def p2_common(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unify_units(*_unit_tables(spark, sf_dir))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_snapshots, p2_found, p2_common)}
-
-ORACLE: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in _FAMILIES for k, v in f.QUERIES.items()}
+ORACLE: dict[str, str] = {k: v for f in _FAMILIES for k, v in f.ORACLE.items()}
