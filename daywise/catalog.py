@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daywise.workload import general, selection
+from daywise.workload import general, scoring, selection
 
 FLAGSHIP = "c1_latest_at_or_before"
-_FAMILIES = (selection, general)
+_FAMILIES = (selection, scoring, general)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in _FAMILIES for k, v in f.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for f in _FAMILIES for k, v in f.ORACLE.items()}
