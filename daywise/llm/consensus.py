@@ -12,6 +12,8 @@ from daywise.session import cut, stored
 CLASSES = ("clear", "unclear", "needs_clinician")
 #: Labels in other languages.
 OTHER_WORDS = {"明确": "clear", "看不清": "unclear", "需临床判断": "needs_clinician"}
+#: Labels added to each annotator's rates: to the class a label names, and to each other.
+PRIOR_SAME, PRIOR_OTHER = 2.0, 0.5
 
 
 def label_class(label: Column) -> Column:
@@ -94,12 +96,13 @@ def consensus(labels: DataFrame, classes: Sequence[str] = CLASSES, *, spectral_r
     annotator = Window.partitionBy("annotator")
     for _ in range(rate_rounds):
         held = beliefs(scores)
-        # Rates of each label given each class, with half a label of each kind added.
+        # Rates of each label given each class; a few labels are added, most to the class they name.
         seen = held.groupBy("annotator", "label").agg(*[F.sum(F.col("n") * F.col(f"t{c}")).alias(f"m{c}") for c in range(k)])
         grid = seen.select("annotator").distinct().withColumn("label", F.explode(F.array(*[F.lit(c) for c in range(k)])))
         full = grid.join(seen, ["annotator", "label"], "left").fillna(0.0, [f"m{c}" for c in range(k)])
-        full = full.withColumns({f"a{c}": F.sum(F.col(f"m{c}") + 0.5).over(annotator) for c in range(k)})
-        rates = stored(full.select("annotator", "label", *[F.log((F.col(f"m{c}") + 0.5) / F.col(f"a{c}")).alias(f"r{c}") for c in range(k)], *[f"m{c}" for c in range(k)]))
+        held_in = [F.col(f"m{c}") + F.when(F.col("label") == c, PRIOR_SAME).otherwise(PRIOR_OTHER) for c in range(k)]
+        full = full.withColumns({f"a{c}": F.sum(held_in[c]).over(annotator) for c in range(k)})
+        rates = stored(full.select("annotator", "label", *[F.log(held_in[c] / F.col(f"a{c}")).alias(f"r{c}") for c in range(k)], *[f"m{c}" for c in range(k)]))
         mass = rates.agg(*[F.sum(f"m{c}").alias(f"m{c}") for c in range(k)]).first()
         whole = sum(mass[c] or 0.0 for c in range(k)) or 1.0
         shares = [((mass[c] or 0.0) + 1e-9) / (whole + k * 1e-9) for c in range(k)]
@@ -125,12 +128,12 @@ def review_labels(review_template: DataFrame) -> DataFrame:
     return rows.distinct().select("item", F.coalesce("annotator", F.lit("?")).alias("annotator"), "label")
 
 
-def judged_observations(review_template: DataFrame) -> tuple[DataFrame, DataFrame]:
+def judged_observations(review_template: DataFrame, **rounds: int) -> tuple[DataFrame, DataFrame]:
     """``observation_id, judgment, confidence, agreement, n_labels`` of every observation, and the reviewers.
 
     Observations without any label get the class with the largest share among all items, with null confidence.
     """
-    items, who = consensus(review_labels(review_template))
+    items, who = consensus(review_labels(review_template), **rounds)
     items = stored(items)
     common = items.groupBy("judgment").count().orderBy(F.col("count").desc(), "judgment").first()
     every = review_template.select(F.col("observation_id").alias("item")).filter("item is not null").distinct()

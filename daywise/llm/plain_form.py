@@ -145,20 +145,28 @@ def _best_word(word: str, model: PairModel) -> str:
     options = [doubles.get(b, (b,)) for b, _ in bases]
     best: tuple[float, list[str]] | None = None
     for kind in "LGC":
-        layer: dict[str, tuple[float, list[str]]] = {"^": (0.0, [])}
+        layer = {"^": 0.0}
+        back: list[dict[str, tuple[str, str]]] = []  # of each class the one before it, and its letter
         for (own, _), choice in zip(bases, options):
             fit = [c for c in choice if _script(c) == kind]
-            after: dict[str, tuple[float, list[str]]] = {}
+            after: dict[str, float] = {}
+            came: dict[str, tuple[str, str]] = {}
             for c in fit or [own]:
-                extra = (0.0 if c == own else CHANGED) if fit else FOREIGN
-                k, (s, path) = max(((k, v) for k, v in layer.items()), key=lambda kv: kv[1][0] + model.score(kind, kv[0], _class(c)))
-                s += model.score(kind, k, _class(c)) + extra
-                if _class(c) not in after or s > after[_class(c)][0]:
-                    after[_class(c)] = (s, [*path, c])
+                cls = _class(c)
+                k = max(layer, key=lambda k: layer[k] + model.score(kind, k, cls))
+                s = layer[k] + model.score(kind, k, cls) + ((0.0 if c == own else CHANGED) if fit else FOREIGN)
+                if cls not in after or s > after[cls]:
+                    after[cls], came[cls] = s, (k, c)
             layer = after
-        s, path = max(((v[0] + model.score(kind, k, "$"), v[1]) for k, v in layer.items()), key=lambda v: v[0])
-        if best is None or s > best[0]:
-            best = (s, path)
+            back.append(came)
+        k = max(layer, key=lambda k: layer[k] + model.score(kind, k, "$"))
+        total = layer[k] + model.score(kind, k, "$")
+        if best is None or total > best[0]:
+            path = []
+            for came in reversed(back):
+                k, c = came[k]
+                path.append(c)
+            best = (total, path[::-1])
     return unicodedata.normalize("NFC", "".join(c + m for c, (_, m) in zip(best[1], bases)))
 
 
@@ -227,7 +235,7 @@ def plain_form(df: DataFrame, cols: Sequence[str], *, suffix: str = "_plain", mo
     Method: compatibility normalization and deletion of ignorable characters, then for every word the best path
     through the lattice of look-alike letters, scored by letter pairs of one script that were counted over all
     values. Superscript digits stay. Null stays null; blank or invisible texts become empty; repeated rows stay.
-    Texts that are plain on sight never leave the JVM.
+    Texts that are plain on sight never leave the JVM. A column that has the new one's name gives way to it.
     """
     model = model or letter_pairs(df, cols)
 

@@ -246,9 +246,10 @@ def _latin_names(line: str, before: str, after: str, take) -> None:
             tail, _ = normalise(before[-48:]) if before else ("", None)
             tail = _HYPHEN.sub("", tail) if _HYPHEN.search(tail) else tail + " "
             ahead = " " + after[:24]
-        left, right = tail + line[:a], line[b:] + ahead
-        cued = _LEFT.search(left[-40:]) or _RIGHT.match(right) or _RIGHT.match(right.translate(_MISREAD))
-        cued = cued or (a == 0 and re.match(r" {2,}\S", line[b:])) or (b == len(line.rstrip()) and re.search(r" {2,}$", line[:a]))
+        left = (tail + line[:a])[-48:] if a < 48 else line[a - 48 : a]
+        right = line[b : b + 64] + (ahead if len(line) - b < 64 else "")
+        cued = _LEFT.search(left) or _RIGHT.match(right) or _RIGHT.match(right.translate(_MISREAD))
+        cued = cued or (a == 0 and re.match(r" {2,}\S", right)) or (not line[b : b + 64].strip() and not line[b:].strip() and left.endswith("  "))
         cued = cued or (re.search(r"\b(?:and|und) $", left) and any(y <= a for _, y in spans)) or (_AND_RIGHT.match(right) and _followed_by_name(right))
         if cued:
             spans.append((a, b))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 from collections.abc import Iterator
 
@@ -53,6 +54,7 @@ COMMON = {
 ORDINAL_BEFORE = frozenset("am vom zum der die das den dem des im bis ab seit dieser jeder".split())
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "‘": "’", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉", '"': '"', "＂": "＂"}
 BRACKETS = frozenset("(（[【")
+_MARKS = frozenset("".join(PAIRS) + "".join(PAIRS.values()))
 
 
 @functools.lru_cache(maxsize=1)
@@ -107,23 +109,24 @@ def _language(text: str, lang: str | None) -> str:
 
 
 def _quotes(text: str) -> list[tuple[int, int]]:
-    """Outermost balanced quotations and brackets, as spans of their marks."""
-    out, stack = [], []
+    """Outermost balanced quotations and brackets, as spans of their marks; marks without a double are passed over."""
+    pairs: list[tuple[int, int]] = []
+    stack: list[int] = []
+    inward = "«" in text
     for i, c in enumerate(text):
-        if stack and c in PAIRS[text[stack[-1]]]:
-            a = stack.pop()
-            if not stack:
-                out.append((a, i))
-        elif c in PAIRS:
-            if c == "‘" or c == "»" and not stack and "«" in text:
-                continue
+        if c not in _MARKS:
+            continue
+        # The nearest of the last few open marks that this one closes; those opened since stay without a double.
+        at = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if c in PAIRS[text[stack[k]]]), None)
+        if at is not None:
+            pairs.append((stack[at], i))
+            del stack[at:]
+        elif c in PAIRS and c != "‘" and not (c == "»" and inward):
             stack.append(i)
-    if stack:  # a mark without its double: what stands after it is read without it
-        for i in range(len(out) - 1, -1, -1):
-            if out[i][0] > stack[0]:
-                out.pop(i)
-        a = stack[0] + 1
-        out += [(x + a, y + a) for x, y in _quotes(text[a:])]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(pairs):
+        if not out or a > out[-1][1]:
+            out.append((a, b))
     return out
 
 
@@ -199,12 +202,8 @@ def _run(text: str, lang_said: str | None) -> list[int]:
         nonlocal quotes
         if quotes is None:
             quotes = _quotes(text)
-        for a, b in quotes:
-            if a < i <= b:
-                return a, b
-            if a >= i:
-                break
-        return None
+        k = bisect.bisect_left(quotes, (i,)) - 1
+        return quotes[k] if k >= 0 and i <= quotes[k][1] else None
 
     cuts = []
     for m in p["term"].finditer(text):

@@ -115,8 +115,7 @@ def join_chunks(parts: list[tuple[str, list[int], int, int]], folder: str, name:
         own_at, used = 0, 0  # end of the chunk's own pre-tokens so far, and their number of ids
         done, again = False, []
         for m in find.finditer(joined):
-            # Each pre-token by itself: a cut text would let the white space before the cut match otherwise.
-            again.extend(enc.encode_ordinary(m.group()))
+            again.append(m.group())
             at = m.end() - len(held)
             if at < 0:
                 continue
@@ -131,7 +130,8 @@ def join_chunks(parts: list[tuple[str, list[int], int, int]], folder: str, name:
             # No agreement within the chunk: its whole text is matched again at the next seam.
             held = joined
             continue
-        out.extend(again)
+        for w in again:  # each by itself: a cut text would let the white space before the cut match otherwise
+            out.extend(enc.encode_ordinary(w))
         out.extend(ids[used : len(ids) - n_last])
         held = text[start:]
     return out + enc.encode_ordinary(held)

@@ -10,39 +10,41 @@ from pyspark.sql import functions as F
 from daywise.functions.clock import clock_seconds
 
 
-def top_n_per_group(df: DataFrame, keys: Sequence[str], score: Column, ties: Sequence[Column], n: int, *, bin_width: int, rank_col: str = "rank_no", salts: int = 32) -> DataFrame:
-    """Keep the ``n`` rows of each group with the highest integer ``score``; equal scores rank by ``ties``.
+def top_n_per_group(df: DataFrame, keys: Sequence[str], score: Column, ties: Sequence[str], n: int, *, bin_width: int, rank_col: str = "rank_no", salts: int = 32) -> DataFrame:
+    """Keep the ``n`` rows of each group with the highest integer ``score``; equal scores rank by ``ties`` ascending.
 
     Method: one histogram of scores per group (bins of ``bin_width``), summed map-side and added up from the top,
     gives the lowest bin that is needed for ``n`` survivors. Rows below it are filtered; the survivors are ranked
     exactly, first within ``salts`` slices of each group (so that a group whose highest bin alone holds millions of
     rows is not one task's work), then over the at most ``n * salts`` rows left of each group.
 
-    Rows with a null score take no part. Null keys form a group of their own. Equal rows are ranked apart, in the
-    order of ``ties``; which of two rows with equal ties comes first is open, so ``ties`` must name what tells rows
-    apart. An empty table gives an empty result; groups under ``n`` rows stay whole.
+    Rows with a null score take no part. Null keys form a group of their own; null ties come last. Repeated rows are
+    ranked apart; which of two rows with equal ties comes first is open, so ``ties`` must name what tells rows apart.
+    An empty table gives an empty result; groups under ``n`` rows stay whole. All columns are kept, whatever their
+    names; one called ``rank_col`` gives way to the rank.
     """
     if n < 1 or bin_width < 1:
         raise ValueError("n and bin_width are at least 1")
-    own = [f"__k{i}" for i in range(len(keys))]
-    scored = df.withColumns({a: F.col(f"`{k}`") for a, k in zip(own, keys)} | {"__score": score.cast("long")}).filter("__score is not null")
-    scored = scored.withColumn("__bin", F.floor(F.col("__score") / F.lit(bin_width)))
-    bins = scored.groupBy(*own, "__bin").agg(F.count(F.lit(1)).alias("__rows"))
-    from_top = Window.partitionBy(*own).orderBy(F.col("__bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    quoted = [F.col(f"`{c}`") for c in df.columns if c != rank_col]
+    own, tied = [f"k{i}" for i in range(len(keys))], [f"t{i}" for i in range(len(ties))]
+    named = {a: F.col(f"`{c}`") for a, c in zip([*own, *tied], [*keys, *ties])}
+    scored = df.select(F.struct(*quoted).alias("row"), *[c.alias(a) for a, c in named.items()], score.cast("long").alias("score"), F.xxhash64(score, *quoted).alias("hash")).filter("score is not null")
+    scored = scored.withColumn("bin", F.floor(F.col("score") / F.lit(bin_width)))
+    bins = scored.groupBy(*own, "bin").agg(F.count(F.lit(1)).alias("rows"))
+    from_top = Window.partitionBy(*own).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The last bin that begins before n rows are reached is the threshold.
-    need = bins.withColumn("__above", F.sum("__rows").over(from_top) - F.col("__rows")).filter(F.col("__above") < n).groupBy(*own).agg(F.min("__bin").alias("__least"))
+    need = bins.withColumn("above", F.sum("rows").over(from_top) - F.col("rows")).filter(F.col("above") < n).groupBy(*own).agg(F.min("bin").alias("least"))
     # A hot group meets its threshold in `salts` places, not one.
-    need = need.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    need = need.select(*[F.col(k).alias(f"{k}t") for k in own], F.col("__salt").alias("__st"), "__least")
-    sliced = scored.withColumn("__salt", F.pmod(F.xxhash64("__score", *[F.col(f"`{c}`") for c in df.columns]), F.lit(salts)).cast("int"))
-    on = F.col("__salt") == F.col("__st")
+    need = need.select(*[F.col(k).alias(f"{k}_") for k in own], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt_"), "least")
+    sliced = scored.withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int"))
+    on = F.col("salt") == F.col("salt_")
     for k in own:
-        on = on & F.col(k).eqNullSafe(F.col(f"{k}t"))
-    kept = sliced.join(need, on).filter(F.col("__bin") >= F.col("__least"))
-    order = [F.col("__score").desc(), *ties]
-    for part in ([*own, "__salt"], own):
-        kept = kept.withColumn("__rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(F.col("__rank") <= n)
-    return kept.withColumn(rank_col, F.col("__rank").cast("int")).select(*[F.col(f"`{c}`") for c in df.columns if c != rank_col], rank_col)
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    kept = sliced.join(need, on).filter(F.col("bin") >= F.col("least"))
+    order = [F.col("score").desc(), *[F.col(t).asc_nulls_last() for t in tied]]
+    for part in ([*own, "salt"], own):
+        kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(F.col("rank") <= n)
+    return kept.select("row.*", F.col("rank").cast("int").alias(rank_col))
 
 
 def latest_records(record_view: DataFrame, n: int = 3) -> DataFrame:
@@ -58,5 +60,5 @@ def latest_records(record_view: DataFrame, n: int = 3) -> DataFrame:
     rows = last.select("record_id", "v.case_token", "v.day", "v.second")
     # 86,401 slots a day: slot 0 holds the records without a usable clock.
     score = F.col("day") * 86401 + F.coalesce(F.col("second") + 1, F.lit(0))
-    top = top_n_per_group(rows, ["case_token"], score, [F.col("record_id").asc()], n, bin_width=86401)
+    top = top_n_per_group(rows, ["case_token"], score, ["record_id"], n, bin_width=86401)
     return top.select("case_token", "rank_no", "record_id")
