@@ -152,8 +152,12 @@ def flood(before: Sequence[dict], after: Sequence[dict], content: dict[tuple[str
     return {(k[1], k[2]): v for k, v in score.items() if k[0] == "field"}
 
 
-def correspondences(before: Sequence[dict], after: Sequence[dict], content: dict[tuple[str, str], float], shapes: dict[tuple[str, str], bool]) -> list[tuple[str, str]]:
-    """One-to-one renames: by flooded score from the highest, where content or name bears the pair out."""
+def correspondences(before: Sequence[dict], after: Sequence[dict], content: dict[tuple[str, str], float], shapes: dict[tuple[str, str], bool], constant: dict[tuple[str, str], bool]) -> list[tuple[str, str]]:
+    """One-to-one renames: by flooded score from the highest, where content or name bears the pair out.
+
+    Contents that differ on shared documents speak against a pair, unless both fields say one thing throughout (such
+    a thing changes from file to file) or the names are the same words.
+    """
     flooded = flood(before, after, content)
     kinds = {("b", x["field"]): x["type"] for x in before} | {("a", x["field"]): x["type"] for x in after}
 
@@ -164,7 +168,7 @@ def correspondences(before: Sequence[dict], after: Sequence[dict], content: dict
         same_kind = kinds["b", a] == kinds["a", b]
         if agreed is None:  # nothing both files speak of
             return name >= NAME_FROM and (shapes.get((a, b), False) or not same_kind or kinds["a", b] in ("boolean", "integer", "decimal", "array", "object"))
-        return name >= NAME_FROM and (shapes.get((a, b), False) or name >= 0.8)
+        return name >= 0.8 or name >= NAME_FROM and shapes.get((a, b), False) and constant.get((a, b), False)
 
     out, used_a, used_b = [], set(), set()
     for (a, b), _ in sorted(flooded.items(), key=lambda kv: (-(max(content.get(kv[0], 0.0), 0.0) + name_likeness(*kv[0])) * 0.5 - kv[1], kv[0])):
@@ -283,7 +287,8 @@ def _changes(found: list, links: list) -> list[tuple[str, str, str]]:
         content[x["a"], x["b"]] = 0.5 * share if chance > 0.98 else (share - chance) / (1 - chance)
     shapes = {(a, b): by_a[a]["shape"] is not None and by_a[a]["shape"] == by_b[b]["shape"] for a in by_a for b in by_b}
     out: list[tuple[str, str, str]] = []
-    renamed = correspondences(before, after, content, shapes)
+    constant = {(a, b): min(by_a[a]["chance"] or 0.0, by_b[b]["chance"] or 0.0) > 0.9 for a in by_a for b in by_b}
+    renamed = correspondences(before, after, content, shapes, constant)
     for a, b in renamed:
         out.append(("renamed", b, a))
         if by_a[a]["type"] and by_b[b]["type"] and by_a[a]["type"] != by_b[b]["type"]:
@@ -293,8 +298,8 @@ def _changes(found: list, links: list) -> list[tuple[str, str, str]]:
     return out
 
 
-def field_groups(changes: DataFrame, fields: DataFrame) -> dict[str, str]:
-    """For each field name of any file the one name its column has: the most frequent of the names renamed into it.
+def field_groups(changes: DataFrame, fields: DataFrame, known: Sequence[str] = ()) -> dict[str, str]:
+    """For each field name of any file the one name its column has: a known one, else the most frequent of its names.
 
     A rename seen once joins two names only if they are alike. What is collected are names, whose number is checked.
     """
@@ -319,7 +324,7 @@ def field_groups(changes: DataFrame, fields: DataFrame) -> dict[str, str]:
             if a < b and find(a) != find(b) and name_parts(a) == name_parts(b):
                 root[find(b)] = find(a)
     best: dict[str, str] = {}
-    for f in sorted(files, key=lambda f: (-files[f], f)):
+    for f in sorted(files, key=lambda f: (f not in known, -files[f], f)):
         best.setdefault(find(f), f)
     return {f: best[find(f)] for f in files}
 
@@ -343,7 +348,7 @@ def consistent_snapshots(snapshots: DataFrame, *, integers: Sequence[str] = ("pa
     fields and ``readable`` false. Values of any type are cast to the column's; what holds no single whole number
     is null there.
     """
-    names = field_groups(schema_changes(snapshots, key=key), file_fields(snapshots))
+    names = field_groups(schema_changes(snapshots, key=key), file_fields(snapshots), (*versions, *integers, key))
     last = snapshots.groupBy("snapshot_id").agg(F.max(F.struct("landed_at", "feed", "file_seq", "source_file", "payload")).alias("v")).select("snapshot_id", "v.*")
     typed = [*versions, *integers]
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +61,29 @@ def stored(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started.
+
+    Workers on this machine get its folder by their path. Those of a cluster get the package's files, once per
+    application, unless PYTHONPATH already names the folder, which then all machines have.
+    """
+    sc = spark.sparkContext
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    set_already = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if home in set_already or sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    if sc.master.startswith("local["):
+        sc.environment["PYTHONPATH"] = os.pathsep.join(p for p in (home, sc.environment.get("PYTHONPATH", "")) if p)
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        archive = os.path.join(folder, "daywise.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for path in sorted(Path(home, "daywise").rglob("*.py")):
+                z.write(path, path.relative_to(home))
+        sc.addPyFile(archive)
