@@ -53,6 +53,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores: a scan of fewer splits than cores, which only a small table has, is dealt out anew."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as a table and read back, so that plans know its true size.
 
