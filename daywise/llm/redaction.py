@@ -59,7 +59,7 @@ ADDRESS_ZH = re.compile(r"(?:[㐀-鿿]{1,8}?(?:大道|路|街|巷|弄|胡同))\d
 _STREET_EN = re.compile(rf"[a-z] (?:{'|'.join(STREETS_EN.split())})\b")
 _BEFORE_ZH = re.compile(r".*(?:住址|地址|现住|寄送至|送至|寄至|家住|住在|住于|位于|住|至|在)")
 
-_NAME_STRONG = re.compile(rf"(?<![\w.-])(?:{UPPER}, {CAP}|{CAP} [A-Z]\. {CAP}|(?<!\d )(?<!z\. )[A-Z]\. ?{CAP}(?!-))(?![\w])")
+_NAME_STRONG = re.compile(rf"(?<![\w./-])(?:{UPPER}, {CAP}|{CAP} [A-Z]\. {CAP}|(?<!\d )(?<!z\. )[A-Z]\. ?{CAP}(?!-))(?![\w])")
 _NAME_CUED = re.compile(rf"(?<![\w.-])(?:{CAP}, {CAP}|{CAP} {CAP})(?![\w-])")
 _LEFT = re.compile(
     r"(?:Requested by|Patient(?:in)?:|\bName:?|(?:relabelled|signed|checked|countersigned|reviewed) by|Spoke with|(?:to|with|by|from) (?:Dr|Prof)\.|\b(?:Dr|Prof|Mrs?|Ms|Frau|Herrn?)\.?|[Ii]nform|attn\.|[Rr]elative,|attached;|Einsender:?|wurde von|Telefonat mit|\bBitte|Angehöriger?:|Kontakt:|Contact:)\s*$"
@@ -71,8 +71,8 @@ _AND_RIGHT = re.compile(r"\s*(?:and|und) ")
 #: Signs that scanning puts for letters of a cue.
 _MISREAD = str.maketrans("01589@!|", "olsbgail")
 _WORDS = re.compile(r"[^\W\d_]{2,}")
-_HYPHEN = re.compile(r"(?<=\w)[-‐¬]\s*$")
-_PLACE_RIGHT = re.compile(r" (?:Road|Street|Lane|Row|Court|Mews|Avenue|Clinic|Hospital|Infirmary|criterion|index|score|test|sign|scale|Klinik|Kriterium|Index|Zeichen)\b")
+_HYPHEN = re.compile(r"(?<=\w)[-‐¬\xad]\s*$")
+_PLACE_RIGHT = re.compile(r" (?:Road|Street|Lane|Row|Court|Mews|Avenue|Clinic|Hospital|Infirmary|criterion|index|score|test|sign|scale|Klinik|Kriterium|Index|Zeichen)\b|, (?:Station|Ward)\b")
 
 
 def _broken(cue: str) -> str:
@@ -92,7 +92,7 @@ _ZH_NAME = re.compile(
     rf"|(?:{_any('联系 与')})\n?({_HAN}{{2,3}})(?=\n?[，,]\n?{_broken('电话')}|\n?(?:{_any('医师 医生 护士')}))"
     rf"|(?:由\n?|(?<![^。，；、：\n])|(?<=，))({_HAN}{{2,3}})(?=\n?{_broken('复核签字')})"
     rf"|(?<![^。，；、：\n])({_HAN}{{2,3}})(?=\n?于\n?\d{{1,2}}[:：]\d{{2}}\n?来)"
-    rf"|\S {{2,}}({_HAN}{{2,3}})(?=\n|$)"
+    rf"|\S {{2,}}({_HAN}{{2,3}})(?=\n|$| {{2,}})"
 )
 
 
@@ -162,7 +162,8 @@ def _clean(found: str) -> str:
 def detect(text: str, before: str = "", after: str = "") -> list[tuple[int, int, str]]:
     """Items in a line as (start, end, kind), from the left, without overlaps; neighbouring lines lend context.
 
-    Order of precedence: email, identifier, telephone, address, name. What a kind has taken is no part of another.
+    ``before`` and ``after`` may hold several lines where furniture may stand between (the nearest last, or first);
+    each of them is tried as the neighbour. Order of precedence: email, identifier, telephone, address, name. What a kind has taken is no part of another.
     """
     line, at = normalise(text)
     n = len(line)
@@ -201,25 +202,25 @@ def detect(text: str, before: str = "", after: str = "") -> list[tuple[int, int,
             for m in ADDRESS_ZH.finditer(line):
                 cue = _BEFORE_ZH.match(m.group())
                 take(m.start() + (cue.end() if cue else 0), m.end(), "street_address")
-    chinese = any("㐀" <= c <= "鿿" for c in line)
-    if chinese:
-        ahead, _ = normalise(after[:16]) if after else ("", None)
-        tail, _ = normalise(before[-16:]) if before else ("", None)
-        whole = f"{tail}\n{line}\n{ahead}"
-        o = len(tail) + 1
-        for m in _ZH_NAME.finditer(whole):
-            a, b = m.start(m.lastindex) - o, m.end(m.lastindex) - o
-            if a >= 0:
-                take(a, b, "person_name")
+    befores, afters = before.split("\n")[::-1], after.split("\n")
+    if any("㐀" <= c <= "鿿" for c in line):
+        tails, aheads = [normalise(x[-16:])[0] for x in befores], [normalise(x[:16])[0] for x in afters]
+        for tail, ahead in [(t, aheads[0]) for t in tails] + [(tails[0], x) for x in aheads[1:]]:
+            whole = f"{tail}\n{line}\n{ahead}"
+            o = len(tail) + 1
+            for m in _ZH_NAME.finditer(whole):
+                a, b = m.start(m.lastindex) - o, m.end(m.lastindex) - o
+                if a >= 0:
+                    take(a, b, "person_name")
     else:
-        _latin_names(line, before, after, take)
+        _latin_names(line, befores, afters, take, _HYPHEN.search(text) is not None)
     out.sort()
     if at is not None:
         out = [(at[a], at[b - 1] + 1, k) for a, b, k in out]
     return out
 
 
-def _latin_names(line: str, before: str, after: str, take) -> None:
+def _latin_names(line: str, befores: list[str], afters: list[str], take, broken: bool) -> None:
     spans: list[tuple[int, int]] = []
     at = 0
     while (m := _NAME_STRONG.search(line, at)) is not None:
@@ -230,7 +231,7 @@ def _latin_names(line: str, before: str, after: str, take) -> None:
         at = m.end()
         if not any(w in NO_NAME or w.title() in NO_NAME for w in words) and not _PLACE_RIGHT.match(line, at):
             spans.append(m.span())
-    at, tail, ahead = 0, None, ""
+    at, tails, aheads, end = 0, [], [], len(line)
     while (m := _NAME_CUED.search(line, at)) is not None:
         a, b = m.span()
         words = _WORDS.findall(m.group())
@@ -242,14 +243,19 @@ def _latin_names(line: str, before: str, after: str, take) -> None:
             at += 1
         if any(w in NO_NAME for w in words) or any(a < y and b > x for x, y in spans) or _PLACE_RIGHT.match(line, b):
             continue
-        if tail is None:
-            tail, _ = normalise(before[-48:]) if before else ("", None)
-            tail = _HYPHEN.sub("", tail) if _HYPHEN.search(tail) else tail + " "
-            ahead = " " + after[:24]
-        left = (tail + line[:a])[-48:] if a < 48 else line[a - 48 : a]
-        right = line[b : b + 64] + (ahead if len(line) - b < 64 else "")
-        cued = _LEFT.search(left) or _RIGHT.match(right) or _RIGHT.match(right.translate(_MISREAD))
-        cued = cued or (a == 0 and re.match(r" {2,}\S", right)) or (not line[b : b + 64].strip() and not line[b:].strip() and left.endswith("  "))
+        if not tails:
+            for x in befores:
+                joint = "" if _HYPHEN.search(x) else " "
+                tails.append(normalise(_HYPHEN.sub("", x[-48:]))[0] + joint)
+            # An invisible hyphen is gone from the normal form, a visible one is taken off.
+            cut = _HYPHEN.search(line) if broken else None
+            end = cut.start() if cut else len(line)
+            aheads = [("" if broken else " ") + x[:24] for x in afters]
+        left = tails[0] + line[:a] if a < 48 else line[a - 48 : a]
+        right = line[b : min(end, b + 64)] + (aheads[0] if end - b < 64 else "")
+        cued = _LEFT.search(left[-48:]) or a < 48 and any(_LEFT.search((t + line[:a])[-48:]) for t in tails[1:])
+        cued = cued or any(_RIGHT.match(r) or _RIGHT.match(r.translate(_MISREAD)) for r in [right, *[line[b:end] + x for x in aheads[1:] if end - b < 24]])
+        cued = cued or (a == 0 and re.match(r" {2,}\S", right)) or (left.endswith("  ") and (line[b : b + 2] == "  " or not line[b : b + 64].strip() and not line[b:].strip()))
         cued = cued or (re.search(r"\b(?:and|und) $", left) and any(y <= a for _, y in spans)) or (_AND_RIGHT.match(right) and _followed_by_name(right))
         if cued:
             spans.append((a, b))
@@ -296,11 +302,20 @@ def items_of(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Itera
 def lines_in_order(lines: DataFrame) -> DataFrame:
     """Each line once, with the text before and after it in its document.
 
-    Rows with one ``document_token`` and ``line_index`` are one line (of different texts the greatest counts).
+    Rows with one ``document_token`` and ``line_index`` are one line (of different texts the greatest counts). Where
+    a page begins or ends within three lines, head and foot lines may stand between: there ``before`` and ``after``
+    hold the ends of four lines each.
     """
-    one = lines.select("document_token", F.col("line_index").cast("int").alias("line_index"), "text").repartition("document_token").groupBy("document_token", "line_index").agg(F.max("text").alias("text"))
+    page = F.col("page_number").cast("int") if "page_number" in lines.columns else F.lit(0)
+    one = lines.select("document_token", F.col("line_index").cast("int").alias("line_index"), "text", page.alias("page")).repartition("document_token").groupBy("document_token", "line_index").agg(F.max(F.struct("text", "page")).alias("v")).select("document_token", "line_index", "v.text", "v.page")
     order = Window.partitionBy("document_token").orderBy("line_index")
-    return one.withColumns({"before": F.lag("text").over(order), "after": F.lead("text").over(order)})
+    text = F.coalesce("text", F.lit(""))
+    seen = one.withColumns({"tail": F.substring(text, -48, 48), "head": F.substring(text, 1, 24)})
+    turn = lambda f: ~f("page", 3).over(order).eqNullSafe(F.col("page"))
+    far = lambda f, c, ks: F.concat_ws("\n", *[f(c, k).over(order) for k in ks])
+    before = F.when(turn(F.lag), far(F.lag, "tail", (4, 3, 2, 1))).otherwise(F.lag("tail", 1).over(order))
+    after = F.when(turn(F.lead), far(F.lead, "head", (1, 2, 3, 4))).otherwise(F.lead("head", 1).over(order))
+    return seen.withColumns({"before": before, "after": after}).select("document_token", "line_index", "text", "before", "after")
 
 
 def personal_items(lines: DataFrame) -> DataFrame:
@@ -312,7 +327,7 @@ def personal_items(lines: DataFrame) -> DataFrame:
     of the source. Null and empty texts have no items; repeated rows count once.
     """
     marked = lines_in_order(lines).filter(may_hold_items(F.col("text")))
-    items = marked.select("document_token", "line_index", "text", items_of("text", F.substring("before", -48, 48), F.substring("after", 1, 24)).alias("items")).filter(F.size("items") > 0)
+    items = marked.select("document_token", "line_index", "text", items_of("text", "before", "after").alias("items")).filter(F.size("items") > 0)
     each = items.select("document_token", "line_index", "text", "items", F.posexplode("items").alias("i", "item"))
     earlier = F.filter(F.slice("items", F.lit(1), F.col("i") + 1), lambda x: x["kind"] == F.col("item.kind"))
     return each.select("document_token", "line_index", F.col("item.kind").alias("pii_kind"), F.size(earlier).alias("occurrence"), "item.start", "item.end", "text")
@@ -328,4 +343,4 @@ def redacted_lines(lines: DataFrame) -> DataFrame:
             yield pd.Series([None if t is None else redact(t, detect(t, b or "", a or "")) for t, b, a in zip(text, before, after)], dtype=object)
 
     marked = F.when(may_hold_items(F.col("text")), F.col("text"))
-    return lines.select("document_token", "line_index", F.coalesce(written(marked, F.substring("before", -48, 48), F.substring("after", 1, 24)), "text").alias("redacted"))
+    return lines.select("document_token", "line_index", F.coalesce(written(marked, "before", "after"), "text").alias("redacted"))

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from daywise.session import spread
+
 #: Words of the vocabulary have at least this count and at least this share of all words, so there are at most 200,000.
 LEAST_COUNT, LEAST_SHARE = 5, 1 / 200_000
 #: Lines whose like is counted have at least this share of all lines: at most 100,000.
@@ -141,7 +143,7 @@ def learn_language(lines: DataFrame) -> Language:
     pointwise mutual information of words and neighbours, which is what skip-gram with negative sampling factorises,
     brought to 32 dimensions by random signs of the neighbours.
     """
-    counted = lines.select("text").filter("text is not null").mapInPandas(_count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    counted = spread(lines.select("text").filter("text is not null")).mapInPandas(_count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     counted = counted.persist()
     try:
         total = counted.filter("b = ''").agg(F.sum("n")).first()[0] or 0

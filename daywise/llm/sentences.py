@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daywise.session import spread
+
 # Words that take a full stop which does not end a sentence. "num" ones only before a number, "any" ones
 # always, "low" ones unless an upper-case letter, a digit or a letter without case follows.
 ABBREVIATIONS = {
@@ -315,7 +317,7 @@ def sentence_positions(documents: DataFrame, *, id_col: str = "doc_id", text_col
     blank texts give no row; repeated documents give their rows again.
     """
     lang: Column = F.col(f"`{lang_col}`").cast("string") if lang_col in documents.columns else F.lit(None).cast("string")
-    return documents.select(F.col(id_col).alias("doc_id"), F.explode(starts_of(F.col(text_col), lang)).alias("start_pos"))
+    return spread(documents.select(id_col, text_col, *([lang_col] if lang_col in documents.columns else []))).select(F.col(id_col).alias("doc_id"), F.explode(starts_of(F.col(text_col), lang)).alias("start_pos"))
 
 
 def sentences(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

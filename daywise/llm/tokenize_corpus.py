@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from daywise.session import spread
+
 #: The folder of the public vocabulary files, if no parameter names one.
 TOKENIZERS = os.environ.get("DAYWISE_TOKENIZERS", "/opt/tokenizers")
 #: Pre-tokens of the byte-level BPE (fixed value of the public tokenizer).
@@ -148,7 +150,7 @@ def encode_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col:
     """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType
-    parts = docs.mapInPandas(_chunks, T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("chunk", T.StringType())]))
+    parts = spread(docs).mapInPandas(_chunks, T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("chunk", T.StringType())]))
     gathered = parts.withColumn("h", F.xxhash64("chunk")).hint("rebalance", F.col("h"))
 
     @F.pandas_udf("ids array<int>, start int, n_last int")
