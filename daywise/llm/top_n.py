@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from daywise.functions.clock import clock_seconds
 
+#: Groups that may be salted, and the rows from which one of them is.
+HOT_GROUPS, HOT_ROWS = 1000, 10_000
+
 
 def top_n_per_group(df: DataFrame, keys: Sequence[str], score: Column, ties: Sequence[str], n: int, *, bin_width: int, rank_col: str = "rank_no", salts: int = 32) -> DataFrame:
     """Keep the ``n`` rows of each group with the highest integer ``score``; equal scores rank by ``ties`` ascending.
@@ -34,13 +37,22 @@ def top_n_per_group(df: DataFrame, keys: Sequence[str], score: Column, ties: Seq
     from_top = Window.partitionBy(*own).orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The last bin that begins before n rows are reached is the threshold.
     need = bins.withColumn("above", F.sum("rows").over(from_top) - F.col("rows")).filter(F.col("above") < n).groupBy(*own).agg(F.min("bin").alias("least"))
-    # A hot group meets its threshold in `salts` places, not one.
-    need = need.select(*[F.col(k).alias(f"{k}_") for k in own], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt_"), "least")
-    sliced = scored.withColumn("salt", F.pmod("hash", F.lit(salts)).cast("int"))
-    on = F.col("salt") == F.col("salt_")
-    for k in own:
-        on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
-    kept = sliced.join(need, on).filter(F.col("bin") >= F.col("least"))
+    # The largest groups meet their threshold in `salts` places, not one. They are at most HOT_GROUPS, whatever the
+    # data, so they can be broadcast; any other group has less than 1 / HOT_GROUPS of all rows.
+    sizes = bins.groupBy(*own).agg(F.sum("rows").alias("size"))
+    hot = sizes.orderBy(F.col("size").desc()).limit(HOT_GROUPS).filter(F.col("size") >= HOT_ROWS).select(*[F.col(k).alias(f"{k}_") for k in own], F.lit(True).alias("hot"))
+
+    def same_group(right: str) -> Column:
+        on = F.lit(True)
+        for k in own:
+            on = on & F.col(k).eqNullSafe(F.col(f"{k}{right}"))
+        return on
+
+    marked = lambda df: df.join(F.broadcast(hot), same_group("_"), "left").drop(*[f"{k}_" for k in own])
+    many = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    need = marked(need).select(*[F.col(k).alias(f"{k}__") for k in own], F.explode(many).alias("salt__"), "least")
+    sliced = marked(scored).withColumn("salt", F.when(F.col("hot"), F.pmod("hash", F.lit(salts))).otherwise(0).cast("int"))
+    kept = sliced.join(need, same_group("__") & (F.col("salt") == F.col("salt__"))).filter(F.col("bin") >= F.col("least"))
     order = [F.col("score").desc(), *[F.col(t).asc_nulls_last() for t in tied]]
     for part in ([*own, "salt"], own):
         kept = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(F.col("rank") <= n)

@@ -3,12 +3,14 @@ import random
 
 from pyspark.sql import functions as F
 
+from daywise.llm import top_n as module
 from daywise.llm.top_n import latest_records, top_n_per_group
 
 RECORD = "record_id string, case_token string, day_offset int, clock string, precision string, ingested_at timestamp_ntz"
 
 
-def test_against_sorting(spark):
+def test_against_sorting(spark, monkeypatch):
+    monkeypatch.setattr(module, "HOT_ROWS", 300)
     rnd = random.Random(5)
     rows = [(rnd.choice(["hot"] * 8 + ["a", "b", None]), rnd.choice([None, *range(-5, 12)]), f"id{i:04d}", i) for i in range(1500)]
     df = spark.createDataFrame(rows, "g string, s int, id string, rank_no int")
