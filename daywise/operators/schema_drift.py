@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from daywise.session import stored
+
 #: A pair of fields is one renamed field from this content agreement beyond chance, or from this likeness of names.
 CONTENT_FROM, NAME_FROM = 0.5, 0.45
 #: Distinct field names that may reach the driver to be grouped; schemas have names in number of people, not of rows.
@@ -232,14 +234,15 @@ def schema_changes(snapshots: DataFrame, *, key: str = "document_token") -> Data
     row is about: fields of two files agree where they say the same about the same. Rows with a null feed or number
     take no part. An empty table has no changes.
     """
-    fields = file_fields(snapshots)
+    # Schemas are small beside what they were read from; written once, they are not read out of the payloads again.
+    fields = stored(file_fields(snapshots))
     files = fields.select("feed", "file_seq").distinct()
     pairs = files.join(files.select("feed", (F.col("file_seq") + 1).alias("file_seq")), ["feed", "file_seq"])
     now = fields.join(pairs, ["feed", "file_seq"], "left_semi").select("feed", "file_seq", "field", F.col("kind").alias("kind_b"), F.col("members").alias("members_b"), F.lit(True).alias("later"))
     old = fields.withColumn("file_seq", F.col("file_seq") + 1).join(pairs, ["feed", "file_seq"], "left_semi").select("feed", "file_seq", "field", F.col("kind").alias("kind_a"), F.col("members").alias("members_a"), F.lit(True).alias("earlier"))
     both = old.join(now, ["feed", "file_seq", "field"], "full_outer")
     kept = both.filter("earlier and later and kind_a <> kind_b").select("feed", "file_seq", F.lit("type_changed").alias("change_kind"), F.col("field").alias("field_name"), F.lit("").alias("former_name"))
-    loose = both.filter("earlier is null or later is null").select("feed", "file_seq", "field", F.col("later").isNotNull().alias("later"), F.coalesce("kind_a", "kind_b").alias("kind"), F.coalesce("members_a", "members_b").alias("members"))
+    loose = stored(both.filter("earlier is null or later is null").select("feed", "file_seq", "field", F.col("later").isNotNull().alias("later"), F.coalesce("kind_a", "kind_b").alias("kind"), F.coalesce("members_a", "members_b").alias("members")))
 
     # Content is read only where a pair of files both lost and gained names.
     open_pairs = loose.groupBy("feed", "file_seq").agg(F.max("later").alias("x"), F.min("later").alias("y")).filter("x and not y").select("feed", "file_seq")
