@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 
 # Letters of other scripts that stand for Latin ones in disguised identifiers.
-HOMOGLYPHS = str.maketrans("АВЕКМНОРСТУХаеосрхуіјѕԁһкԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιρ", "ABEKMHOPCTYXaeocpxyijsdhkqwABEZHIKMNOPTYXoavip")
+HOMOGLYPHS = str.maketrans("АВЕКМНОРСТУХІЈЅаеосрхуіјѕԁһкԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανιρ", "ABEKMHOPCTYXIJSaeocpxyijsdhkqwABEZHIKMNOPTYXoavip")
 # Spelled digits.
 SPELLED = {w: str(d) for d, ws in enumerate(("zero null oh 零 〇", "one eins ein 一 壹 幺", "two zwei zwo 二 贰", "three drei 三 叁", "four vier 四 肆", "five fünf 五 伍", "six sechs 六 陆", "seven sieben 七 柒", "eight acht 八 捌", "nine neun 九 玖")) for w in ws.split()}
 # Street words.
@@ -111,8 +111,8 @@ def _one(c: str) -> str:
     return " " if out.isspace() else (out.translate(HOMOGLYPHS) if len(out) == 1 else out)
 
 
-#: Of three spelled digits two differ, or one of these appears; a cheap test before the search.
-_GATE = ("ero", "ull", "hree", "our", "ive", "ix", "even", "ight", "ine", "ne", "wo", "ins", "wei", "rei", "ier", "ünf", "echs", "ieben", "cht", "eun", *"零〇一二三四五六七八九")
+#: Each spelled digit holds one of these; a cheap test before the search.
+_GATE = ("ero", "ull", "oh", "hree", "our", "ive", "ix", "even", "ight", "ine", "ne", "wo", "ein", "wei", "rei", "ier", "ünf", "echs", "ieben", "cht", "eun", *(w for w in SPELLED if len(w) == 1))
 _DIGIT_WORD = re.compile("|".join(rf"(?<![^\W\d_]){w}(?![^\W\d_])" if w.isascii() or "ü" in w else w for w in sorted(SPELLED, key=len, reverse=True)), re.IGNORECASE)
 _DIGIT_RUN = re.compile(rf"(?:(?:{_DIGIT_WORD.pattern}|\d)[ .-]?){{6,}}", re.IGNORECASE)
 
@@ -129,7 +129,8 @@ def normalise(text: str) -> tuple[str, list[int] | None]:
         parts = [_one(c) for c in text]
         out = "".join(parts)
         at = None if all(len(p) == 1 for p in parts) else [i for i, p in enumerate(parts) for _ in p]
-    if sum(w in out for w in _GATE) >= 2 and len(_DIGIT_WORD.findall(out)) >= 3:
+    low = out.lower()
+    if sum(map(low.count, _GATE)) >= 3 and len(_DIGIT_WORD.findall(out)) >= 3:
         places = list(range(len(out))) if at is None else at
         fresh: list[str] = []
         where: list[int] = []
@@ -281,13 +282,20 @@ def redact(text: str, items: list[tuple[int, int, str]]) -> str:
 
 
 def may_hold_items(text: Column) -> Column:
-    """False only for lines in which ``detect`` finds nothing: no mark of any kind of item in them."""
-    return text.rlike(
-        r"[@＠]|[\[(][aA][tT][\])]| at .* dot |(?:\d[^\d]{0,3}){6}|[０-９]{4}|号|(?i:zero|null|eight|acht|seven|sieben).*(?i:zero|null|one|two|three|four|five|six|seven|eight|nine)"
-        r"|\d{1,4}[a-z]? [A-ZÄÖÜ]|[a-zß-]{3,}(?:-[SNOWM][a-zü]+)? \d{1,4}"
-        r"|[A-ZÄÖÜ]{2,}, [A-ZÄÖÜ]|[A-ZÄÖÜ]\. ?[A-ZÄÖÜ][a-zäöü]|[A-ZÄÖÜ][a-zäöüß]+,? [A-ZÄÖÜ][a-zäöüß]+"
-        r"|于\d|姓名|医师|医生|护士|收件人|家属|联系|复核|来电|更正由|^[㐀-鿿]{2,3}"
-    )
+    """False only for lines in which ``detect`` finds nothing.
+
+    Every line with a character that ``normalise`` may change (all but printable ASCII and German letters) may hold
+    items, and so may one with a run of spelled digits. The others are their own normal form, in which each kind of
+    item has one of these marks.
+    """
+    spelled = "|".join(sorted((w for w in SPELLED if len(w) > 1), key=len, reverse=True))
+    streets = "|".join(re.escape(s) for s in STREETS_DE.split())
+    first = "".join(sorted({c for w in spelled.split("|") for c in (w[0], w[0].upper())}))
+    names = r"[A-ZÄÖÜ]{2,}, [A-ZÄÖÜ][a-zäöüßé]|[A-ZÄÖÜ]\. ?[A-ZÄÖÜ][a-zäöüßé]|[A-ZÄÖÜ][a-zäöüßé]+,? [A-ZÄÖÜ][a-zäöüßé]"
+    many = r"^(?:[^0-9]*+[0-9]){6}"
+    street = text.rlike(" [0-9]") & text.rlike(rf"(?:{streets})(?:-[\wÄÖÜäöüßé]+)? [0-9]|[0-9][a-z]?, [0-9]{{5}} ")
+    run = rf"(?:[0-9]|(?<![A-Za-zÄÖÜäöüßé])(?=[{first}])(?iu:{spelled}))[ .-]?(?iu:(?:(?:{spelled}|[0-9])[ .-]?){{5}})"
+    return text.rlike(rf"[^ -~ÄÖÜäöüßé]|{names}|@|{many}") | text.rlike(r"[\[(][aA][tT][\])]|(?i: at .* dot )") | street | text.rlike(run)
 
 
 _ITEM = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))

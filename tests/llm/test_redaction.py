@@ -57,3 +57,30 @@ def test_lines(spark):
     shown = {(r.document_token, r.line_index): r.redacted for r in R.redacted_lines(df).collect()}
     assert shown["d", 0] == "Patient: [PERSON_NAME]   ID [ID_NUMBER]" and shown["d", 1] is None and shown["d", 2] == ""
     assert R.personal_items(df.limit(0)).count() == 0
+
+
+DISGUISED = [
+    ("Spoke with Jadelle\u00a0Vosterby at 20:48", "person_name"),
+    ("Spoke with \u0408\u0430delle Vosterby", "person_name"),
+    ("Spoke with J\u200badelle\u2003Vosterby", "person_name"),
+    ("Spoke with Ädelle\tVosterby", "person_name"),
+    ("Tel: fünf zwei drei eins vier sechs neun", "phone"),
+    ("Tel: one three five two six four one three five two six", "phone"),
+    ("Fax: two two two two two two two two", "phone"),
+    ("电话：壹叁伍贰陆肆壹叁伍贰陆", "phone"),
+    ("wohnt Goethestr. 5", "street_address"),
+    ("lives at 12A José Bend Road", "street_address"),
+    ("送检  墨舟熹  ", "person_name"),
+]
+
+
+def test_gate_passes_what_is_found(spark):
+    lines = [t for t, _ in DISGUISED] + [t for t, _, _ in CASES]
+    assert [[k for _, _, k in R.detect(t)] for t, _ in DISGUISED] == [[k] for _, k in DISGUISED]
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, text string")
+    passed = {r.i for r in df.filter(R.may_hold_items(F.col("text"))).collect()}
+    assert [t for i, t in enumerate(lines) if i not in passed and R.detect(t)] == []
+    assert "The specimen was kept cool for 3 days" not in [r.text for r in spark.createDataFrame([("The specimen was kept cool for 3 days",)], "text string").filter(R.may_hold_items(F.col("text"))).collect()]
+    df = df.select(F.lit("d").alias("document_token"), (F.col("i") * 10).alias("line_index"), "text").filter(f"i < {len(DISGUISED)}")
+    assert {(r.line_index // 10, r.pii_kind) for r in R.personal_items(df).collect()} >= {(i, k) for i, (_, k) in enumerate(DISGUISED) if k != "person_name"}
+    assert all("[" in r.redacted for r in R.redacted_lines(df).collect())
