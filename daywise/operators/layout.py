@@ -86,21 +86,24 @@ def band_texts(lines: DataFrame, tolerance: float = 4.0) -> DataFrame:
     return rows.groupBy("document_token", "page_number", "band_no").agg(F.count(F.lit(1)).alias("lines"), F.array_join(F.transform(ordered, lambda x: x["text"]), " ").alias("text"))
 
 
-def table_rows(lines: DataFrame, reach: int = 3) -> DataFrame:
+def table_rows(lines: DataFrame, reach: int = 6) -> DataFrame:
     """Measurements of lines one below the other: a name, then within ``reach`` lines a value, a unit and a range.
 
-    ``document_token, line_index, name, value, unit, low, high, missing``. A name is a line of letters right before a
-    number line; the unit and range are the first of their kind in reach. ``missing`` names
-    what was not found. The rows within reach are read by leads over the document, one sort and no self-join.
+    ``document_token, line_index, name, value, unit, low, high, missing``. A name is a line of letters with a number
+    line in reach; the first one is its value, whatever stands between (foot and head lines of a page among it), and
+    the unit and range are the first of their kind after it in reach. Rows are drafts: any line of letters above a
+    value may name it. ``missing`` names what was not found. The rows within reach are read by leads over the
+    document, one sort and no self-join.
     """
     order = Window.partitionBy("document_token").orderBy("line_index")
     text = F.trim("text")
     ahead = F.array(*[F.lead("text", k).over(order) for k in range(1, reach + 1)])
     seen = reading_order(lines).withColumn("ahead", F.transform(ahead, lambda t: F.trim(t)))
     letters = text.rlike(r"^(?=.*\p{L})[\p{L}\p{N} .,()/-]{2,40}$") & ~text.rlike(NUMBER_LINE) & ~text.rlike(RANGE_LINE) & ~text.rlike(UNIT_LINE)
-    rows = seen.filter(letters & F.element_at("ahead", 1).rlike(NUMBER_LINE))
-    number = F.replace(F.element_at("ahead", 1), F.lit(","), F.lit("."))
-    near = F.slice("ahead", 2, reach - 1)
+    at = F.array_position(F.transform("ahead", lambda t: F.coalesce(t.rlike(NUMBER_LINE), F.lit(False))), True).cast("int")
+    rows = seen.filter(letters).withColumn("at", at).filter("at > 0")
+    number = F.replace(F.element_at("ahead", F.col("at")), F.lit(","), F.lit("."))
+    near = F.slice("ahead", F.col("at") + 1, F.lit(reach))
     unit = F.try_element_at(F.filter(near, lambda t: t.rlike(UNIT_LINE)), F.lit(1))
     span = F.try_element_at(F.filter(near, lambda t: t.rlike(RANGE_LINE)), F.lit(1))
     out = rows.select("document_token", "line_index", text.alias("name"), finite_number(F.regexp_replace(number, "[<>≤≥]", "")).alias("value"), unit.alias("unit"), F.replace(F.split_part(span, F.lit("-"), F.lit(1)), F.lit(","), F.lit(".")).try_cast("double").alias("low"), F.replace(F.split_part(span, F.lit("-"), F.lit(2)), F.lit(","), F.lit(".")).try_cast("double").alias("high"))

@@ -48,7 +48,7 @@ def c12_event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def d19_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "layout_line")
     claims = L.table_rows(lines).select("document_token", "line_index", F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string")).alias("value"), "unit")
-    return N.grounding(claims, L.reading_order(lines), 3)
+    return N.grounding(claims, L.reading_order(lines))
 
 
 QUERIES = {f.__name__: f for f in (v_observation_violations, v_evidence_violations, v_field_states, v_missing_parts, c12_event_table, d19_grounding)}

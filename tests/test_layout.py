@@ -30,6 +30,14 @@ def test_table_rows_and_cells(spark):
     assert cells == {0: ("<4.2", None, "mmol/L"), 1: ("8", 8.0, None)}
 
 
+def test_table_rows_reach_six_lines(spark):
+    texts = ["Albumin", "(serum)", "119", "*", "H", "g/L", "40-220", "Kalium", "4,5", "*", "H", "mmol/L", "*", "3,5-5,1", "CRP", "mg/L", "*", "*", "*", "*", "*", "7", "Urea", "8"]
+    got = {r.name: (r.value, r.unit, r.low, r.high, r.missing) for r in L.table_rows(lines(spark, texts, pages=[1] * 23 + [2])).collect()}
+    assert got["Albumin"] == (119.0, "g/L", 40.0, 220.0, "")
+    assert got["Kalium"] == (4.5, "mmol/L", 3.5, 5.1, "")
+    assert "CRP" not in got and got["Urea"] == (8.0, None, None, None, "unit,range")
+
+
 def test_bands_merge_chains(spark):
     df = lines(spark, ["a", "b", "c", "d"], boxes=[box(0), box(12, x=5), box(25), [[float("nan"), 1.0]]])
     assert sorted((r.band_no, r.line_index) for r in L.bands(df).collect()) == [(1, 0), (1, 1), (1, 2)]
