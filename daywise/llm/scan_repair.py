@@ -18,8 +18,8 @@ from daywise.session import spread
 
 #: Words of the vocabulary have at least this count and at least this share of all words, so there are at most 200,000.
 LEAST_COUNT, LEAST_SHARE = 5, 1 / 200_000
-#: Lines whose like is counted have at least this share of all lines: at most 100,000.
-LEAST_LINE_SHARE = 1 / 100_000
+#: Lines whose like is judged by all its places have at least this count, whatever the corpus.
+LEAST_LINES = 3
 #: A word is suspect beside one so many times as frequent with the same strokes.
 RATIO, RATIO_HAN = 15, 6
 DIMENSIONS, NEGATIVE = 32, 5
@@ -399,11 +399,20 @@ def _placed(lines: DataFrame) -> DataFrame:
     return one.withColumns({"edge": F.when(top, F.lit(1)).when(bottom, F.lit(2)).otherwise(F.lit(0)), "outer": other(F.lag, 1) | other(F.lead, 1)})
 
 
-def _line_kinds(placed: DataFrame, total: int) -> DataFrame:
-    """``like, at_edge`` of frequent lines: whether they stand at page edges. At most 1 / LEAST_LINE_SHARE rows."""
-    by = placed.groupBy(_like(F.col("text")).alias("like")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("edge") > 0).alias("edges"))
-    rows = by.filter(F.col("n") >= max(3, total * LEAST_LINE_SHARE)).select("like", (F.col("edges") >= 0.8 * F.col("n")).alias("at_edge")).collect()
-    return placed.sparkSession.createDataFrame([(r.like, r.at_edge) for r in rows], "like string, at_edge boolean")
+def _line_kinds(placed: DataFrame) -> DataFrame:
+    """``document_token, at_edge_of``: of each document the likes of its edge lines that are frequent over all lines, and whether they stand at page edges.
+
+    Only likes that can be running lines (four characters) are counted and joined, by an ordinary join of one row per
+    document and like. A document's map is bounded by its pages.
+    """
+    edge = F.col("edge") > 0
+    seen = placed.select(_like(F.col("text")).alias("like"), edge.alias("edge"), F.when(edge, F.col("document_token")).alias("document_token")).filter(F.length("like") >= 4)
+    # Both sides of the join read this one aggregate; their filters are on counts so that its exchange is shared.
+    cells = seen.groupBy("like", "edge", "document_token").agg(F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("edges"))
+    by = cells.groupBy("like").agg(F.sum("n").alias("all"), F.sum("edges").alias("at_edges")).filter(F.col("all") >= LEAST_LINES)
+    kinds = by.select("like", (F.col("at_edges") >= 0.8 * F.col("all")).alias("at_edge"))
+    own = cells.filter("edges = n").select("document_token", "like")
+    return own.join(kinds, "like").groupBy("document_token").agg(F.map_from_entries(F.collect_list(F.struct("like", "at_edge"))).alias("at_edge_of"))
 
 
 _FAULTS = "broken boolean, misread boolean, fixed string"
@@ -431,7 +440,6 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
     """
     known = learn_language(lines)
     placed = _placed(lines)
-    kinds = F.broadcast(_line_kinds(placed, lines.count()))  # at most 100,000 rows
     doc = Window.partitionBy("document_token")
     order = doc.orderBy("line_index")
     text = F.col("text")
@@ -444,7 +452,8 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
     marked = marked.withColumns({"pages": F.count_if(F.col("first")).over(doc), "bares": F.count_if(F.col("bare")).over(doc)})
     page_number = F.col("named") | F.col("bare") & F.when(F.col("pages") == 1, F.col("outer")).otherwise(F.col("bares") >= 0.5 * F.col("pages"))
     again = F.count(F.lit(1)).over(Window.partitionBy("document_token", "edge", "like"))
-    marked = marked.withColumn("again", F.when(F.col("edge") > 0, again)).join(kinds, "like", "left")
+    marked = marked.withColumn("again", F.when(F.col("edge") > 0, again)).join(_line_kinds(placed).withColumnRenamed("document_token", "of"), F.col("document_token").eqNullSafe(F.col("of")), "left")
+    marked = marked.withColumn("at_edge", F.when(F.col("edge") > 0, F.try_element_at("at_edge_of", F.col("like"))))
     repeated = (F.col("again") >= 2) & F.coalesce("at_edge", F.lit(True)) & (F.length("like") >= 4)
     running = (F.col("edge") > 0) & (repeated | F.coalesce("at_edge", F.lit(False)) & (F.col("pages") > 1) & (F.length("like") >= 4))
     furniture = F.when(page_number, "page_number").when(F.coalesce(running, F.lit(False)), "running_line")

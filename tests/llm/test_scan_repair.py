@@ -41,6 +41,16 @@ def test_kinds_and_repair(spark):
     assert "a persistent elevation of albumin without" in text and "Northvale" not in text and "- 2 -" not in text
 
 
+def test_line_kinds_do_not_hang_on_size(spark, monkeypatch):
+    # As in a corpus of some thousand times the size: the share these head lines have of it is smaller by as much.
+    monkeypatch.setattr(S, "LEAST_LINE_SHARE", 0.02, raising=False)
+    rnd = random.Random(2)
+    rows = [r for d in range(30) for r in document(rnd, f"d{d}")] + [r for d in range(4) for r in document(rnd, f"k{d}", 2, [(0, "Osterbrook Infirmary, record"), (9, " ".join(rnd.sample(WORDS, 6)))])]
+    lines = spark.createDataFrame(rows, "document_token string, line_index int, page_number int, text string")
+    got = {(r.document_token, r.line_index) for r in S.repaired_lines(lines).filter("furniture = 'running_line'").collect()}
+    assert {(f"k{d}", 0) for d in range(4)} <= got and ("k0", 9) not in got
+
+
 def test_empty(spark):
     lines = corpus(spark).limit(0)
     assert S.scan_noise(lines).count() == 0 and S.paragraphs(lines).count() == 0
