@@ -74,9 +74,34 @@ def test_plan_codes():
     assert plan_problems({**plan, "window": {**window, "to": None}}) == ["SELECTION_ALL_NEEDS_BOTH_BOUNDS"]
     assert short_plan_problems(None) == ["plan_missing"] and short_plan_problems({"project": " ", "time_role": "x", "selection": "y", "cutoff_day": True, "z": 1}) == ["plan_unexpected_keys:z", "plan_bad_project", "plan_bad_time_role", "plan_bad_selection", "plan_bad_cutoff"]
     assert composed({"project": "a"}, {"project": "b", "selection": "all", "other": 1}) == {"project": "a", "selection": "all"}
+    assert composed({"project": None, "selection": "first"}, {"project": "b", "selection": "all"}) == {"project": "b", "selection": "all"}
+    assert composed({"scope": "A", "selection": "first"}, None) == {"scope": "A", "selection": "first"}
     assert set(anchored_plans(5)) == {"latest_at_or_before", "first_after", "all_within"}
     with pytest.raises(PlanError):
         SelectionPlan.of({})
     assert checked_contract({}) is None
     with pytest.raises(PlanError, match="CONTRACT_MISSING_SOURCE_MODE"):
         checked_contract({"contract": {"required_fields": [], "display_precision": "day"}})
+
+
+PLANS = [
+    None, "x", "[1]", {}, {"project": "x", "time_role": "y", "window": 3, "selection": "all", "scope": "A", "tie_policy": "z", "missing_policy": None},
+    {"project": "x", "time_role": "report", "window": {"from": 9, "to": 2, "include_from": True}, "selection": "all", "scope": "A", "tie_policy": "undetermined", "missing_policy": "ignore"},
+    {"project": "x", "time_role": "report", "window": {"from": True, "to": 2.5}, "selection": "first", "scope": "A", "tie_policy": "undetermined", "missing_policy": "ignore"},
+    {"project": "x", "time_role": "report", "window": {"from": None, "to": None, "include_from": True, "include_to": False}, "selection": "latest", "scope": "A", "tie_policy": "undetermined", "missing_policy": "ignore"},
+    {"project": " ", "time_role": "x", "selection": "y", "cutoff_day": True, "z": 1}, {"project": "p", "time_role": "report", "selection": "earliest", "cutoff_day": None},
+]
+
+
+def test_a_table_of_plans_gets_the_codes_of_each_plan(spark):
+    import json
+
+    from daywise.plans.selection import SHORT_RULES, problem_codes
+
+    texts = [p if p is None or isinstance(p, str) else json.dumps(p) for p in PLANS]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, plan string")
+    got = {r.i: (r.a, r.b) for r in df.select("i", problem_codes(F.col("plan")).alias("a"), problem_codes(F.col("plan"), SHORT_RULES).alias("b")).collect()}
+    for i, p in enumerate(PLANS):
+        whole = p if isinstance(p, dict) else None
+        assert got[i] == (plan_problems(whole), short_plan_problems(whole)), p
+    assert spark.createDataFrame([], "plan string").select(problem_codes(F.col("plan"))).count() == 0
