@@ -24,14 +24,16 @@ def recovered_rows(grid: DataFrame, ledger: DataFrame, saved: DataFrame, keys: S
 
 
 def within_budget(jobs: DataFrame, keys: Sequence[str], order: Sequence[Column], cost: str, budget: float) -> DataFrame:
-    """The prefix of each group's jobs before which the running cost is still under the budget, with that cost.
+    """The prefix of each group's jobs that the budget covers, with the cost spent before each.
 
-    The first job that finds the budget used up ends its group, whatever the later ones cost. Null costs count as 0.
+    The first job whose own cost would exceed what is left ends its group, whatever the later ones cost; it is not
+    run. Null costs count as 0.
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    spent = F.coalesce(F.sum(F.coalesce(cost, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    stopped = F.max(F.when(F.col("spent") >= budget, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return jobs.withColumn("spent", spent).withColumn("stopped", stopped).filter("stopped = 0").drop("stopped")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.coalesce(cost, F.lit(0))
+    running = jobs.withColumn("spent", F.sum(own).over(w) - own)
+    over = F.max(F.when(F.col("spent") + own > budget, 1).otherwise(0)).over(w)
+    return running.withColumn("over", over).filter("over = 0").drop("over")
 
 
 def arm_summary(ledger: DataFrame, keys: Sequence[str], done: Column, right: Column) -> DataFrame:

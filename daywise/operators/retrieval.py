@@ -44,13 +44,15 @@ def retrieve_pages(lines: DataFrame, question: str, *, max_pages: int | None = N
 def retrieve_lines(lines: DataFrame, question: str, *, top_k: int = 40, window: int = 1) -> DataFrame:
     """``document_token, line_index, hits``: per document the ``top_k`` lines by distinct shared characters, with neighbours.
 
-    Lines without a shared character are never chosen but as neighbours. Blank lines are passed over.
+    Lines without a shared character are never chosen but as neighbours; a document in which no line shares one, as
+    with a question without letters and digits, comes whole. Blank lines are passed over.
     """
     letters = sorted({c for c in question if c.isalnum()})
-    shared = F.size(F.array_intersect(F.array_distinct(F.split("text", "")), F.array(*[F.lit(c) for c in letters])))
+    shared = F.size(F.array_intersect(F.array_distinct(F.split("text", "")), F.array(*[F.lit(c) for c in letters]).cast("array<string>")))
     seen = reading_order(lines).filter(F.trim("text") != "").withColumn("hits", shared)
     doc = Window.partitionBy("document_token")
     seen = seen.withColumns({"place": F.row_number().over(doc.orderBy("line_index")), "rank": F.row_number().over(doc.orderBy(F.col("hits").desc(), "line_index"))})
     seen = seen.withColumn("top", ((F.col("rank") <= top_k) & (F.col("hits") > 0)).cast("int"))
     near = F.max("top").over(doc.orderBy("place").rowsBetween(-window, window))
-    return seen.withColumn("near", near).filter("near = 1").select("document_token", "line_index", "hits")
+    whole = F.max("hits").over(doc) == 0
+    return seen.withColumns({"near": near, "whole": whole}).filter("near = 1 or whole").select("document_token", "line_index", "hits")

@@ -179,6 +179,6 @@ SELECT case_token, max(day) FILTER (WHERE n = 1) AS origin_day, max(document_tok
     "c19_retrieve_best_pages": _pages("3", "r <= 1"),
     "c20_retrieve_lines": f"""WITH {ONE}, s AS (SELECT document_token, line_index, len(list_intersect(list_distinct(string_split(text, '')), string_split('abceghilmnort', ''))) AS hits FROM one WHERE trim(text) <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY document_token ORDER BY line_index) AS place, CASE WHEN row_number() OVER (PARTITION BY document_token ORDER BY hits DESC, line_index) <= 5 AND hits > 0 THEN 1 ELSE 0 END AS top FROM s),
-n AS (SELECT *, max(top) OVER (PARTITION BY document_token ORDER BY place ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM r)
-SELECT document_token, line_index, CAST(hits AS INTEGER) AS hits FROM n WHERE near = 1""",
+n AS (SELECT *, max(top) OVER (PARTITION BY document_token ORDER BY place ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near, max(hits) OVER (PARTITION BY document_token) AS most FROM r)
+SELECT document_token, line_index, CAST(hits AS INTEGER) AS hits FROM n WHERE near = 1 OR most = 0""",
 }

@@ -94,7 +94,7 @@ SELECT o.task_id, o.arm, count(*) AS attempts FROM o JOIN led ON o.task_id = led
   CASE WHEN value IS NULL OR trim(value) = '' THEN 'NO_VALUE' END, CASE WHEN unit IS NULL OR trim(unit) = '' THEN 'NO_UNIT' END, CASE WHEN adjudication IS NOT NULL AND adjudicator IS NULL THEN 'RULING_WITHOUT_ADJUDICATOR' END,
   CASE WHEN source_support_status <> 'supported' THEN 'SOURCE_UNSUPPORTED' END) AS reasons FROM sheets) SELECT sheet_id, reasons, reasons = '' AS allowed FROM c""",
     "w6_within_budget": """WITH j AS (SELECT o_custkey, o_orderkey, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders),
-s AS (SELECT *, CAST(coalesce(sum(cents) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent FROM j)
-SELECT o_custkey, o_orderkey, cents, spent FROM s WHERE spent < 50000000""",
+s AS (SELECT *, CAST(sum(cents) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM j)
+SELECT o_custkey, o_orderkey, cents, used - cents AS spent FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE b.o_custkey = a.o_custkey AND (b.o_orderdate, b.o_orderkey) <= (a.o_orderdate, a.o_orderkey) AND b.used > 50000000)""",
     "g13_context_estimate": "SELECT CAST(floor(avg(length(coalesce(text, '')))) AS BIGINT) AS mean_chars, CAST(floor(sum(length(coalesce(text, ''))) / 4.0) AS BIGINT) AS tokens FROM documents",
 }

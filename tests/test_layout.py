@@ -75,12 +75,16 @@ def test_retrieval(spark):
     assert [r.page_number for r in R.retrieve_pages(df, "nothing").collect()] == [1]
     assert [r.page_number for r in R.retrieve_pages(df, "albumin", max_pages=1, adjacent=False).collect()] == [1]
     assert [r.line_index for r in R.retrieve_lines(df, "zz", top_k=2).orderBy("line_index").collect()] == [3, 4]
+    every = df.filter("trim(text) <> ''").select("document_token", "line_index").distinct().count()
+    assert R.retrieve_lines(df, "§", top_k=2).count() == R.retrieve_lines(df, "Ж", top_k=2).count() == every
 
 
 def test_budget_and_ledger(spark):
     jobs = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("a", 3, 0), ("b", 1, None), ("b", 2, 99), ("b", 3, 1)], "k string, i int, cost int")
     got = sorted((r.k, r.i, r.spent) for r in B.within_budget(jobs, ["k"], [F.col("i")], "cost", 10).collect())
-    assert got == [("a", 1, 0), ("a", 2, 5), ("b", 1, 0), ("b", 2, 0)]
+    assert got == [("a", 1, 0), ("b", 1, 0)]  # a job that would exceed the budget is not run
+    got = sorted((r.k, r.i, r.spent) for r in B.within_budget(jobs, ["k"], [F.col("i")], "cost", 11).collect())
+    assert got == [("a", 1, 0), ("a", 2, 5), ("a", 3, 11), ("b", 1, 0)]
     grid = B.job_grid(spark.createDataFrame([("t",), ("u",)], "task_id string"), ["x", "y"])
     done = spark.createDataFrame([("t", "x")], "task_id string, arm string")
     assert B.open_jobs(grid, done).count() == 3
