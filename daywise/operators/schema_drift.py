@@ -7,6 +7,7 @@ files speak of.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import Counter, defaultdict
@@ -61,9 +62,12 @@ def _leaves(v: object) -> list[object]:
 
 
 def _runs(leaf: object) -> list[str]:
-    if isinstance(leaf, bool):
-        return [str(leaf).lower()]
-    return re.findall(r"[^\W_]+", str(leaf).lower())
+    """Words and numbers of a leaf; a minus that stands before a number, and not between two parts, belongs to it."""
+    return re.findall(r"(?<![^\W_])-(?=\d)[^\W_]+|[^\W_]+", str(leaf).lower())
+
+
+def _numeric(part: str) -> bool:
+    return part.lstrip("-").isdigit()
 
 
 def content_forms(v: object) -> list[str]:
@@ -75,10 +79,10 @@ def content_forms(v: object) -> list[str]:
     leaves = _leaves(v)
     parts = [r for x in leaves for r in _runs(x)]
     forms = {"|".join(parts)}
-    numbers = [p for p in parts if p.isdigit()]
+    numbers = [p for p in parts if _numeric(p)]
     if numbers:
         forms.add("|".join(numbers))
-    words = [p for p in parts if not p.isdigit()]
+    words = [p for p in parts if not _numeric(p)]
     if words and len(words) < len(parts):
         forms.add("|".join(words))
     for x in leaves:
@@ -88,7 +92,8 @@ def content_forms(v: object) -> list[str]:
 
 
 def _shape(v: object) -> str:
-    return re.sub(r"\d+", "9", "|".join(str(x) for x in _leaves(v)))[:80]
+    """A digest of a value's whole text with its numbers taken out."""
+    return hashlib.md5(re.sub(r"\d+", "9", "|".join(str(x) for x in _leaves(v))).encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
 
 
 def name_parts(name: str) -> list[str]:
@@ -322,20 +327,29 @@ def field_groups(changes: DataFrame, fields: DataFrame, known: Sequence[str] = (
         if r["count"] > 1 or name_likeness(r.former_name, r.field_name) >= NAME_FROM:
             a, b = find(r.former_name), find(r.field_name)
             root[max(a, b)] = min(a, b)
-    for a in files:  # spellings of the same words need no rename
-        for b in files:
-            if a < b and find(a) != find(b) and name_parts(a) == name_parts(b):
-                root[find(b)] = find(a)
+    alike: dict[tuple[str, ...], str] = {}
+    for f in sorted(files):  # spellings of the same words need no rename
+        first = alike.setdefault(tuple(name_parts(f)), f)
+        root[find(f)] = find(first)
     best: dict[str, str] = {}
     for f in sorted(files, key=lambda f: (f not in known, -files[f], f)):
         best.setdefault(find(f), f)
     return {f: best[find(f)] for f in files}
 
 
+#: A whole number in text, with its sign; neither part of a word nor of a fraction.
+_WHOLE = re.compile(r"(?<![\w.,])[-+]?\d+(?:\.0+)?(?![\w]|[.,]\d)")
+
+
 def as_integer(v: object) -> int | None:
-    """The one whole number a value of any type holds, else None."""
-    numbers = {f for f in content_forms(v) if re.fullmatch(r"-?\d{1,18}", f)} if v is not None else set()
-    return int(numbers.pop()) if len(numbers) == 1 else None
+    """The one whole number a value of any type holds, with its sign; else None, as for one beyond 64 bits."""
+    found: set[int] = set()
+    for x in _leaves(v):
+        if isinstance(x, int) and not isinstance(x, bool):
+            found.add(x)
+        elif isinstance(x, str):  # decimals are texts as written
+            found.update(int(m.split(".")[0]) for m in _WHOLE.findall(x.replace("\u2212", "-")))
+    return n if len(found) == 1 and -(2**63) <= (n := found.pop()) < 2**63 else None
 
 
 def as_version(v: object) -> str | None:

@@ -44,3 +44,13 @@ def test_forms_and_names():
     share = lambda a, b: bool(set(D.content_forms(a)) & set(D.content_forms(b)))
     assert share(58, "58") and share(D._Decimal("58.0"), 58) and share(["present", 58], {"state": "present", "value": 58}) and share("1-3", [1, 3]) and share({"from": 1, "to": 3}, [1, 3]) and share(D._Decimal("0.9"), {"major": 0, "minor": 9})
     assert D.name_likeness("review_scope", "scope_of_review") == 1.0 and D.name_likeness("pageCount", "page_count") == 1.0 and D.name_likeness("locked", "retention_days") < D.NAME_FROM
+
+
+def test_whole_numbers_keep_their_sign():
+    read = [D.as_integer(v) for v in (-3, "-3", {"value": -7}, ["present", -7], D._Decimal("-4.0"), "58 pages", "p. -2", D._Decimal("5.5"), "1-3", "x1", True, None, "", 2**63, "1.000", "3,5")]
+    assert read == [-3, -3, -7, -7, -4, 58, -2, None, None, None, None, None, None, None, 1, None]
+    assert not set(D.content_forms(-3)) & set(D.content_forms(3)) and set(D.content_forms(-3)) & set(D.content_forms(["n", -3]))
+
+
+def test_long_values_differ_in_shape_by_their_whole_text():
+    assert D._shape("a" * 500 + "b") != D._shape("a" * 500 + "c") and D._shape("n" * 500 + "12") == D._shape("n" * 500 + "7")
