@@ -53,10 +53,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """``cut`` of ``df`` partitioned and sorted by a key, which the plans over it then know.
+
+    An adaptive plan does not tell how its rows are partitioned, so this one step is planned without.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(key).sortWithinPartitions(key))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on all cores: a scan of fewer splits than cores, which only a small table has, is dealt out anew."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def stored(df: DataFrame) -> DataFrame:
