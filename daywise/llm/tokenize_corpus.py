@@ -21,6 +21,12 @@ TOKENIZERS = os.environ.get("DAYWISE_TOKENIZERS", "/opt/tokenizers")
 PRETOKEN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunk sizes in code points: no cut before LEAST, one at MOST at the latest, on average one in 2 ** MASK_BITS.
 LEAST, MOST, MASK_BITS, REACH = 96, 2048, 8, 16
+#: Where a pre-token ends whatever stands further to the left or right: before a first white space, and where one of
+#: the classes letter, number and other turns into another; after an apostrophe a contraction may go on. The four
+#: separators that libraries count as white space or not are no part of such a place.
+SURE = r"""(?<=[^\s\x1c-\x1f])(?=[\s--[\x1c-\x1f]])|(?<=\p{L})(?=[^\p{L}\s\x1c-\x1f])|(?<=\p{N})(?=[^\p{N}\s\x1c-\x1f])|(?<=[^\p{L}\p{N}\s\x1c-\x1f'])(?=[\p{L}\p{N}])"""
+#: Code points hashed at a time.
+BLOCK = 1 << 20
 
 
 @functools.lru_cache(maxsize=4)
@@ -32,143 +38,192 @@ def _encoder(folder: str, name: str):
     return tiktoken.Encoding(name, pat_str=PRETOKEN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=4)
+def _packing(folder: str, name: str) -> str:
+    """Ids of a vocabulary of at most 65,536 tokens take two bytes, of a larger one four."""
+    return "<u2" if _encoder(folder, name).n_vocab <= 1 << 16 else "<u4"
+
+
 @functools.lru_cache(maxsize=1)
-def _pretoken():
+def _sure():
     import regex
 
-    return regex.compile(PRETOKEN)
+    return regex.compile(SURE, regex.V1), regex.compile(f"(?r){SURE}", regex.V1)
 
 
 @functools.lru_cache(maxsize=1)
-def _powers() -> np.ndarray:
-    out = np.ones(REACH, dtype=np.uint64)
-    for i in range(1, REACH):
-        out[i] = np.uint64(int(out[i - 1]) * 0x9E3779B97F4A7C15 % 2**64)
-    return out
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the hash's base and of its inverse, modulo 2 ** 32, for the places of a block."""
+    base = 0x9E3779B1
+    with np.errstate(over="ignore"):
+        up = np.cumprod(np.full(BLOCK + REACH, base, dtype=np.uint32), dtype=np.uint32)
+        down = np.cumprod(np.full(BLOCK + REACH, pow(base, -1, 1 << 32), dtype=np.uint32), dtype=np.uint32)
+    return up, down
 
 
-def cut_points(text: str) -> list[int]:
-    """The ends of the content-defined chunks of ``text``; the last is its length.
+def _proposed(points: np.ndarray) -> np.ndarray:
+    """The ends of all windows of REACH code points whose hash has MASK_BITS leading zeros.
 
-    A rolling hash over REACH code points proposes cuts, so equal passages are cut alike wherever they stand.
+    The window's hash is a difference of running sums brought back to the window's own place, so it depends on the
+    window's code points only.
     """
-    n = len(text)
-    if n <= LEAST:
-        return [n] if n else []
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    up, down = _powers()
+    out = []
     with np.errstate(over="ignore"):
-        rolled = np.zeros(n - REACH + 1, dtype=np.uint64)
-        for i, p in enumerate(_powers()):
-            rolled += points[i : n - REACH + 1 + i] * p
-        proposed = np.nonzero((rolled * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - MASK_BITS) == 0)[0] + REACH
-    ends, last = [], 0
-    for at in [*proposed.tolist(), n]:
-        while at - last > MOST:
-            last += MOST
-            ends.append(last)
-        if at - last >= LEAST or at == n:
-            last = at
-            ends.append(at)
-    return ends if ends[-1] == n else [*ends, n]
-
-
-def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        ids, marks, seqs, parts = [], [], [], []
-        for doc_id, mark, text in zip(batch["doc_id"], batch["mark"], batch["text"]):
-            last = 0
-            for seq, end in enumerate(cut_points(text) if text else [0]):
-                ids.append(doc_id)
-                marks.append(mark)
-                seqs.append(seq)
-                parts.append(text[last:end] if text else "")
-                last = end
-        yield pd.DataFrame({"doc_id": ids, "mark": pd.array(marks, dtype="Int64"), "seq": pd.array(seqs, dtype="int32"), "chunk": parts})
-
-
-@functools.lru_cache(maxsize=20_000)
-def encode_chunk(text: str, folder: str, name: str) -> tuple[list[int], int, int]:
-    """The ids of ``text`` alone, where its last two pre-tokens start, and their number of ids."""
-    enc = _encoder(folder, name)
-    ends = [0, 0]
-    for m in _pretoken().finditer(text):
-        ends = [ends[-1], m.start()]
-    tail = [text[ends[0] : ends[1]], text[ends[1] :]]
-    return enc.encode_ordinary(text), ends[0], sum(len(enc.encode_ordinary(w)) for w in tail)
+        for a in range(0, max(1, len(points) - REACH + 1), BLOCK):
+            part = points[a : a + BLOCK + REACH - 1]
+            if len(part) < REACH:
+                break
+            sums = np.zeros(len(part) + 1, dtype=np.uint32)
+            np.cumsum(part * up[: len(part)], out=sums[1:], dtype=np.uint32)
+            rolled = (sums[REACH:] - sums[:-REACH]) * down[: len(part) - REACH + 1]
+            rolled ^= rolled >> np.uint32(15)
+            rolled *= np.uint32(0x2C1B3C6D)
+            out.append(np.nonzero(rolled >> np.uint32(32 - MASK_BITS) == 0)[0] + (REACH + a))
+    return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
 
-def join_chunks(parts: list[tuple[str, list[int], int, int]], folder: str, name: str) -> list[int]:
-    """The ids of the joined chunks, equal to the encoding of the joined text.
+def cuts_of(texts: list[str]) -> list[list[int]]:
+    """The ends of the content-defined chunks of each text; the last is its length, and an empty text has none.
 
-    Pre-tokens are matched from left to right and each depends on nothing to its left but its start. So of the ids
-    before a seam only those of the last two pre-tokens can be wrong (two, as a contraction's mark and its first letter
-    may stand before the seam). They are matched again over the joined text, and on, until a pre-token ends where one of the next chunk's own ends: from there on both agree.
+    A rolling hash over REACH code points proposes cuts, so equal passages are cut alike wherever they stand. The texts
+    are hashed as one; windows that reach into a text's neighbour propose nothing.
     """
-    enc, find = _encoder(folder, name), _pretoken()
-    out: list[int] = []
-    held = ""  # text of the last two pre-tokens, whose ids are not in `out`
-    for k, (text, ids, start, n_last) in enumerate(parts):
-        if not held:
-            out.extend(ids[: len(ids) - n_last])
-            held = text[start:]
-            continue
-        joined = held + text
-        own = find.finditer(text)
-        own_at, used = 0, 0  # end of the chunk's own pre-tokens so far, and their number of ids
-        done, again = False, []
-        for m in find.finditer(joined):
-            again.append(m.group())
-            at = m.end() - len(held)
-            if at < 0:
-                continue
-            while own_at < at:
-                w = next(own)
-                own_at = w.end()
-                used += len(enc.encode_ordinary(w.group()))
-            if own_at == at and at <= start:
-                done = True
-                break
-        if not done:
-            # No agreement within the chunk: its whole text is matched again at the next seam.
-            held = joined
-            continue
-        for w in again:  # each by itself: a cut text would let the white space before the cut match otherwise
-            out.extend(enc.encode_ordinary(w))
-        out.extend(ids[used : len(ids) - n_last])
-        held = text[start:]
-    return out + enc.encode_ordinary(held)
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    proposed = _proposed(points)
+    own = np.searchsorted(starts, proposed, side="left") - 1  # an end belongs to the text it closes or lies in
+    inside = proposed - starts[own] >= REACH if len(proposed) else np.zeros(0, dtype=bool)
+    proposed, own = proposed[inside], own[inside]
+    first = np.searchsorted(own, np.arange(len(texts) + 1))
+    out = []
+    for k, n in enumerate(sizes.tolist()):
+        ends, last = [], 0
+        if n > LEAST:
+            for at in (proposed[first[k] : first[k + 1]] - starts[k]).tolist():
+                while at - last > MOST:
+                    last += MOST
+                    ends.append(last)
+                if at - last >= LEAST:
+                    last = at
+                    ends.append(at)
+            while n - last > MOST:
+                last += MOST
+                ends.append(last)
+        if n > last:
+            ends.append(n)
+        out.append(ends)
+    return out
 
 
-def encode_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """``doc_id, ids``: the token ids of every document without special tokens.
+def split_at_sure_places(text: str, ends: list[int]) -> list[tuple[str, str]]:
+    """``text`` as (seam, core) pairs in order, the last core empty.
 
-    Content-defined chunks are brought together by their hash, each distinct chunk is encoded once where it
-    arrives, and the ids go back to their documents, where seams are repaired until the result is that of the
-    whole text. Chunks that many documents share are spread over several tasks (a rebalanced exchange may split
-    them; a chunk's ids do not depend on where it is encoded). Null and empty texts give an empty list; repeated
-    rows give one row, an id with several texts one row for each. Very long texts are cut into chunks of at most 2,048 code points.
+    A core is what lies between the first and the last sure place of a chunk: its encoding is that of the same
+    characters in the whole text. A seam is what is left between two cores; it begins and ends at sure places (or the
+    text's ends), so encoding it by itself repairs the join exactly. Chunks without a sure place go into the seam.
     """
+    ahead, back = _sure()
+    out, held, last = [], 0, 0
+    for end in ends:
+        first = ahead.search(text, last + 1, end)
+        if first is not None and (p := first.start()) < end:
+            at = back.search(text, last + 1, end)
+            q = at.start() if at is not None and last < at.start() < end else p
+            if q > p:
+                out.append((text[held:p], text[p:q]))
+                held = q
+        last = end
+    out.append((text[held:], ""))
+    return out
+
+
+def _pack(ids: list[int], packing: str) -> bytes:
+    return np.array(ids, dtype=packing).tobytes()
+
+
+def encode_pieces(pieces: list[tuple[str, str]], folder: str, name: str) -> list[int]:
+    """The ids of (seam, core) pairs: those of the joined text."""
+    enc = _encoder(folder, name)
+    return [i for seam, core in pieces for part in (seam, core) if part for i in enc.encode_ordinary(part)]
+
+
+def _pieces(batches: Iterator[pd.DataFrame], folder: str, name: str) -> Iterator[pd.DataFrame]:
+    """``doc_id, mark, seq, seam, core``: cores as text, seams as packed ids."""
+    enc, packing = _encoder(folder, name), _packing(folder, name)
+    for batch in batches:
+        texts = [t or "" for t in batch["text"]]
+        a = 0
+        while a < len(texts):  # so many texts at a time as fill a block
+            b, size = a, 0
+            while b < len(texts) and (b == a or size + len(texts[b]) <= BLOCK):
+                size += len(texts[b])
+                b += 1
+            which, seqs, seams, cores = [], [], [], []
+            for i, ends in enumerate(cuts_of(texts[a:b]), a):
+                for seq, (seam, core) in enumerate(split_at_sure_places(texts[i], ends)):
+                    which.append(i)
+                    seqs.append(seq)
+                    seams.append(_pack(enc.encode_ordinary(seam), packing) if seam else b"")
+                    cores.append(core)
+            rows = batch[["doc_id", "mark"]].iloc[which].reset_index(drop=True)
+            yield rows.assign(mark=rows["mark"].astype("Int64"), seq=pd.array(seqs, dtype="int32"), seam=seams, core=cores)
+            a = b
+
+
+def document_pieces(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """``doc_id, mark, seq, seam, core`` of all documents (see ``split_at_sure_places``); ``mark`` tells texts of one id apart."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     kind = docs.schema["doc_id"].dataType
-    parts = spread(docs).mapInPandas(_chunks, T.StructType([T.StructField("doc_id", kind), T.StructField("mark", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("chunk", T.StringType())]))
-    gathered = parts.withColumn("h", F.xxhash64("chunk")).hint("rebalance", F.col("h"))
+    fields = [T.StructField("doc_id", kind), T.StructField("mark", T.LongType()), T.StructField("seq", T.IntegerType()), T.StructField("seam", T.BinaryType()), T.StructField("core", T.StringType())]
+    return spread(docs).mapInPandas(lambda b: _pieces(b, folder, name), T.StructType(fields))
 
-    @F.pandas_udf("ids array<int>, start int, n_last int")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for chunk in batches:
-            codes, distinct = pd.factorize(chunk)
-            done = [encode_chunk(t, folder, name) for t in distinct]
-            yield pd.DataFrame([done[c] for c in codes], columns=["ids", "start", "n_last"])
 
-    # Of a chunk between two seams only the text is needed that a repair may read; it is kept whole.
-    piece = F.struct("seq", "chunk", "e.ids", "e.start", "e.n_last")
-    grouped = gathered.withColumn("e", encoded("chunk")).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set(piece)).alias("pieces"))
+def encode_documents(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
+    """``doc_id, ids``: the token ids of every document without special tokens.
+
+    Documents are cut where their content says, and each chunk is its core between places where a pre-token surely
+    ends. Cores are brought together and sorted, so each distinct one is encoded once where it arrives; the joins
+    between cores are encoded with what stands on both sides of the cut, and the ids of a document put in order.
+    Cores that many documents share are spread over several tasks (a rebalanced exchange may split them; a core's
+    ids do not depend on where it is encoded). Null and empty texts give an empty list; repeated rows give one row,
+    an id with several texts one row for each. ``reuse`` tells how often cores are shared.
+    """
+    pieces = document_pieces(documents, id_col=id_col, text_col=text_col, name=name, folder=folder)
+    gathered = pieces.withColumn("h", F.xxhash64("core")).hint("rebalance", F.col("h")).sortWithinPartitions("h", "core")
+
+    @F.pandas_udf(T.BinaryType())
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc, packing = _encoder(folder, name), _packing(folder, name)
+        last, ids = "", b""  # equal cores stand together, also across batches
+        for cores in batches:
+            out = []
+            for core in cores:
+                if core != last:
+                    last, ids = core, _pack(enc.encode_ordinary(core), packing)
+                out.append(ids)
+            yield pd.Series(out, dtype=object)
+
+    both = gathered.select("doc_id", "mark", F.struct("seq", F.concat("seam", encoded("core")).alias("ids")).alias("piece"))
+    # A document's pieces are its own ids, in order; nothing else is brought together.
+    grouped = both.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("piece")).alias("pieces"))
 
     @F.pandas_udf("array<int>")
-    def joined(pieces: pd.Series) -> pd.Series:
-        return pd.Series([join_chunks([(p["chunk"], list(p["ids"]), p["start"], p["n_last"]) for p in row], folder, name) for row in pieces])
+    def joined(parts: pd.Series) -> pd.Series:
+        packing = _packing(folder, name)
+        return pd.Series([np.frombuffer(b"".join(row), dtype=packing).astype(np.int32) for row in parts])
+
+    return grouped.select("doc_id", joined(F.transform("pieces", lambda p: p["ids"])).alias("ids"))
+
 
-    return grouped.select("doc_id", joined("pieces").alias("ids"))
+def reuse(documents: DataFrame, **options: str) -> DataFrame:
+    """One row ``documents, cores, distinct_cores, core_chars, distinct_chars``: what encoding each core once saves."""
+    pieces = document_pieces(documents, **options)
+    per = pieces.groupBy(F.xxhash64("core").alias("h"), F.length("core").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("seq") == 0).alias("docs"))
+    held = F.col("size") > 0
+    total = lambda c: F.coalesce(F.sum(F.when(held, c)), F.lit(0))
+    return per.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("documents"), total(F.col("n")).alias("cores"), F.count_if(held).alias("distinct_cores"), total(F.col("n") * F.col("size")).alias("core_chars"), total(F.col("size")).alias("distinct_chars"))
 
 
 def token_counts(text: str = "text", *, name: str = "byte_bpe_50k", folder: str = TOKENIZERS):
