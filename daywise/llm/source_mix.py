@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from daywise.llm.tokenize_corpus import token_counts
-from daywise.session import stored
+from daywise.session import spread, stored
 
 #: Targets are few; their table is collected and its size checked.
 MOST_TARGETS = 100_000
-#: Tokens that the exact fitting may span; above it whole documents are taken in proportion first.
-EXACT_SPAN = 2_000_000
 BUCKETS = 1024
 
 
-def fit_budget(lengths: list[tuple[int, int]], budget: int, *, span: int = EXACT_SPAN) -> dict[int, int]:
+def fit_budget(lengths: list[tuple[int, int]], budget: int) -> dict[int, int]:
     """How many documents of each length to take, for a total as near ``budget`` as can be, not above it if possible.
 
     ``lengths`` are (tokens, documents). Documents are first taken in proportion to their number, so lengths keep
-    their mix; a few are given back to leave room, and what remains is a bounded knapsack: its reachable sums are the
-    bits of one integer, each length's count is split into powers of two, and the best sum is walked back.
+    their mix; as many are given back, from the longest on, as leave room of eight times the longest document, and
+    what remains is a bounded knapsack (``_nearest_sum``) over all lengths, whatever these are.
     """
     lengths = sorted((n, c) for n, c in lengths if n > 0 and c > 0)
     total = sum(n * c for n, c in lengths)
@@ -31,47 +30,51 @@ def fit_budget(lengths: list[tuple[int, int]], budget: int, *, span: int = EXACT
         return dict(lengths)
     taken = {n: c * budget // total for n, c in lengths}
     rest = budget - sum(n * k for n, k in taken.items())
-    longest = lengths[-1][0]
-    # Give back the longest documents until the exact part has room to choose.
-    room = min(span, max(rest, 8 * longest))
+    room = 8 * lengths[-1][0]
+    for n, c in reversed(lengths):  # what rounding left beyond the room
+        more = min(c - taken[n], max(0, rest - room) // n)
+        taken[n] += more
+        rest -= more * n
     for n, _ in reversed(lengths):
-        back = min(taken[n], max(0, (room - rest) // n))
+        back = min(taken[n], max(0, room - rest) // n)
         taken[n] -= back
         rest += back * n
-    # If proportion left more than the span, take from the longest on.
-    for n, c in reversed(lengths):
-        if rest <= span:
-            break
-        more = min(c - taken[n], (rest - span + n - 1) // n, rest // n)
-        taken[n] += more
-        rest -= more * n
-    # Reachable sums up to the rest, and, for the smallest overshoot, up to the longest document beyond it.
-    limit = rest + longest
-    mask = (1 << (limit + 1)) - 1
-    layers, reach = [], 1
+    for n, k in _nearest_sum([(n, c - taken[n]) for n, c in lengths], rest).items():
+        taken[n] += k
+    return {n: k for n, k in taken.items() if k}
+
+
+def _nearest_sum(lengths: list[tuple[int, int]], rest: int) -> dict[int, int]:
+    """Counts of each length, at most the given ones, whose sum is nearest to ``rest`` (of two, the lower).
+
+    Each length's count is split into powers of two. For every sum up to the longest document beyond ``rest`` the part
+    that reached it first is kept (four bytes a token of that span), from which the best sum is walked back: a sum's
+    first part is later than those of the sum it was reached from, so no part is used twice. It ends as soon as
+    ``rest`` itself is reached.
+    """
+    limit = rest + max(n for n, _ in lengths)
+    first = np.full(limit + 1, -1, dtype=np.int32)
+    first[0] = 0
+    parts: list[tuple[int, int]] = [(0, 0)]
     for n, c in lengths:
-        free, size = c - taken[n], 1
-        free = min(free, limit // n)
-        while free > 0:
+        free, size = min(c, limit // n), 1
+        while free > 0 and first[rest] < 0:
             size = min(size, free)
-            fresh = (reach | (reach << (n * size))) & mask
-            if fresh != reach:
-                layers.append((n, size, reach))
-                reach = fresh
+            step = n * size
+            fresh = (first[: limit + 1 - step] >= 0) & (first[step:] < 0)
+            if fresh.any():
+                first[step:][fresh] = len(parts)
+            parts.append((n, size))
             free -= size
             size *= 2
-    below = (reach & ((1 << (rest + 1)) - 1)).bit_length() - 1
-    above = reach >> (rest + 1)
-    best = below
-    if above:
-        over = rest + 1 + ((above & -above).bit_length() - 1)
-        if over - rest < rest - below:
-            best = over
-    for n, size, before in reversed(layers):
-        if not before >> best & 1:
-            taken[n] += size
-            best -= n * size
-    return {n: k for n, k in taken.items() if k}
+    reached = np.nonzero(first >= 0)[0]
+    best = int(reached[np.argmin(np.abs(reached - rest))])
+    out: dict[int, int] = {}
+    while best:
+        n, size = parts[first[best]]
+        out[n] = out.get(n, 0) + size
+        best -= n * size
+    return out
 
 
 def mix_plan(sizes: DataFrame, mix_target: DataFrame, total_tokens: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -81,9 +84,9 @@ def mix_plan(sizes: DataFrame, mix_target: DataFrame, total_tokens: int | None =
     proportion. Without ``total_tokens`` the total is the largest at which every source reaches its share within its
     repeats.
     """
-    targets = mix_target.groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats")).limit(MOST_TARGETS + 1)
+    targets = mix_target.groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
     held = sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count_if(F.col("n_tokens") > 0).alias("documents"))
-    rows = targets.filter("source is not null and target_weight > 0 and max_repeats > 0").join(held, "source", "left").collect()
+    rows = targets.filter("source is not null and target_weight > 0 and max_repeats > 0").join(held, "source", "left").limit(MOST_TARGETS + 1).collect()
     if len(rows) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} sources with a target")
     live = [r for r in rows if (r.tokens or 0) > 0]
@@ -114,11 +117,12 @@ def mix_sources(documents: DataFrame, mix_target: DataFrame, *, total_tokens: in
     and a rest that a bounded-knapsack dynamic program meets by counts per length; documents are then chosen by
     seeded hash to these counts (by counted hash buckets, ranked only in the last bucket). No document is used more
     than ``max_repeats`` times. Documents without tokens, of no source or of one without target are not used.
-    Repeated rows of an id count once. The report ``source, target_weight, live_weight, max_repeats, documents,
+    Repeated rows of an id and source count once, with the most tokens. The report ``source, target_weight, live_weight, max_repeats, documents,
     tokens, used_tokens, share`` has every source with a target or documents; a null source is reported as such.
     """
-    docs = documents.groupBy("doc_id", "source").agg(F.max("text").alias("text"))
-    docs = stored(docs.select("doc_id", "source", token_counts("text").alias("n_tokens")))
+    # Texts are counted where they are read; only the counts are shuffled.
+    sized = spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", token_counts("text").alias("n_tokens"))
+    docs = stored(sized.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens")))
     takes, plan = mix_plan(docs, mix_target, total_tokens)
     takes = stored(takes)
     marked = docs.filter("n_tokens > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
@@ -135,6 +139,6 @@ def mix_sources(documents: DataFrame, mix_target: DataFrame, *, total_tokens: in
     all_sources = docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))
     targets = mix_target.filter("source is not null").groupBy("source").agg(F.max("target_weight").alias("target_weight"), F.max("max_repeats").alias("max_repeats"))
     report = all_sources.join(targets, "source", "full_outer").join(plan.select("source", "live_weight"), "source", "left").join(sums, "source", "left")
-    report = report.fillna(0, ["documents", "tokens", "used_tokens"]).withColumn("whole", F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))
-    share = F.when(F.col("whole") > 0, F.col("used_tokens") / F.col("whole"))
-    return used, report.select("source", "target_weight", "live_weight", "max_repeats", "documents", "tokens", "used_tokens", share.alias("share"))
+    report = report.fillna(0, ["documents", "tokens", "used_tokens"])
+    whole = sums.agg(F.sum("used_tokens")).scalar()
+    return used, report.select("source", "target_weight", "live_weight", "max_repeats", "documents", "tokens", "used_tokens", F.when(whole > 0, F.col("used_tokens") / whole).alias("share"))

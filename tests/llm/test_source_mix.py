@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -44,3 +45,22 @@ def test_stated_total_and_empty(spark):
     none = spark.createDataFrame([], "doc_id long, source string, text string")
     used, report = M.mix_sources(none, spark.createDataFrame([("a", 1.0, 1)], "source string, target_weight double, max_repeats int"))
     assert used.count() == 0 and [r.used_tokens for r in report.collect()] == [0]
+
+
+def test_long_documents_are_fitted_as_exactly_as_short_ones():
+    rnd = random.Random(5)
+    lengths = {rnd.randrange(1_000_000, 3_000_000): rnd.randint(1, 3) for _ in range(12)} | {7: 9, 5_000: 40}
+    budget = sum(n * c for n, c in lengths.items()) // 2
+    taken = M.fit_budget(list(lengths.items()), budget)
+    assert all(0 < k <= lengths[n] for n, k in taken.items()) and abs(sum(n * k for n, k in taken.items()) - budget) < 5_000
+
+
+def test_targets_that_count_for_nothing_displace_none(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_TARGETS", 2)
+    docs = spark.createDataFrame([(i, s, "a few words") for i, s in enumerate(["a", "b"] * 20)], "doc_id long, source string, text string")
+    target = [(f"none{i}", 0.0, 1) for i in range(50)] + [("a", 0.5, 1), ("b", 0.5, 1)]
+    used, report = M.mix_sources(docs, spark.createDataFrame(target, "source string, target_weight double, max_repeats int"))
+    assert used.count() == 40 and {r.source: r.share for r in report.collect() if r.used_tokens} == {"a": 0.5, "b": 0.5}
+    more = spark.createDataFrame([(s, 1.0, 1) for s in "abc"], "source string, target_weight double, max_repeats int")
+    with pytest.raises(ValueError, match="more than 2"):
+        M.mix_sources(docs, more)
