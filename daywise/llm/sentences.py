@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +53,10 @@ COMMON = {
     "fr": "le la les de du des et est à après jour ne pas une un au pour par reste",
     "es": "el la los las de del y es no una un al en día por para tras queda que",
 }
+# English words that a single capital letter names a kind of; such a letter is no initial.
+LETTERED = frozenset("vitamin hepatitis group type class grade plan figure fig table appendix schedule ward room block factor section part point option team unit level phase stage category annex exhibit schedule".split())
+# English words that begin a sentence after an abbreviation in capitals, beside the frequent ones.
+OPENERS = frozenset("he she it we they you i a an there here then after as if when while all both please her his their our my its these those".split())
 #: German words before a day number with a full stop that is an ordinal.
 ORDINAL_BEFORE = frozenset("am vom zum der die das den dem des im bis ab seit dieser jeder".split())
 PAIRS = {"“": "”", "„": "“”", "«": "»", "»": "«", "‹": "›", "「": "」", "『": "』", "‘": "’", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉", '"': '"', "＂": "＂"}
@@ -74,7 +79,11 @@ def _patterns():
         "blank": regex.compile(r"(?:\r\n|[\n\r\v\f\x85 ])(?:[^\S\n\r\v\f\x85  ]*(?:\r\n|[\n\r\v\f\x85 ]))+| "),
         "line": regex.compile(r"\r\n|[\n\r\v\f\x85 ]"),
         "item": regex.compile(r"\s*(?:([-*•‣▪◦·])|\(?(\d{1,3}|[a-zA-Z])([.)）、]))(?=[^\S\n])\s*"),
-        "word": regex.compile(r"[\p{L}\p{M}\p{N}.№°/–-]+$"),
+        # Read from the right: the word that ends at a place, and the one before it.
+        "word": regex.compile(r"(?r)[\p{L}\p{M}\p{N}.№°/–-]+"),
+        "prior": regex.compile(r"(?r)([\p{L}\p{M}\p{N}.№°/–-]+)\s*"),
+        "opening": regex.compile(r"[\p{L}\p{M}]+"),
+        "spacing": regex.compile(r"[\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]"),
         "close": regex.compile(r"[\p{Sentence_Break=Close}--[\p{Ps}\p{Pi}¿¡]]", regex.V1),
         "thai": regex.compile(r"(?<=([\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])|(.))(?:([^\S\n]*[\xa0　][^\S\n]*|[^\S\n]{2,})|\s+)(?=([\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])|(.))", regex.S),
         # Lower-case beginnings that are symbols, not words: pH, eGFR, mmol/L, p5:L77.
@@ -84,25 +93,20 @@ def _patterns():
     }
 
 
+#: Letters of the scripts that tell a language, by code points.
+_SCRIPTS = {"ru": re.compile("[\u0400-\u0481\u048a-\u052f]"), "ar": re.compile("[\u0620-\u064a\u066e-\u06d3\u06ee-\u077f]"), "hi": re.compile("[\u0904-\u0939\u0958-\u0961\u0971-\u097f]"), "latin": re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]")}
+_COMMON = {k: frozenset(v.split()) for k, v in COMMON.items()}
+
+
 def _language(text: str, lang: str | None) -> str:
     """The language whose abbreviations hold in a block: by script, in Latin script by frequent words."""
-    counts = {"ru": 0, "ar": 0, "hi": 0, "latin": 0}
-    for c in text:
-        if c.isalpha():
-            o = ord(c)
-            if o < 0x250:
-                counts["latin"] += 1
-            elif 0x400 <= o < 0x530:
-                counts["ru"] += 1
-            elif 0x600 <= o < 0x780:
-                counts["ar"] += 1
-            elif 0x900 <= o < 0x980:
-                counts["hi"] += 1
-    kind = max(counts, key=counts.get)
-    if kind != "latin":
-        return kind
+    if not text.isascii():
+        counts = {k: len(p.findall(text)) for k, p in _SCRIPTS.items()}
+        kind = max(counts, key=counts.get)
+        if kind != "latin":
+            return kind
     words = _patterns()["latin"].findall(text.lower())
-    hits = {k: sum(w in own for w in words) for k, own in ((k, frozenset(v.split())) for k, v in COMMON.items())}
+    hits = {k: sum(map(own.__contains__, words)) for k, own in _COMMON.items()}
     best = max(hits, key=hits.get)
     if hits[best] == 0:
         said = (lang or "").lower()[:2]
@@ -110,20 +114,27 @@ def _language(text: str, lang: str | None) -> str:
     return best
 
 
+_MARK = re.compile(f"[{re.escape(''.join(sorted(_MARKS)))}]")
+#: For each closing mark the marks it closes.
+_OPENERS = {c: tuple(o for o, ends in PAIRS.items() if c in ends) for c in _MARKS}
+
+
 def _quotes(text: str) -> list[tuple[int, int]]:
     """Outermost balanced quotations and brackets, as spans of their marks; marks without a double are passed over."""
     pairs: list[tuple[int, int]] = []
     stack: list[int] = []
+    levels: dict[str, list[int]] = {}  # of each mark the places in the stack where it is open
     inward = "«" in text
-    for i, c in enumerate(text):
-        if c not in _MARKS:
-            continue
-        # The nearest of the last few open marks that this one closes; those opened since stay without a double.
-        at = next((k for k in range(len(stack) - 1, max(-1, len(stack) - 9), -1) if c in PAIRS[text[stack[k]]]), None)
+    for m in _MARK.finditer(text):
+        i, c = m.start(), m.group()
+        # The nearest open mark that this one closes; those opened since stay without a double.
+        at = max((levels[o][-1] for o in _OPENERS[c] if levels.get(o)), default=None)
         if at is not None:
             pairs.append((stack[at], i))
-            del stack[at:]
+            while len(stack) > at:
+                levels[text[stack.pop()]].pop()
         elif c in PAIRS and c != "‘" and not (c == "»" and inward):
+            levels.setdefault(c, []).append(len(stack))
             stack.append(i)
     out: list[tuple[int, int]] = []
     for a, b in sorted(pairs):
@@ -132,8 +143,11 @@ def _quotes(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _suppressed(word: str, before: str, lang: str, nxt: str, lower: bool) -> bool:
-    """Whether the full stop after ``word`` is that of an abbreviation or ordinal, given the next visible character."""
+def _suppressed(word: str, before: str, lang: str, nxt: str, lower: bool, then: str) -> bool:
+    """Whether the full stop after ``word`` is that of an abbreviation, ordinal or initial.
+
+    ``before`` is the word before it, ``nxt`` the next visible character and ``then`` the word that begins there.
+    """
     own = _tables().get(lang) or _tables()["en"]
     w = word.lower().lstrip(".-–/")
     if not w:
@@ -142,12 +156,19 @@ def _suppressed(word: str, before: str, lang: str, nxt: str, lower: bool) -> boo
         return True
     if w in own["num"] and (nxt.isdigit() or nxt in "–-№"):
         return True
-    if w in own["low"]:
-        return lower
+    if w in own["low"] or len(w) > 2 and _CAPITALS.fullmatch(word):
+        # In capitals (U.S.) it goes on with a name, unless a word follows that begins sentences.
+        return lower or bool(_CAPITALS.fullmatch(word)) and nxt.isupper() and then.lower() not in OPENERS and then.lower() not in _COMMON["en"]
     if lang == "de" and w.isdigit() and len(w) <= 2:
         return before.lower() in ORDINAL_BEFORE
-    # Initials: one capital after a name or a title.
-    return len(word) == 1 and word.isupper() and before[:1].isupper() and before[-1:].islower() and nxt.isupper() and lang in ("en", "fr", "es") and word not in "I"
+    # Initials: one capital after a name, a title or another initial.
+    if not (len(word) == 1 and word.isupper() and nxt.isupper() and lang in ("en", "fr", "es") and word != "I"):
+        return False
+    title = before.endswith(".") and (before.lower().rstrip(".") in own["any"] or len(before) == 2 and before[0].isupper())
+    return title or before[:1].isupper() and before[-1:].islower() and before.lower() not in LETTERED
+
+
+_CAPITALS = re.compile(r"(?:[A-Z]\.)+[A-Z]")
 
 
 def _block(text: str, lang: str | None) -> list[int]:
@@ -186,6 +207,12 @@ def _follows(a: str, b: str | None) -> bool:
     return len(a) == len(b) == 1 and ord(b) == ord(a) + 1
 
 
+@functools.lru_cache(maxsize=65_536)
+def _is(kind: str, c: str) -> bool:
+    """Whether a character is of one of the patterns' kinds."""
+    return _patterns()[kind].match(c) is not None
+
+
 def _run(text: str, lang_said: str | None) -> list[int]:
     """Where sentences begin after the first in running text."""
     p = _patterns()
@@ -211,7 +238,7 @@ def _run(text: str, lang_said: str | None) -> list[int]:
     for m in p["term"].finditer(text):
         end = m.end()
         quote = inside(m.start())
-        while end < n and p["close"].match(text[end]) and not (quote is None and text[end] in "\"'" and inside(end) is None and end + 1 < n and not text[end + 1].isspace()):
+        while end < n and _is("close", text[end]) and not (quote is None and text[end] in "\"'" and inside(end) is None and end + 1 < n and not text[end + 1].isspace()):
             end += 1
         if quote is not None:
             a, b = quote
@@ -219,17 +246,17 @@ def _run(text: str, lang_said: str | None) -> list[int]:
             if text[m.end() : b].strip():
                 continue
             end = b + 1
-            while end < n and p["close"].match(text[end]):
+            while end < n and _is("close", text[end]):
                 end += 1
         after = visible(end)
         if after >= n:
             continue
         nxt = text[after]
         spaced = after > end
-        free = bool(p["free"].match(nxt))
+        free = _is("free", nxt)
         mark = m.group()
         lower = nxt.islower() and not p["symbol"].match(text, after)
-        if p["term"].match(nxt) or nxt in ",，、;；:：" or (nxt in "»”’\"" and not spaced):
+        if _is("term", nxt) or nxt in ",，、;；:：" or (nxt in "»”’\"" and not spaced):
             continue
         if nxt in "-–—" and not spaced:
             continue
@@ -241,7 +268,7 @@ def _run(text: str, lang_said: str | None) -> list[int]:
             if led and not free and lower:
                 continue
         if mark[-1] in ".…‥․" and (mark.endswith("..") or mark[-1] in "…‥"):
-            wide = m.start() > 0 and p["free"].match(text[m.start() - 1])
+            wide = m.start() > 0 and _is("free", text[m.start() - 1])
             if not wide and (lower or not spaced and not free):
                 continue
         elif mark == "." or mark == "․":
@@ -251,20 +278,19 @@ def _run(text: str, lang_said: str | None) -> list[int]:
                 continue
             if not spaced and not free:
                 continue
-            w = p["word"].search(text, max(0, m.start() - 40), m.start())
-            word = w.group() if w else ""
-            prior = text[max(0, m.start() - 80) : m.start() - len(word)].rstrip()
-            pw = p["word"].search(prior)
-            if lang is None:
-                lang = _language(text, lang_said)
-            if quote is None and word and _suppressed(word, pw.group() if pw else "", lang, nxt, lower):
-                continue
+            w = p["word"].match(text, 0, m.start()) if quote is None else None
+            if w is not None:
+                if lang is None:
+                    lang = _language(text, lang_said)
+                before, then = p["prior"].match(text, 0, w.start()), p["opening"].match(text, after)
+                if _suppressed(w.group(), before.group(1) if before else "", lang, nxt, lower, then.group() if then else ""):
+                    continue
         elif mark[-1] in "!?" and (not spaced and not free or lower):
             continue
         elif mark[-1] in "؟۔" and not spaced:
             continue
         cuts.append(after)
-    for m in p["thai"].finditer(text):
+    for m in p["thai"].finditer(text) if p["spacing"].search(text) else ():
         # Scripts that end sentences by a space: one between letters, or a wide one on either side of a letter.
         left, right = m.group(1), m.group(4)
         if left and right or m.group(3) and (left or right):

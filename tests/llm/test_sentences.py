@@ -22,6 +22,11 @@ CASES = [
     "|備考に「検体凝固。再採取。」とある。|次の文。|「有効か？」と尋ねた。",
     "|नमूना स्पष्ट नहीं है। |डॉ. मिरेंका ने लिखा (देखें चित्र 3)। |क्या?",
     "|المراجع لا يحمل وقتا. |د. ميرنكا يذكر القيمة 5.3؛ والوحدة مفقودة. |هل هو واضح؟ |نعم!",
+    "|Dr. J. R. Smith came. |Prof. A. Miller and John F. Kennedy left.",
+    "|The U.S. Army came. |It lives in the U.S. |The war ended. |Is U.S. law valid?",
+    "|Take Vitamin B. |Next day it rose. |See Table B. |Patients agreed.",
+    "|“" + "(" * 20 + "One. Two.” said he. |Next.",
+    "|" + "x" * 300 + " " * 100 + "Dr. Miller came. |Y" + "y" * 100 + ". |Next.",
     "|หน้าที่ 9 ไม่ระบุเวลา |แพทย์เวรไม่มีหน่วยวัด |ค่า 9.1 และ 8 มาจากรายงานเดียวกัน",
 ]
 
@@ -42,6 +47,7 @@ def test_blank_and_long():
     assert sentence_starts("　 a") == [2]
     assert len(sentence_starts("Yes it is. " * 20_000)) == 20_000
     assert sentence_starts("(" * 100_000) == [0]
+    assert len(sentence_starts("(“a. B” [" * 20_000 + "End. Go.")) >= 1
 
 
 def test_documents(spark):
