@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,10 +32,19 @@ NO_NAME = frozenset(
 CAP = r"[A-ZÄÖÜ][a-zäöüßé]+(?:-[A-ZÄÖÜ][a-zäöüßé]+)?"
 UPPER = r"[A-ZÄÖÜ]{2,}(?:-[A-ZÄÖÜ]{2,})?"
 
-EMAIL = re.compile(r"(?<![A-Za-z0-9_.+-])[A-Za-z0-9_](?:[\w.+-]*[\w+-])?(?:@| ?\(at\) ?| ?\[at\] ?| @ )[A-Za-z0-9](?:[\w-]*\w)?(?:(?:\.| ?[\[(](?:dot|punkt)[\])] ?)[A-Za-z0-9-]+)*(?:\.| ?[\[(](?:dot|punkt)[\])] ?)[A-Za-z]{2,}(?![A-Za-z0-9])|(?<![A-Za-z0-9_.+-])[A-Za-z0-9_][\w.+-]* at [A-Za-z0-9][\w-]*(?: dot [A-Za-z0-9-]+)+", re.IGNORECASE)
+EMAIL = re.compile(r"(?<![A-Za-z0-9_.+-])(?:(?<!')[A-Za-z]')?[A-Za-z0-9_](?:[\w.+-]*[\w+-])?@[A-Za-z0-9](?:[\w-]*\w)?(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9])")
+_LOCAL, _OPEN, _SHUT = r"[A-Za-z0-9_](?:[\w.+-]*[\w+-])?", r"\s*[\[({<]\s*", r"\s*[\])}>]\s*"
+_SAID_DOT = rf"(?:{_OPEN}(?:dot|punkt|\.){_SHUT}|\s+(?:dot|punkt)\s+)"
+_SAID_AT = rf"(?:{_OPEN}(?:at|@){_SHUT}|\s+at\s+(?=[\w-]+(?:\.[\w-]+)*{_SAID_DOT})|\s@\s|@)"
+#: An address of which marks are said or set apart; what stands for them becomes the mark.
+_SAID_EMAIL = re.compile(rf"(?<![A-Za-z0-9_.+-]){_LOCAL}(?:{_SAID_DOT}{_LOCAL})*(?P<at>{_SAID_AT})[A-Za-z0-9](?:[\w-]*\w)?(?:(?:\.|{_SAID_DOT})[A-Za-z0-9-]+)*(?:\.|{_SAID_DOT})[A-Za-z]{{2,}}(?![A-Za-z0-9])", re.IGNORECASE)
+_DOT_MARK = re.compile(_SAID_DOT, re.IGNORECASE)
+_SAID_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|punkt|\.)\s*[\])}>]|\s@\s|\s(?:at|dot|punkt)\s", re.IGNORECASE)
 ID = re.compile(
     r"(?<![\dA-Za-z-])(?:[1-9]\d{5} ?(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01]) ?\d{3}[\dXx]|\d{3}-\d{2}-\d{4}|999[ -]\d{3}[ -]\d{4}|[A-Z]{1,3}\d{6,9}[A-Z]?)(?![\d-]*\d)"
 )
+#: Identifiers known by their check digits, whatever stands before them.
+ID_CHECKED = re.compile(r"(?<![\dA-Za-z.,/:+-])(?<!\d )(?:(?P<ten>\d{3} \d{3} \d{4})|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?))(?![\dA-Za-z]|[.,:/-]\d)")
 ID_CUED = re.compile(r"(?:\bID|\bVers(?:icherten)?\.?-?(?:Nr\.?|nummer)|Insurance record|NHS(?: No\.?)?|SSN|Passport(?: No\.?)?|证件号|身份证号?|医保号)[ :：]*(?=([\dA-Z][\dA-Za-z -]{5,22}[\dA-Za-z]))")
 PHONE = re.compile(
     r"(?<![\d/:.,+-])(?<!\d )(?:"
@@ -61,12 +72,13 @@ _BEFORE_ZH = re.compile(r".*(?:住址|地址|现住|寄送至|送至|寄至|家
 
 _NAME_STRONG = re.compile(rf"(?<![\w./-])(?:{UPPER}, {CAP}|{CAP} [A-Z]\. {CAP}|(?<!\d )(?<!z\. )[A-Z]\. ?{CAP}(?!-))(?![\w])")
 _NAME_CUED = re.compile(rf"(?<![\w.-])(?:{CAP}, {CAP}|{CAP} {CAP})(?![\w-])")
-_LEFT = re.compile(
-    r"(?:Requested by|Patient(?:in)?:|\bName:?|(?:relabelled|signed|checked|countersigned|reviewed) by|Spoke with|(?:to|with|by|from) (?:Dr|Prof)\.|\b(?:Dr|Prof|Mrs?|Ms|Frau|Herrn?)\.?|[Ii]nform|attn\.|[Rr]elative,|attached;|Einsender:?|wurde von|Telefonat mit|\bBitte|Angehöriger?:|Kontakt:|Contact:)\s*$"
+_LEFT = regex.compile(
+    r"(?r)(?:Requested by|Patient(?:in)?:|\bName:?|(?:relabelled|signed|checked|countersigned|reviewed) by|Spoke with|(?:to|with|by|from) (?:Dr|Prof)\.|\b(?:Dr|Prof|Mrs?|Ms|Frau|Herrn?)\.?|[Ii]nform|attn\.|[Rr]elative,|attached;|Einsender:?|wurde von|Telefonat mit|\bBitte|Angehöriger?:|Kontakt:|Contact:|\bpatient(?:in)?|\b(?:de|pour|chez) M(?:me|lle|\.)|\bSigned:?|gez\.)\s*"
 )
 _RIGHT = re.compile(
-    r"\s*(?:countersigned|agreed\b|\((?:daughter|son|wife|husband|mother|father|sister|brother|Tochter|Sohn|Ehefrau|Ehemann|Mutter|Vater|Schwester|Bruder)\)|, lives at|, wohnhaft|gegengezeichnet|vor Entlassung|, address\b|(?:on|unter) [+(\d]|(?:at|um) \d\d:\d\d)"
+    r"\s*(?:countersigned|agreed\b|\((?:daughter|son|wife|husband|mother|father|sister|brother|Tochter|Sohn|Ehefrau|Ehemann|Mutter|Vater|Schwester|Bruder)\)|, lives at|, wohnhaft|gegengezeichnet|vor Entlassung|, address\b|(?:on|unter) [+(\d]|(?:at|um) \d\d:\d\d|was seen\b|was informed\b|a sign[ée]\b|hat unterschrieben)"
 )
+_AND_LEFT = regex.compile(r"(?r)\b(?:and|und) ")
 _AND_RIGHT = re.compile(r"\s*(?:and|und) ")
 #: Signs that scanning puts for letters of a cue.
 _MISREAD = str.maketrans("01589@!|", "olsbgail")
@@ -111,49 +123,96 @@ def _one(c: str) -> str:
     return " " if out.isspace() else (out.translate(HOMOGLYPHS) if len(out) == 1 else out)
 
 
-#: Each spelled digit holds one of these; a cheap test before the search.
-_GATE = ("ero", "ull", "oh", "hree", "our", "ive", "ix", "even", "ight", "ine", "ne", "wo", "ein", "wei", "rei", "ier", "ünf", "echs", "ieben", "cht", "eun", *(w for w in SPELLED if len(w) == 1))
 _DIGIT_WORD = re.compile("|".join(rf"(?<![^\W\d_]){w}(?![^\W\d_])" if w.isascii() or "ü" in w else w for w in sorted(SPELLED, key=len, reverse=True)), re.IGNORECASE)
 _DIGIT_RUN = re.compile(rf"(?:(?:{_DIGIT_WORD.pattern}|\d)[ .-]?){{6,}}", re.IGNORECASE)
+#: Each spelled digit holds one of these; a cheap test before the search.
+_GATE = re.compile("|".join(("ero", "ull", "oh", "hree", "our", "ive", "ix", "even", "ight", "ine", "ne", "wo", "ein", "wei", "rei", "ier", "nf", "echs", "ieben", "cht", "eun", *(w for w in SPELLED if len(w) == 1))), re.IGNORECASE)
 
 
-def normalise(text: str) -> tuple[str, list[int] | None]:
-    """``text`` without disguises, and the source place of each of its characters (None: all in place).
+class Normal(NamedTuple):
+    """A text without disguises, and for each of its characters where its source begins and ends (None: in place)."""
 
-    Full-width and look-alike characters become ASCII ones, invisible ones vanish, and a run of at least six digits
-    of which some are spelled becomes digits.
-    """
-    if text.isascii():
-        out, at = text, None
-    else:
-        parts = [_one(c) for c in text]
-        out = "".join(parts)
-        at = None if all(len(p) == 1 for p in parts) else [i for i, p in enumerate(parts) for _ in p]
-    low = out.lower()
-    if sum(map(low.count, _GATE)) >= 3 and len(_DIGIT_WORD.findall(out)) >= 3:
-        places = list(range(len(out))) if at is None else at
-        fresh: list[str] = []
-        where: list[int] = []
+    text: str
+    starts: list[int] | None = None
+    ends: list[int] | None = None
+
+    def source(self, a: int, b: int) -> tuple[int, int]:
+        """The source span of ``text[a:b]``: all characters that any of it stands for."""
+        return (a, b) if self.starts is None or self.ends is None else (self.starts[a], self.ends[b - 1])
+
+    def with_edits(self, edits: list[tuple[int, int, str]]) -> Normal:
+        """The text with spans replaced by one character each (or by nothing), which stands for the whole span."""
+        if not edits:
+            return self
+        starts = self.starts if self.starts is not None else list(range(len(self.text)))
+        ends = self.ends if self.ends is not None else list(range(1, len(self.text) + 1))
+        text: list[str] = []
+        a_of: list[int] = []
+        b_of: list[int] = []
         last = 0
+        for a, b, new in [*edits, (len(self.text), len(self.text), "")]:
+            text.append(self.text[last:a])
+            a_of += starts[last:a]
+            b_of += ends[last:a]
+            if new:
+                text.append(new)
+                a_of.append(starts[a])
+                b_of.append(ends[b - 1])
+            last = b
+        return Normal("".join(text), a_of, b_of)
+
+
+def _plain_characters(text: str) -> Normal:
+    """Full-width and look-alike characters as ASCII ones, invisible ones gone."""
+    if text.isascii():
+        return Normal(text)
+    parts = [_one(c) for c in text]
+    if all(len(p) == 1 for p in parts):
+        return Normal("".join(parts))
+    starts = [i for i, p in enumerate(parts) for _ in p]
+    return Normal("".join(parts), starts, [i + 1 for i in starts])
+
+
+def _plain_digits(seen: Normal) -> Normal:
+    """Digits for spelled ones, in runs of at least six digits of which two or more are spelled."""
+    out = seen.text
+    edits: list[tuple[int, int, str]] = []
+    if _GATE.search(out):
         for run in _DIGIT_RUN.finditer(out):
-            if not _DIGIT_WORD.search(run.group()):
-                continue
-            fresh.append(out[last : run.start()])
-            where += places[last : run.start()]
-            i = run.start()
-            while i < run.end():
-                w = _DIGIT_WORD.match(out, i)
-                fresh.append(SPELLED[w.group().lower()] if w else out[i])
-                where.append(places[i])
-                i = w.end() if w else i + 1
-                if w and i < run.end() and out[i] == " ":
-                    i += 1
-            last = run.end()
-        if last:
-            fresh.append(out[last:])
-            where += places[last:]
-            out, at = "".join(fresh), where
-    return out, at
+            words = list(_DIGIT_WORD.finditer(out, run.start(), run.end()))
+            if len(words) >= 2:
+                for w in words:
+                    edits.append((w.start(), w.end(), SPELLED[w.group().lower()]))
+                    if w.end() < run.end() and out[w.end()] == " ":
+                        edits.append((w.end(), w.end() + 1, ""))
+    return seen.with_edits(edits)
+
+
+def _plain_marks(seen: Normal) -> Normal:
+    """The marks of addresses in which they are said or set apart: ``a dot b (at) c dot org`` is ``a.b@c.org``."""
+    edits: list[tuple[int, int, str]] = []
+    if _SAID_HINT.search(seen.text):
+        for m in _SAID_EMAIL.finditer(seen.text):
+            at = m.span("at")
+            for a, b in ((m.start(), at[0]), (at[1], m.end())):
+                edits += [(d.start(), d.end(), ".") for d in _DOT_MARK.finditer(seen.text, a, b)]
+            if seen.text[at[0] : at[1]] != "@":
+                edits.append((*at, "@"))
+    return seen.with_edits(sorted(edits))
+
+
+def normalise(text: str) -> Normal:
+    """``text`` without disguises: transducers over characters, spelled digits and marks, one after the other."""
+    return _plain_marks(_plain_digits(_plain_characters(text)))
+
+
+def _checked(m: re.Match) -> bool:
+    """Whether an identifier's check digits hold: of ten digits modulo 11, of an account number modulo 97."""
+    if m.group("ten"):
+        digits = [int(c) for c in m.group() if c.isdigit()]
+        return len(set(digits)) > 2 and -sum(d * (10 - i) for i, d in enumerate(digits[:9])) % 11 == digits[9]
+    bare = m.group().replace(" ", "")
+    return len(bare) >= 15 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
 
 def _clean(found: str) -> str:
@@ -166,7 +225,8 @@ def detect(text: str, before: str = "", after: str = "") -> list[tuple[int, int,
     ``before`` and ``after`` may hold several lines where furniture may stand between (the nearest last, or first);
     each of them is tried as the neighbour. Order of precedence: email, identifier, telephone, address, name. What a kind has taken is no part of another.
     """
-    line, at = normalise(text)
+    seen = normalise(text)
+    line = seen.text
     n = len(line)
     free = bytearray(b"\x01") * n
     out: list[tuple[int, int, str]] = []
@@ -178,7 +238,7 @@ def detect(text: str, before: str = "", after: str = "") -> list[tuple[int, int,
         out.append((a, b, kind))
         return True
 
-    if "@" in line or " at " in line or "(at)" in line or "[at]" in line or "(AT)" in line or "[AT]" in line:
+    if "@" in line:
         for m in EMAIL.finditer(line):
             take(m.start(), m.end(), "email")
     digits = sum(map(line.count, "0123456789"))
@@ -192,6 +252,9 @@ def detect(text: str, before: str = "", after: str = "") -> list[tuple[int, int,
             take(m.start(), m.start() + len(_clean(m.group())), "phone")
         for m in PHONE_CUED.finditer(line):
             take(m.start(1), m.start(1) + len(_clean(m.group(1))), "phone")
+        for m in ID_CHECKED.finditer(line):
+            if _checked(m):
+                take(m.start(), m.end(), "id_number")
     if digits:
         if _STREET_EN.search(line):
             for m in ADDRESS_EN.finditer(line):
@@ -205,7 +268,7 @@ def detect(text: str, before: str = "", after: str = "") -> list[tuple[int, int,
                 take(m.start() + (cue.end() if cue else 0), m.end(), "street_address")
     befores, afters = before.split("\n")[::-1], after.split("\n")
     if any("㐀" <= c <= "鿿" for c in line):
-        tails, aheads = [normalise(x[-16:])[0] for x in befores], [normalise(x[:16])[0] for x in afters]
+        tails, aheads = [normalise(x).text for x in befores], [normalise(x).text for x in afters]
         for tail, ahead in [(t, aheads[0]) for t in tails] + [(tails[0], x) for x in aheads[1:]]:
             whole = f"{tail}\n{line}\n{ahead}"
             o = len(tail) + 1
@@ -215,10 +278,7 @@ def detect(text: str, before: str = "", after: str = "") -> list[tuple[int, int,
                     take(a, b, "person_name")
     else:
         _latin_names(line, befores, afters, take, _HYPHEN.search(text) is not None)
-    out.sort()
-    if at is not None:
-        out = [(at[a], at[b - 1] + 1, k) for a, b, k in out]
-    return out
+    return [(*seen.source(a, b), k) for a, b, k in sorted(out)]
 
 
 def _latin_names(line: str, befores: list[str], afters: list[str], take, broken: bool) -> None:
@@ -232,7 +292,7 @@ def _latin_names(line: str, befores: list[str], afters: list[str], take, broken:
         at = m.end()
         if not any(w in NO_NAME or w.title() in NO_NAME for w in words) and not _PLACE_RIGHT.match(line, at):
             spans.append(m.span())
-    at, tails, aheads, end = 0, [], [], len(line)
+    at, sides, end = 0, None, len(line)
     while (m := _NAME_CUED.search(line, at)) is not None:
         a, b = m.span()
         words = _WORDS.findall(m.group())
@@ -244,20 +304,19 @@ def _latin_names(line: str, befores: list[str], afters: list[str], take, broken:
             at += 1
         if any(w in NO_NAME for w in words) or any(a < y and b > x for x, y in spans) or _PLACE_RIGHT.match(line, b):
             continue
-        if not tails:
-            for x in befores:
-                joint = "" if _HYPHEN.search(x) else " "
-                tails.append(normalise(_HYPHEN.sub("", x[-48:]))[0] + joint)
+        if sides is None:
+            tails = [normalise(_HYPHEN.sub("", x)).text + ("" if _HYPHEN.search(x) else " ") for x in befores]
             # An invisible hyphen is gone from the normal form, a visible one is taken off.
             cut = _HYPHEN.search(line) if broken else None
             end = cut.start() if cut else len(line)
-            aheads = [("" if broken else " ") + x[:24] for x in afters]
-        left = tails[0] + line[:a] if a < 48 else line[a - 48 : a]
-        right = line[b : min(end, b + 64)] + (aheads[0] if end - b < 64 else "")
-        cued = _LEFT.search(left[-48:]) or a < 48 and any(_LEFT.search((t + line[:a])[-48:]) for t in tails[1:])
-        cued = cued or any(_RIGHT.match(r) or _RIGHT.match(r.translate(_MISREAD)) for r in [right, *[line[b:end] + x for x in aheads[1:] if end - b < 24]])
-        cued = cued or (a == 0 and re.match(r" {2,}\S", right)) or (left.endswith("  ") and (line[b : b + 2] == "  " or not line[b : b + 64].strip() and not line[b:].strip()))
-        cued = cued or (re.search(r"\b(?:and|und) $", left) and any(y <= a for _, y in spans)) or (_AND_RIGHT.match(right) and _followed_by_name(right))
+            rights = [line[:end] + ("" if broken else " ") + x for x in afters]
+            sides = [(t + line, len(t)) for t in tails], rights, [r.translate(_MISREAD) for r in rights]
+        lefts, rights, misread = sides
+        # A cue ends where the name begins, or begins where it ends, in the line joined with any of its neighbours.
+        cued = any(_LEFT.match(t, 0, o + a) for t, o in lefts) or any(_RIGHT.match(r, b) for r in (*rights, *misread))
+        left, o = lefts[0]
+        cued = cued or (a == 0 and _COLUMN.match(rights[0], b)) or (left.endswith("  ", 0, o + a) and (line.startswith("  ", b) or not line[b:].strip()))
+        cued = cued or (any(y <= a for _, y in spans) and _AND_LEFT.match(left, 0, o + a)) or (_AND_RIGHT.match(rights[0], b) and _NEXT_NAME.match(rights[0], b))
         if cued:
             spans.append((a, b))
             at = b
@@ -268,8 +327,7 @@ def _latin_names(line: str, befores: list[str], afters: list[str], take, broken:
 _NEXT_NAME = re.compile(rf"\s*(?:and|und) (?:{UPPER}, {CAP}|{CAP}, {CAP}|{CAP} (?:[A-Z]\. )?{CAP}|[A-Z]\. ?{CAP})(?=\s*(?:at|um) \d|\s*$)")
 
 
-def _followed_by_name(right: str) -> bool:
-    return _NEXT_NAME.match(right) is not None
+_COLUMN = re.compile(r" {2,}\S")
 
 
 def redact(text: str, items: list[tuple[int, int, str]]) -> str:
@@ -284,18 +342,19 @@ def redact(text: str, items: list[tuple[int, int, str]]) -> str:
 def may_hold_items(text: Column) -> Column:
     """False only for lines in which ``detect`` finds nothing.
 
-    Every line with a character that ``normalise`` may change (all but printable ASCII and German letters) may hold
-    items, and so may one with a run of spelled digits. The others are their own normal form, in which each kind of
-    item has one of these marks.
+    Every line with a character that ``normalise`` may change by itself (all but printable ASCII and German letters)
+    may hold items. In the others each kind of item leaves a mark that is asked for here: numbers have six digits or
+    spelled digits, addresses of mail a mark or a said one, streets a word of theirs before a number, and names two
+    capitals in a row.
     """
-    spelled = "|".join(sorted((w for w in SPELLED if len(w) > 1), key=len, reverse=True))
+    letters = "A-Za-zÄÖÜäöüßé"
+    words = "|".join(sorted((w for w in SPELLED if len(w) > 1), key=len, reverse=True))
     streets = "|".join(re.escape(s) for s in STREETS_DE.split())
-    first = "".join(sorted({c for w in spelled.split("|") for c in (w[0], w[0].upper())}))
     names = r"[A-ZÄÖÜ]{2,}, [A-ZÄÖÜ][a-zäöüßé]|[A-ZÄÖÜ]\. ?[A-ZÄÖÜ][a-zäöüßé]|[A-ZÄÖÜ][a-zäöüßé]+,? [A-ZÄÖÜ][a-zäöüßé]"
-    many = r"^(?:[^0-9]*+[0-9]){6}"
     street = text.rlike(" [0-9]") & text.rlike(rf"(?:{streets})(?:-[\wÄÖÜäöüßé]+)? [0-9]|[0-9][a-z]?, [0-9]{{5}} ")
-    run = rf"(?:[0-9]|(?<![A-Za-zÄÖÜäöüßé])(?=[{first}])(?iu:{spelled}))[ .-]?(?iu:(?:(?:{spelled}|[0-9])[ .-]?){{5}})"
-    return text.rlike(rf"[^ -~ÄÖÜäöüßé]|{names}|@|{many}") | text.rlike(r"[\[(][aA][tT][\])]|(?i: at .* dot )") | street | text.rlike(run)
+    said = text.rlike(r"(?i)[\[({<]\s*at\s*[\])}>]|\sat\s.*(?:dot|punkt)")
+    digits = F.regexp_count(text, F.lit(rf"[0-9]|(?iu:(?<![{letters}])(?:{words})(?![{letters}]))")) >= 6
+    return text.rlike(rf"[^ -~ÄÖÜäöüßé]|{names}|@") | said | street | digits
 
 
 _ITEM = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType())]))
@@ -312,17 +371,17 @@ def lines_in_order(lines: DataFrame) -> DataFrame:
 
     Rows with one ``document_token`` and ``line_index`` are one line (of different texts the greatest counts). Where
     a page begins or ends within three lines, head and foot lines may stand between: there ``before`` and ``after``
-    hold the ends of four lines each.
+    hold four lines each.
     """
     page = F.col("page_number").cast("int") if "page_number" in lines.columns else F.lit(0)
     one = lines.select("document_token", F.col("line_index").cast("int").alias("line_index"), "text", page.alias("page")).repartition("document_token").groupBy("document_token", "line_index").agg(F.max(F.struct("text", "page")).alias("v")).select("document_token", "line_index", "v.text", "v.page")
     order = Window.partitionBy("document_token").orderBy("line_index")
     text = F.coalesce("text", F.lit(""))
-    seen = one.withColumns({"tail": F.substring(text, -48, 48), "head": F.substring(text, 1, 24)})
+    seen = one.withColumn("whole", text)
     turn = lambda f: ~f("page", 3).over(order).eqNullSafe(F.col("page"))
-    far = lambda f, c, ks: F.concat_ws("\n", *[f(c, k).over(order) for k in ks])
-    before = F.when(turn(F.lag), far(F.lag, "tail", (4, 3, 2, 1))).otherwise(F.lag("tail", 1).over(order))
-    after = F.when(turn(F.lead), far(F.lead, "head", (1, 2, 3, 4))).otherwise(F.lead("head", 1).over(order))
+    far = lambda f, ks: F.concat_ws("\n", *[f("whole", k).over(order) for k in ks])
+    before = F.when(turn(F.lag), far(F.lag, (4, 3, 2, 1))).otherwise(F.lag("whole", 1).over(order))
+    after = F.when(turn(F.lead), far(F.lead, (1, 2, 3, 4))).otherwise(F.lead("whole", 1).over(order))
     return seen.withColumns({"before": before, "after": after}).select("document_token", "line_index", "text", "before", "after")
 
 
