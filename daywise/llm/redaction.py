@@ -108,7 +108,6 @@ _ZH_NAME = re.compile(
 )
 
 
-@lru_cache(maxsize=8192)
 def _one(c: str) -> str:
     """The characters one source character stands for: full-width forms, homoglyphs, other dashes and spaces."""
     import unicodedata
@@ -125,8 +124,9 @@ def _one(c: str) -> str:
 
 _DIGIT_WORD = re.compile("|".join(rf"(?<![^\W\d_]){w}(?![^\W\d_])" if w.isascii() or "ü" in w else w for w in sorted(SPELLED, key=len, reverse=True)), re.IGNORECASE)
 _DIGIT_RUN = re.compile(rf"(?:(?:{_DIGIT_WORD.pattern}|\d)[ .-]?){{6,}}", re.IGNORECASE)
-#: Each spelled digit holds one of these; a cheap test before the search.
-_GATE = re.compile("|".join(("ero", "ull", "oh", "hree", "our", "ive", "ix", "even", "ight", "ine", "ne", "wo", "ein", "wei", "rei", "ier", "nf", "echs", "ieben", "cht", "eun", *(w for w in SPELLED if len(w) == 1))), re.IGNORECASE)
+_LETTER_RUN = re.compile(r"[^\W\d_]+")
+_HAN_DIGITS = frozenset(w for w in SPELLED if len(w) == 1)
+_ANY_HAN = re.compile("[㐀-鿿]")
 
 
 class Normal(NamedTuple):
@@ -162,22 +162,38 @@ class Normal(NamedTuple):
         return Normal("".join(text), a_of, b_of)
 
 
+class _Characters(dict):
+    """What characters stand for, by code point as it is asked for; ``uneven`` holds those that are not one for one."""
+
+    def __init__(self) -> None:
+        self.uneven: set[str] = set()
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = _one(chr(code))
+        if len(out) != 1:
+            self.uneven.add(chr(code))
+        return out
+
+
+_CHARACTERS = _Characters()
+
+
 def _plain_characters(text: str) -> Normal:
     """Full-width and look-alike characters as ASCII ones, invisible ones gone."""
     if text.isascii():
         return Normal(text)
-    parts = [_one(c) for c in text]
-    if all(len(p) == 1 for p in parts):
-        return Normal("".join(parts))
-    starts = [i for i, p in enumerate(parts) for _ in p]
-    return Normal("".join(parts), starts, [i + 1 for i in starts])
+    out = text.translate(_CHARACTERS)
+    if _CHARACTERS.uneven.isdisjoint(text):
+        return Normal(out)
+    starts = [i for i, c in enumerate(text) for _ in _CHARACTERS[ord(c)]]
+    return Normal(out, starts, [i + 1 for i in starts])
 
 
 def _plain_digits(seen: Normal) -> Normal:
     """Digits for spelled ones, in runs of at least six digits of which two or more are spelled."""
     out = seen.text
     edits: list[tuple[int, int, str]] = []
-    if _GATE.search(out):
+    if not _HAN_DIGITS.isdisjoint(out) or not SPELLED.keys().isdisjoint(_LETTER_RUN.findall(out.lower())):
         for run in _DIGIT_RUN.finditer(out):
             words = list(_DIGIT_WORD.finditer(out, run.start(), run.end()))
             if len(words) >= 2:
@@ -201,6 +217,7 @@ def _plain_marks(seen: Normal) -> Normal:
     return seen.with_edits(sorted(edits))
 
 
+@lru_cache(maxsize=64)  # a line is its neighbours' neighbour
 def normalise(text: str) -> Normal:
     """``text`` without disguises: transducers over characters, spelled digits and marks, one after the other."""
     return _plain_marks(_plain_digits(_plain_characters(text)))
@@ -267,7 +284,7 @@ def detect(text: str, before: str = "", after: str = "") -> list[tuple[int, int,
                 cue = _BEFORE_ZH.match(m.group())
                 take(m.start() + (cue.end() if cue else 0), m.end(), "street_address")
     befores, afters = before.split("\n")[::-1], after.split("\n")
-    if any("㐀" <= c <= "鿿" for c in line):
+    if _ANY_HAN.search(line):
         tails, aheads = [normalise(x).text for x in befores], [normalise(x).text for x in afters]
         for tail, ahead in [(t, aheads[0]) for t in tails] + [(tails[0], x) for x in aheads[1:]]:
             whole = f"{tail}\n{line}\n{ahead}"
