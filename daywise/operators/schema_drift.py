@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daywise.session import stored
+from daywise.session import spread, stored
 
 #: A pair of fields is one renamed field from this content agreement beyond chance, or from this likeness of names.
 CONTENT_FROM, NAME_FROM = 0.5, 0.45
@@ -254,15 +254,16 @@ def schema_changes(snapshots: DataFrame, *, key: str = "document_token") -> Data
     asked = loose.join(open_pairs, ["feed", "file_seq"], "left_semi")
     wanted = asked.select("feed", F.when(F.col("later"), F.col("file_seq")).otherwise(F.col("file_seq") - 1).alias("file_seq"), F.struct(F.col("file_seq").alias("seq"), "later", "field").alias("w")).groupBy("feed", "file_seq").agg(F.collect_list("w").alias("wanted"))
     rows = snapshots.select("feed", F.col("file_seq").cast("int").alias("file_seq"), "payload").filter("payload is not null").join(wanted, ["feed", "file_seq"])
-    said = rows.mapInPandas(lambda b: _said(b, key), "feed string, seq int, later boolean, doc string, field string, forms array<string>, shape string").distinct()
+    # Four branches read what was said; written once, the payloads are parsed once.
+    said = stored(spread(rows).mapInPandas(lambda b: _said(b, key), "feed string, seq int, later boolean, doc string, field string, forms array<string>, shape string").distinct())
     left = said.filter("not later").select("feed", "seq", "doc", F.col("field").alias("a"), F.col("forms").alias("forms_a"), F.col("shape").alias("shape_a"))
     right = said.filter("later").select("feed", "seq", "doc", F.col("field").alias("b"), F.col("forms").alias("forms_b"), F.col("shape").alias("shape_b"))
     met = left.join(right, ["feed", "seq", "doc"]).groupBy("feed", "seq", "a", "b").agg(F.count(F.lit(1)).alias("docs"), F.count_if(F.arrays_overlap("forms_a", "forms_b")).alias("same"))
     # Chance: how often equal forms meet when documents are shuffled.
     form = lambda side, f, name: side.select("feed", "seq", F.col(name).alias("f"), F.element_at(F.array_sort(f"forms_{name}"), 1).alias("v"), F.col(f"shape_{name}").alias("shape")).groupBy("feed", "seq", "f", "v", "shape").agg(F.count(F.lit(1)).alias("n"))
-    spread = form(left, "forms_a", "a").withColumn("later", F.lit(False)).unionByName(form(right, "forms_b", "b").withColumn("later", F.lit(True)))
+    forms = form(left, "forms_a", "a").withColumn("later", F.lit(False)).unionByName(form(right, "forms_b", "b").withColumn("later", F.lit(True)))
     # The most frequent values bound chance from both sides; a field's list of them stays short.
-    few = spread.groupBy("feed", "seq", "later", "f").agg(F.sum("n").alias("total"), F.max(F.struct("n", "v")).alias("top"), F.max(F.struct("n", "shape")).alias("s"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    few = forms.groupBy("feed", "seq", "later", "f").agg(F.sum("n").alias("total"), F.max(F.struct("n", "v")).alias("top"), F.max(F.struct("n", "shape")).alias("s"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     facts = few.select("feed", F.col("seq").alias("file_seq"), "later", F.col("f").alias("field"), (F.col("squares") / (F.col("total") * F.col("total"))).alias("chance"), F.col("s.shape").alias("shape"))
 
     nodes = asked.join(facts, ["feed", "file_seq", "later", "field"], "left").groupBy("feed", "file_seq").agg(F.collect_list(F.struct("later", "field", "kind", "members", "chance", "shape")).alias("nodes"))
