@@ -11,16 +11,22 @@ import hashlib
 import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daywise.session import spread, stored
 
-#: A pair of fields is one renamed field from this content agreement beyond chance, or from this likeness of names.
-CONTENT_FROM, NAME_FROM = 0.5, 0.45
+#: A pair of fields is one field from this flooded score, of at most 1.
+LEAST_SCORE = 0.05
+#: Fields that say the same of fewer of the shared documents than this share, beyond chance, are two fields.
+DIFFERENT = 0.4
+#: Names are alike from this likeness, where one column is found for all files.
+NAME_FROM = 0.45
 #: Distinct field names that may reach the driver to be grouped; schemas have names in number of people, not of rows.
 MOST_NAMES = 20_000
 
@@ -119,70 +125,93 @@ def _type_likeness(a: str | None, b: str | None) -> float:
     return 0.7 if {a, b} <= {"integer", "decimal"} else 0.4
 
 
-def flood(before: Sequence[dict], after: Sequence[dict], content: dict[tuple[str, str], float], *, rounds: int = 200, least: float = 1e-4) -> dict[tuple[str, str], float]:
-    """Similarity flooding between the fields of two schemas; 1 is the highest flooded score.
+class _Label(NamedTuple):
+    """One kind of edge of both schema graphs: which fields have which symbols, and how alike symbols are at first."""
 
-    ``before`` and ``after`` have ``field``, ``type`` and ``members`` (names of nested fields). Nodes are pairs of
-    fields, of types, of name parts, of members and of contents; a field pair's score flows to the pairs it is
-    joined with by an edge of one kind, in equal parts, and back, until the scores settle.
+    left: np.ndarray
+    right: np.ndarray
+    alike: np.ndarray
+
+
+def _label(left: Sequence[Sequence[str]], right: Sequence[Sequence[str]], likeness: Callable[[str, str], float]) -> _Label:
+    xs, ys = sorted({x for s in left for x in s}), sorted({y for s in right for y in s})
+    on = lambda sets, names: np.array([[float(n in s) for n in names] for s in sets]).reshape(len(sets), len(names))
+    return _Label(on(left, xs), on(right, ys), np.array([[likeness(x, y) for y in ys] for x in xs]).reshape(len(xs), len(ys)))
+
+
+def flood(start: np.ndarray, labels: Sequence[_Label], nodes: np.ndarray | None = None, *, rounds: int = 200, least: float = 1e-4) -> np.ndarray:
+    """Similarity flooding between the fields of two schemas: scores of all pairs, from their first scores.
+
+    The graph's nodes are pairs of fields and, for each kind of edge, pairs of symbols (types, words of names, nested
+    members). A node's score flows to the nodes it is joined with, in equal parts over each kind of edge, beside its
+    first score, until the scores settle. As all pairs of fields that share a pair of symbols are joined with it, a
+    round is a few products of incidence matrices. The first scores are added in each round and the highest score is 1.
+    Pairs of fields that are not among ``nodes`` pass nothing on and stay at 0.
     """
-    start: dict[tuple, float] = {}
-    edges: dict[tuple, dict[str, list[tuple]]] = defaultdict(lambda: defaultdict(list))
-    for a in before:
-        for b in after:
-            pair = ("field", a["field"], b["field"])
-            agreed = content.get((a["field"], b["field"]))
-            start[pair] = name_likeness(a["field"], b["field"]) * 0.5 + (max(0.0, agreed) if agreed is not None else 0.25) * 0.5
-            near = [("type", ("type", a["type"], b["type"]), _type_likeness(a["type"], b["type"]))]
-            near += [("name", ("name", x, y), 1.0 if x == y else 0.0) for x in name_parts(a["field"]) for y in name_parts(b["field"])]
-            near += [("nests", ("member", x, y), 1.0 if x == y else 0.0) for x in a["members"] for y in b["members"]]
-            if agreed is not None:
-                near.append(("says", ("content", a["field"], b["field"]), max(0.0, agreed)))
-            for label, node, score in near:
-                start[node] = max(start.get(node, 0.0), score)
-                edges[pair][label].append(node)
-                edges[node][label].append(pair)
-    score = dict(start)
+    nodes = np.ones(start.shape) if nodes is None else nodes.astype(float)
+    start = start * nodes
+    even = lambda m: np.divide(1.0, m, out=np.zeros_like(m), where=m > 0)
+    fields = start.copy()
+    symbols = [x.alike.copy() for x in labels]
+    of_fields = [even(np.outer(x.left.sum(1), x.right.sum(1))) for x in labels]
+    of_symbols = [even(np.outer(x.left.sum(0), x.right.sum(0))) for x in labels]
     for _ in range(rounds):
-        gained = dict(start)
-        for node, s in score.items():
-            gained[node] += s
-            for near in edges[node].values():
-                for other in near:
-                    gained[other] += s / len(near)
-        top = max(gained.values(), default=1.0) or 1.0
-        fresh = {k: v / top for k, v in gained.items()}
-        moved = sum((fresh[k] - score[k]) ** 2 for k in fresh) ** 0.5
-        score = fresh
+        base = start + fields
+        held = [x.alike + z for x, z in zip(labels, symbols)]
+        fresh = base + nodes * sum((x.left @ (z * share) @ x.right.T for x, z, share in zip(labels, held, of_symbols)), np.zeros_like(base))
+        flown = [z + x.left.T @ (base * share) @ x.right for x, z, share in zip(labels, held, of_fields)]
+        top = max([float(m.max()) for m in (fresh, *flown) if m.size], default=0.0) or 1.0
+        fresh, flown = fresh / top, [z / top for z in flown]
+        moved = float(((fresh - fields) ** 2).sum() + sum(((x - y) ** 2).sum() for x, y in zip(flown, symbols))) ** 0.5
+        fields, symbols = fresh, flown
         if moved < least:
             break
-    return {(k[1], k[2]): v for k, v in score.items() if k[0] == "field"}
+    return fields / (float(fields.max()) if fields.size and fields.max() > 0 else 1.0)
 
 
-def correspondences(before: Sequence[dict], after: Sequence[dict], content: dict[tuple[str, str], float], shapes: dict[tuple[str, str], bool], constant: dict[tuple[str, str], bool]) -> list[tuple[str, str]]:
-    """One-to-one renames: by flooded score from the highest, where content or name bears the pair out.
+def first_scores(before: Sequence[dict], after: Sequence[dict], content: dict[tuple[str, str], float]) -> tuple[np.ndarray, np.ndarray]:
+    """How alike pairs of fields are by themselves: what they say on shared documents, where known, and their names.
 
-    Contents that differ on shared documents speak against a pair, unless both fields say one thing throughout (such
-    a thing changes from file to file) or the names are the same words.
+    Fields of one name say the same unless it is known otherwise. Equal shapes of values speak for a pair nothing
+    else is known of, and for one whose fields say one thing throughout, which changes from file to file. The second
+    result tells which pairs can be one field: not those that are known to say different things.
     """
-    flooded = flood(before, after, content)
-    kinds = {("b", x["field"]): x["type"] for x in before} | {("a", x["field"]): x["type"] for x in after}
-
-    def borne_out(a: str, b: str) -> bool:
-        agreed, name = content.get((a, b)), name_likeness(a, b)
-        if agreed is not None and agreed >= CONTENT_FROM:
-            return True
-        same_kind = kinds["b", a] == kinds["a", b]
-        if agreed is None:  # nothing both files speak of
-            return name >= NAME_FROM and (shapes.get((a, b), False) or not same_kind or kinds["a", b] in ("boolean", "integer", "decimal", "array", "object"))
-        return name >= 0.8 or name >= NAME_FROM and shapes.get((a, b), False) and constant.get((a, b), False)
-
+    out, nodes = np.zeros((len(before), len(after))), np.ones((len(before), len(after)), dtype=bool)
+    for i, a in enumerate(before):
+        for j, b in enumerate(after):
+            agreed, name = content.get((a["field"], b["field"])), name_likeness(a["field"], b["field"])
+            shape = a["shape"] is not None and a["shape"] == b["shape"]
+            constant = min(a["chance"] or 0.0, b["chance"] or 0.0) > 0.9
+            if a["field"] == b["field"]:
+                out[i, j] = 1.0
+            elif agreed is not None and not (constant and agreed < DIFFERENT):
+                out[i, j] = 0.75 * max(0.0, agreed) + 0.25 * name
+                nodes[i, j] = agreed >= DIFFERENT
+            else:
+                out[i, j] = 0.75 * name + (0.25 if shape else 0.0)
+    return out, nodes
+
+
+def correspondences(before: Sequence[dict], after: Sequence[dict], content: dict[tuple[str, str], float]) -> list[tuple[str, str, float]]:
+    """One-to-one pairs of fields with their flooded scores, from the highest, down to ``LEAST_SCORE``.
+
+    ``before`` and ``after`` are whole schemas: ``field``, ``type``, ``members`` (names of nested fields), ``chance`` and
+    ``shape``. Fields of one name are in the graph like all others.
+    """
+    names = [[name_parts(x["field"]) for x in side] for side in (before, after)]
+    types = [[[x["type"] or ""] for x in side] for side in (before, after)]
+    same = lambda x, y: float(x == y)
+    labels = [_label(*types, lambda x, y: _type_likeness(x or None, y or None)), _label(*names, same), _label(*[[x["members"] for x in side] for side in (before, after)], same)]
+    start, nodes = first_scores(before, after, content)
+    score = flood(start, labels, nodes)
     out, used_a, used_b = [], set(), set()
-    for (a, b), _ in sorted(flooded.items(), key=lambda kv: (-(max(content.get(kv[0], 0.0), 0.0) + name_likeness(*kv[0])) * 0.5 - kv[1], kv[0])):
-        if a not in used_a and b not in used_b and borne_out(a, b):
-            out.append((a, b))
-            used_a.add(a)
-            used_b.add(b)
+    for i, j in sorted(np.ndindex(score.shape), key=lambda ij: (-score[ij], before[ij[0]]["field"] != after[ij[1]]["field"], ij)):
+        if score[i, j] < LEAST_SCORE:
+            break
+        if i not in used_a and j not in used_b:
+            out.append((before[i]["field"], after[j]["field"], float(score[i, j])))
+            used_a.add(i)
+            used_b.add(j)
     return out
 
 
@@ -266,7 +295,9 @@ def schema_changes(snapshots: DataFrame, *, key: str = "document_token") -> Data
     few = forms.groupBy("feed", "seq", "later", "f").agg(F.sum("n").alias("total"), F.max(F.struct("n", "v")).alias("top"), F.max(F.struct("n", "shape")).alias("s"), F.sum(F.col("n") * F.col("n")).alias("squares"))
     facts = few.select("feed", F.col("seq").alias("file_seq"), "later", F.col("f").alias("field"), (F.col("squares") / (F.col("total") * F.col("total"))).alias("chance"), F.col("s.shape").alias("shape"))
 
-    nodes = asked.join(facts, ["feed", "file_seq", "later", "field"], "left").groupBy("feed", "file_seq").agg(F.collect_list(F.struct("later", "field", "kind", "members", "chance", "shape")).alias("nodes"))
+    known = facts.drop("later")  # a field that was lost or gained is on one side only
+    whole = both.join(open_pairs, ["feed", "file_seq"], "left_semi").join(known, ["feed", "file_seq", "field"], "left")
+    nodes = whole.groupBy("feed", "file_seq").agg(F.collect_list(F.struct("field", "earlier", "later", "kind_a", "kind_b", "members_a", "members_b", "chance", "shape")).alias("nodes"))
     links = met.groupBy("feed", F.col("seq").alias("file_seq")).agg(F.collect_list(F.struct("a", "b", "docs", "same")).alias("links"))
 
     def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,9 +314,9 @@ def schema_changes(snapshots: DataFrame, *, key: str = "document_token") -> Data
 
 
 def _changes(found: list, links: list) -> list[tuple[str, str, str]]:
-    """The changes between two files, from their unpaired fields and what these say about shared documents."""
-    before = sorted(({"field": x["field"], "type": x["kind"], "members": sorted(x["members"]), "chance": x["chance"], "shape": x["shape"]} for x in found if not x["later"]), key=lambda x: x["field"])
-    after = sorted(({"field": x["field"], "type": x["kind"], "members": sorted(x["members"]), "chance": x["chance"], "shape": x["shape"]} for x in found if x["later"]), key=lambda x: x["field"])
+    """The changes between two files, but for types of fields that kept their names."""
+    side = lambda there, kind, members: sorted(({"field": x["field"], "type": x[kind], "members": sorted(x[members]), "chance": x["chance"], "shape": x["shape"]} for x in found if x[there]), key=lambda x: x["field"])
+    before, after = side("earlier", "kind_a", "members_a"), side("later", "kind_b", "members_b")
     by_a, by_b = {x["field"]: x for x in before}, {x["field"]: x for x in after}
     content: dict[tuple[str, str], float] = {}
     for x in links:
@@ -294,16 +325,15 @@ def _changes(found: list, links: list) -> list[tuple[str, str, str]]:
         share = x["same"] / x["docs"]
         # Agreement beyond chance; two constants that agree tell half.
         content[x["a"], x["b"]] = 0.5 * share if chance > 0.98 else (share - chance) / (1 - chance)
-    shapes = {(a, b): by_a[a]["shape"] is not None and by_a[a]["shape"] == by_b[b]["shape"] for a in by_a for b in by_b}
+    paired = [(a, b) for a, b, _ in correspondences(before, after, content)]
     out: list[tuple[str, str, str]] = []
-    constant = {(a, b): min(by_a[a]["chance"] or 0.0, by_b[b]["chance"] or 0.0) > 0.9 for a in by_a for b in by_b}
-    renamed = correspondences(before, after, content, shapes, constant)
-    for a, b in renamed:
-        out.append(("renamed", b, a))
-        if by_a[a]["type"] and by_b[b]["type"] and by_a[a]["type"] != by_b[b]["type"]:
-            out.append(("type_changed", b, a))
-    out += [("removed", a, "") for a in by_a if a not in {x for x, _ in renamed}]
-    out += [("added", b, "") for b in by_b if b not in {y for _, y in renamed}]
+    for a, b in paired:
+        if a != b:
+            out.append(("renamed", b, a))
+            if by_a[a]["type"] and by_b[b]["type"] and by_a[a]["type"] != by_b[b]["type"]:
+                out.append(("type_changed", b, a))
+    out += [("removed", a, "") for a in by_a if a not in {x for x, _ in paired}]
+    out += [("added", b, "") for b in by_b if b not in {y for _, y in paired}]
     return out
 
 

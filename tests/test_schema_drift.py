@@ -54,3 +54,27 @@ def test_whole_numbers_keep_their_sign():
 
 def test_long_values_differ_in_shape_by_their_whole_text():
     assert D._shape("a" * 500 + "b") != D._shape("a" * 500 + "c") and D._shape("n" * 500 + "12") == D._shape("n" * 500 + "7")
+
+
+def field(name, kind="string", members=(), chance=0.1, shape=None):
+    return {"field": name, "type": kind, "members": sorted(members), "chance": chance, "shape": shape}
+
+
+def test_flooded_scores_decide_over_whole_schemas():
+    before = [field("document_token"), field("page_count", "integer"), field("files", "object", ["l1", "l2"]), field("flag", "boolean")]
+    after = [field("document_token"), field("pages", "string"), field("sources", "object", ["l1", "l2"]), field("shift", "string")]
+    content = {("page_count", "pages"): 1.0, ("files", "sources"): 0.9, ("flag", "shift"): 0.0, ("page_count", "sources"): 0.0, ("flag", "pages"): 0.0}
+    assert {(a, b) for a, b, _ in D.correspondences(before, after, content)} == {("document_token", "document_token"), ("page_count", "pages"), ("files", "sources")}
+    # Nesting alone carries a pair that nothing else is known of; what contradicts it keeps it out.
+    bare = {k: v for k, v in content.items() if k != ("files", "sources")}
+    assert ("files", "sources") in {(a, b) for a, b, _ in D.correspondences(before, after, bare)}
+    assert ("files", "sources") not in {(a, b) for a, b, _ in D.correspondences(before, after, content | {("files", "sources"): 0.0})}
+    assert D.correspondences([], after, {}) == [] and D.correspondences(before, [], {}) == []
+
+
+def test_flood_settles_and_is_scaled():
+    start = D.np.array([[1.0, 0.2], [0.1, 0.9]])
+    label = D._label([["x"], ["y"]], [["x"], ["y"]], lambda a, b: float(a == b))
+    score = D.flood(start, [label])
+    assert score.max() == 1.0 and score[0, 0] > 5 * score[0, 1] and score[1, 1] > 5 * score[1, 0]
+    assert (D.flood(start, [label], D.np.array([[True, True], [True, False]]))[1, 1]) == 0.0
