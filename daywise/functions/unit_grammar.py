@@ -33,18 +33,42 @@ ROOTS = {
     "K": ("kelvin", 0, False), "kelvin": ("kelvin", 0, False), "°K": ("kelvin", 0, False), "开尔文": ("kelvin", 0, False), "开": ("kelvin", 0, False),
     "cell": ("count", 0, False), "cells": ("count", 0, False), "zellen": ("count", 0, False), "pt": ("count", 0, False), "part": ("count", 0, False), "particles": ("count", 0, False), "partikel": ("count", 0, False), "个": ("count", 0, False), "個": ("count", 0, False), "#": ("count", 0, False),
     "%": ("percent", 0, True),
+    "U": ("unit", 0, True), "unit": ("unit", 0, False), "units": ("unit", 0, False), "E": ("unit", 0, False), "IU": ("international unit", 0, True), "UI": ("international unit", 0, True), "IE": ("international unit", 0, True), "单位": ("unit", 0, False), "国际单位": ("international unit", 0, False), "kat": ("katal", 0, True), "osm": ("osmole", 0, True),
+    "s": ("second", 0, True), "sec": ("second", 0, True), "sek": ("second", 0, False), "second": ("second", 0, False), "seconds": ("second", 0, False), "秒": ("second", 0, False), "min": ("minute", 0, False), "minute": ("minute", 0, False), "minutes": ("minute", 0, False), "分钟": ("minute", 0, False),
+    "h": ("hour", 0, False), "hr": ("hour", 0, False), "hrs": ("hour", 0, False), "hour": ("hour", 0, False), "hours": ("hour", 0, False), "std": ("hour", 0, False), "stunde": ("hour", 0, False), "小时": ("hour", 0, False), "d": ("day", 0, False), "day": ("day", 0, False), "days": ("day", 0, False), "tag": ("day", 0, False), "天": ("day", 0, False), "日": ("day", 0, False),
+    "beat": ("beat", 0, False), "beats": ("beat", 0, False), "次": ("beat", 0, False), "breath": ("breath", 0, False), "breaths": ("breath", 0, False), "Bq": ("becquerel", 0, True), "J": ("joule", 0, True), "cal": ("calorie", 0, True), "V": ("volt", 0, True),
 }
+# Units written as one word that stand for a quotient.
+QUOTIENTS = {"bpm": "beats/min", "rpm": "breaths/min", "ppm": "mg/kg"}
 SEPARATORS = ("/", " per ", " pro ", "每", "·", "*", "•", "⋅", ".", " ", "_")
 OVER = frozenset(("/", " per ", " pro ", "每"))
+#: Words before a length that raise it, and exponents behind a root.
+RAISING = {"cubic ": 3, "立方": 3, "square ": 2, "平方": 2}
+EXPONENTS = (("^-1", -1), ("-1", -1), ("^-2", -2), ("-2", -2), ("^2", 2), ("2", 2), ("^3", 3), ("3", 3))
 
 
 class Unit(NamedTuple):
-    """A quotient of two prefixed roots: what is measured, its power of ten, per what, its power of ten."""
+    """A product of roots, each with its exponent and power of ten, in order, and a power of ten no root has taken.
+
+    Powers stay with their roots, as two units of an item may be one quantity written in two ways (10^9/L, 10^3/uL).
+    """
+
+    factors: tuple[tuple[str, int, int], ...]
+    power: int
+
+    def times(self, kind: str, exponent: int, power: int) -> Unit:
+        taken = self.power if exponent > 0 else 0
+        return Unit(tuple(sorted((*self.factors, (kind, exponent, power + taken)))), self.power - taken)
 
-    over: str
-    over_power: int
-    under: str
-    under_power: int
+
+class _State(NamedTuple):
+    """What has been read: the unit so far, whether a stroke has been passed, whether a factor must or may come next, and by what a length is raised."""
+
+    unit: Unit
+    under: bool
+    opened: bool
+    begun: bool
+    raised: int
 
 
 class Trie:
@@ -124,112 +148,103 @@ def _power(text: str, at: int):
     return None
 
 
-def segmentations(text: str, limit: int = 16) -> list[tuple[float, Unit]]:
+def _number(text: str, at: int):
+    """A plain number that begins at ``at``: its end and spelling."""
+    k = at
+    while k < len(text) and (text[k].isdigit() or text[k] in ".," and k > at and text[k + 1 : k + 2].isdigit()):
+        k += 1
+    return (k, text[at:k].replace(",", ".")) if k > at else None
+
+
+def segmentations(text: str) -> list[tuple[float, Unit]]:
     """The ways ``text`` reads as a unit, best first, by dynamic programming over its positions.
 
-    A state is what has been read (counts, root and exponent over and under the line); each extension is a spelling
-    in a trie. Spellings in another case than listed cost, as do symbols beside words and unused marks.
+    A state is what has been read (``_State``): any number of factors over and under the stroke, each a prefix, a root
+    and an exponent, behind a power of ten. Each extension is a spelling in a trie; every state of a place is extended.
+    Spellings in another case than listed cost, as do symbols beside words and unused marks.
     """
     text = fold(text)
     if not text:
         return []
+    text = QUOTIENTS.get(text.lower(), text)
     prefixes, multipliers, roots = _tries()
-    n = len(text)
-    # State: (side, over root, over power, under root, under power, pending separator)
-    start = (0, "", 0, "", 0)
-    layers: list[dict[tuple, float]] = [{} for _ in range(n + 1)]
-    layers[0][start] = 0.0
+    n, low = len(text), text.lower()
+    empty = Unit((), 0)
+    layers: list[dict[_State, float]] = [{} for _ in range(n + 1)]
+    layers[0][_State(empty, False, True, False, 1)] = 0.0
 
-    def put(at: int, state: tuple, score: float) -> None:
+    def put(at: int, state: _State, score: float) -> None:
         if score > layers[at].get(state, -1e9):
             layers[at][state] = score
 
     for i in range(n):
-        for (side, a, x, b, y), s in sorted(layers[i].items(), key=lambda kv: -kv[1])[:limit]:
-            filled = b if side else a
+        if not layers[i]:
+            continue
+        heads = [(i, 0, 0.0)]
+        for to, found in prefixes.match(text, i):
+            heads += [(to, power, (0.0 if exact else -0.6) - 0.1) for power, exact in found]
+        # Every root that can begin here, with its prefix and exponent.
+        steps = []
+        for at, power, cost in heads:
+            for to, found in roots.match(text, at):
+                for (kind, base, prefixed), exact in found if to > at else ():
+                    if at > i and not prefixed or not exact and to - at == 1 and kind in SHORT:
+                        continue
+                    ends = [(to, 1, 0.0)] + [(to + len(e), v, 0.2) for e, v in EXPONENTS if text.startswith(e, to)]
+                    steps += [(end, kind, power + base, e, cost + (to - at) * 0.05 - (0.0 if exact else 0.4) + gain) for end, e, gain in ends]
+        for (unit, under, opened, begun, raised), s in list(layers[i].items()):
             for sep in SEPARATORS:
                 if text.startswith(sep, i):
-                    to = i + len(sep)
-                    if sep in OVER:
-                        if side == 0:
-                            put(to, (1, a or "count", x, b, y), s)
-                    else:
-                        put(to, (side, a, x, b, y), s - 0.3)
-            if text.lower().startswith("per ", i) and side == 0:
-                put(i + 4, (1, a or "count", x, b, y), s)
-            if side == 0 and not a:
-                if (p := _power(text, i)) is not None and not x:
-                    put(p[0], (0, a, p[1], b, y), s + 1)
-                if not x:
-                    for to, found in multipliers.match(text, i):
-                        for power, exact in found:
-                            put(to, (0, "", power, b, y), s - (0 if exact else 0.2) - 1.0)
-            if filled:
+                    if sep not in OVER:
+                        put(i + len(sep), _State(unit, under, True, begun, raised), s - 0.3)
+                    elif raised == 1 and not (under and opened):
+                        put(i + len(sep), _State(unit, True, True, begun, 1), s)
+            if not begun and low.startswith("per ", i):
+                put(i + 4, _State(unit, True, True, True, 1), s)
+            if not begun and not under:
+                if (p := _power(text, i)) is not None:
+                    put(p[0], _State(Unit((), p[1]), False, True, True, 1), s + 1)
+                for to, found in multipliers.match(text, i):
+                    for power, exact in found:
+                        put(to, _State(Unit((), power), False, True, True, 1), s - (0 if exact else 0.2) - 1.0)
+            if len(unit.factors) == 1 and unit.factors[0][:2] == ("gram", 1) and not under and not opened and text[i] == "%":  # g%, mg%: grams in a decilitre
+                put(i + 1, _State(unit.times("litre", -1, -1), True, False, True, 1), s)
+            if not opened:
                 continue
-            heads = [(i, 0, 0.0)]
-            for to, found in prefixes.match(text, i):
-                heads += [(to, power, (0.0 if exact else -0.6) - 0.1) for power, exact in found]
-            for at, power, cost in heads:
-                for to, found in roots.match(text, at):
-                    if to == at:
+            for word, by in RAISING.items():
+                if low.startswith(word, i) and raised == 1:
+                    put(i + len(word), _State(unit, under, True, begun, by), s)
+            if under and (number := _number(text, i)) is not None:
+                put(number[0], _State(unit.times(number[1], -1, 0), under, True, True, raised), s - 0.1)
+            for end, kind, total, exponent, score in steps:
+                if raised != 1:
+                    if kind != "metre" or exponent != 1:
                         continue
-                    for (kind, base, prefixed), exact in found:
-                        if at > i and not prefixed:
-                            continue
-                        total = power + base
-                        score = s + cost + (to - at) * 0.05 - (0.0 if exact else 0.4)
-                        ends = [(to, 1, 0.0)]
-                        for e, v in (("^-1", -1), ("-1", -1), ("^3", 3), ("3", 3), ("^2", 2), ("2", 2)):
-                            if text.startswith(e, to):
-                                ends.append((to + len(e), v, 0.2))
-                        if kind == "metre":
-                            for word, before in (("cubic ", 3), ("立方", 3)):
-                                if text[:i].endswith(word):
-                                    ends.append((to, before, 0.2))
-                        for end, exponent, gain in ends:
-                            if exponent == 3 and kind == "metre":
-                                k, t = "litre", 3 * total + 3
-                            elif exponent == 1:
-                                k, t = kind, total
-                            elif exponent == -1 and side == 0 and a == "" and not x:
-                                continue
-                            else:
-                                continue
-                            if side:
-                                put(end, (1, a, x, k, t), score + gain)
-                            elif k == "molar":
-                                put(end, (1, "mole", x + t, "litre", 0), score + gain)
-                            elif k == "percent":
-                                put(end, (0, "percent", x + t, b, y), score + gain)
-                            else:
-                                put(end, (0, k, x + t, b, y), score + gain)
-        # A root with exponent -1 after one over the line stands under it.
-        for (side, a, x, b, y), s in list(layers[i].items()):
-            if side or not (a or x):
-                continue
-            heads = [(i, 0, 0.0)]
-            for to, found in prefixes.match(text, i):
-                heads += [(to, power, (0.0 if exact else -0.6) - 0.1) for power, exact in found]
-            for at, power, cost in heads:
-                for to, found in roots.match(text, at):
-                    for (kind, base, prefixed), exact in found if to > at else ():
-                        if at > i and not prefixed:
-                            continue
-                        for e in ("^-1", "-1"):
-                            if text.startswith(e, to):
-                                put(to + len(e), (1, a or "count", x, kind, power + base), s + cost + 0.2 - (0.0 if exact else 0.4))
-            # g%, mg%: grams in a decilitre
-            if a == "gram" and text.startswith("%", i):
-                put(i + 1, (1, a, x, "litre", -1), s)
+                    exponent = raised
+                elif exponent < 0 and (under or not (unit.factors or unit.power)):
+                    continue
+                sign = -1 if under else 1
+                if kind == "metre" and exponent in (3, -3):
+                    fresh = unit.times("litre", sign * exponent // 3, 3 * total + 3)
+                elif kind == "molar":
+                    fresh = unit.times("mole", sign * exponent, total).times("litre", -sign * exponent, 0)
+                else:
+                    fresh = unit.times(kind, sign * exponent, total)
+                put(end, _State(fresh, under or exponent < 0, False, True, 1), s + score)
     out: dict[Unit, float] = {}
-    for (side, a, x, b, y), s in layers[n].items():
-        if side and not b or not a and not x or not side and (b or not a):
+    for (unit, _, opened, _, _), s in layers[n].items():
+        if opened or not unit.factors:
             continue
-        u = Unit(a or "count", x, b, y)
-        out[u] = max(out.get(u, -1e9), s)
+        if all(e < 0 for _, e, _ in unit.factors):
+            unit = unit.times("count", 1, 0)
+        out[unit] = max(out.get(unit, -1e9), s)
     return sorted(((s, u) for u, s in out.items()), key=lambda v: (-v[0], v[1]))
 
 
+#: Roots of one letter that are only read as listed.
+SHORT = frozenset(("unit", "second", "hour", "day", "volt", "joule"))
+
+
 @functools.lru_cache(maxsize=512)
 def code_unit(code: str) -> Unit | None:
     """The unit a code such as ``g_per_dL`` names."""

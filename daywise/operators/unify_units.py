@@ -75,17 +75,21 @@ def _unit_texts(rest: str, flagged: bool) -> Iterator[str]:
             last = bare
 
 
+#: Marks of a unit in a text that reads as none.
+_UNIT_LIKE = re.compile(r"[^\W\d_].*[/^%·]|[/^%·].*[^\W\d_]")
+
+
 @functools.lru_cache(maxsize=100_000)
 def _stated(text: str, codes: tuple[str, ...], flagged: bool) -> str | None:
-    """The item's unit a text states, the empty text for a unit of another item, None for no unit."""
-    for t in _unit_texts(text, flagged):
+    """The item's unit a text states, the empty text for any other unit, read or not, None for no unit."""
+    shown = list(_unit_texts(text, flagged))
+    for t in shown:
         code = unit_code(t, codes)
         if code:
             return code
-    for t in _unit_texts(text, flagged):
-        if any(c.isalpha() or c in "%°″\"" for c in t) and is_unit(t):
-            return ""
-    return None
+    # After a number letters may be flags of the result: only what is left without them tells of another unit.
+    left = shown[-1] if shown and (not flagged or _FLAG.sub(" ", text).strip(" ,;:()[]（）【】")) else ""
+    return "" if any(c.isalpha() or c in "%°″\"" for c in left) and (is_unit(left) or _UNIT_LIKE.search(left)) else None
 
 
 def name_key(text: str) -> str:
@@ -111,8 +115,9 @@ def split_item(text: str | None, names: dict[str, str]) -> tuple[str | None, str
 def resolve(item_text: str | None, value: str | None, unit: str | None, names: dict[str, str], items: dict[str, Item]):
     """``item_code, number, bound, unit_code, value_common, how`` of one observation; None for what is not known.
 
-    ``how``: ``stated``, ``inferred`` (the only unit that makes the value plausible), ``undecided``, ``unreadable``
-    or ``unknown_item``.
+    ``how``: ``stated``, ``inferred`` (no unit is stated, or the stated one of the item's makes the value implausible,
+    and one alone makes it plausible), ``undecided`` (none or several do, or only a unit is stated that is none of the
+    item's, read or not), ``unreadable`` or ``unknown_item``.
     """
     code, tail = split_item(item_text, names)
     if code is None or code not in items:
@@ -130,7 +135,10 @@ def resolve(item_text: str | None, value: str | None, unit: str | None, names: d
     def fits(x: float, u: str) -> bool:
         return by[u][3] <= common(x, u) <= by[u][4]
 
-    stated = [s for s in (_stated(t, codes, t is rest) for t in (unit or "", rest, tail) if t) if s]
+    said = [_stated(t, codes, t is rest) for t in (unit or "", rest, tail) if t]
+    stated = [s for s in said if s]
+    if "" in said and not stated:
+        return code, numbers[0], bound, None, None, "undecided"
     for s in stated:
         if fits(numbers[0], s):
             return code, numbers[0], bound, s, common(numbers[0], s), "stated"

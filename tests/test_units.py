@@ -46,7 +46,32 @@ def test_observations(spark):
         ("k", None, "5", "g/L", t(1)), ("l", "Hb", None, None, t(1)), ("m", "Hb", "12.1", "g/dL", t(1)), ("m", "Hb", "121", "g/L", t(2)), ("m", "Hb", "121", "g/L", t(2)), (None, "Hb", "12.1", "g/dL", None), ("n", "Hb", "9" * 3000, "g/L", t(1)), ("o", "Hb", "0.5", "g/L", t(1)),
     ]
     got = {r.observation_id: r.unit_code for r in recorded_elsewhere(table(spark, rows), *reference(spark)).collect()}
-    assert got == {"a": "g_per_dL", "b": "g_per_dL", "c": "g_per_dL", "e": "g_per_dL", "f": "g_per_dL", "h": "deg_F", "i": "L"}
+    assert got == {"a": "g_per_dL", "b": "g_per_dL", "c": "g_per_dL", "e": "g_per_dL", "h": "deg_F", "i": "L"}
     done = {r.observation_id: r for r in unify_units(table(spark, rows), *reference(spark)).collect()}
-    assert len(done) == 16 and abs(done["h"].value_common - 37.0) < 0.01 and done["i"].bound == ">" and done["d"].how == "inferred" and done["o"].how == "undecided" and done["k"].how == "unknown_item"
+    assert len(done) == 16 and abs(done["h"].value_common - 37.0) < 0.01 and done["i"].bound == ">" and done["d"].how == "inferred" and done["f"].how == "undecided" and done["o"].how == "undecided" and done["k"].how == "unknown_item"
     assert unify_units(table(spark, rows).limit(0), *reference(spark)).count() == 0
+
+
+OTHERS = ("U/L", "IU/L", "mIU/mL", "kg/m2", "mL/min", "mL/min/1.73m2", "mg/kg/day", "bpm", "mg/24h", "mg/24 h", "µkat/L", "mosm/kg", "cells per cubic mm", "m·kg/s^2", "mg/g", "J/kg", "breaths/min")
+
+
+@pytest.mark.parametrize("text", OTHERS)
+def test_products_and_several_factors_are_units(text):
+    assert segmentations(text)
+
+
+def test_no_value_is_invented_for_another_unit():
+    from daywise.operators.unify_units import Item, resolve
+
+    items = {"crea": Item((("mg_per_dL", 88.42, 0.0, 20.0, 2000.0), ("umol_per_L", 1.0, 0.0, 20.0, 2000.0)), "umol_per_L")}
+    how = lambda value, unit, item="Crea": resolve(item, value, unit, {"crea": "crea"}, items)[3:]
+    assert all(how("85", u) == (None, None, "undecided") for u in OTHERS + ("xyz/L", "Zorks/mL", "mg/24h"))
+    assert how("1.1", "mg/24h") == (None, None, "undecided") and how("85 U/L", None) == (None, None, "undecided")
+    assert all(how("85", u)[2] == "inferred" for u in (None, "", "?", "-", "see item")) and how("85 H", None)[2] == how("85 (L)", "")[2] == "inferred"
+    unit, value, stated = how("1.1", "U/L", "Crea in mg/dL")
+    assert (unit, round(value, 3), stated) == ("mg_per_dL", 97.262, "stated") and how("5", "mg/dL")[2] == "stated"
+
+
+def test_many_readings_are_all_kept():
+    assert unit_code(" ".join(["m"] * 40) + "/L", MASS) is None and unit_code("g  /  L", MASS) == "g_per_L"
+    assert segmentations("g " * 300 + "/L") != []
