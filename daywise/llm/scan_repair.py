@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -14,10 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daywise.session import spread
+from daywise.session import spread, stored
 
-#: Words of the vocabulary have at least this count and at least this share of all words, so there are at most 200,000.
-LEAST_COUNT, LEAST_SHARE = 5, 1 / 200_000
+#: Words of the vocabulary have at least this count, whatever the corpus.
+LEAST_COUNT = 5
+#: A vocabulary of at most so many words goes to every task as a whole; of a larger one each slice of lines gets the
+#: words it can need, with the same results.
+MOST_WORDS, SLICE_WORDS = 50_000, 500_000
 #: Lines whose like is judged by all its places have at least this count, whatever the corpus.
 LEAST_LINES = 3
 #: A word is suspect beside one so many times as frequent with the same strokes.
@@ -135,48 +139,73 @@ def _sign(context: str) -> np.ndarray:
     return np.random.default_rng(zlib.crc32(context.encode())).choice(np.array([-1.0, 1.0], dtype=np.float32), DIMENSIONS)
 
 
-def learn_language(lines: DataFrame) -> Language:
-    """Counts, skip-gram vectors and plausible doubles from all lines.
+class Learned(NamedTuple):
+    """What all lines say: ``word, n, key, v`` of the vocabulary, and the number of words read."""
+
+    vocabulary: DataFrame
+    total: int
+
+
+def _key(word: str) -> str:
+    """What words that may be misread for each other share: strokes, of ideographs with surroundings their classes."""
+    return _han_class(word) if word[0] <= "\x03" else strokes(word)
+
+
+def learn(lines: DataFrame) -> Learned:
+    """Counts and skip-gram vectors from all lines, as a table.
 
     Words, neighbouring pairs and ideographs with doubles in their surroundings are counted before they are shuffled.
-    The vocabulary is bounded by LEAST_SHARE, whatever the corpus. A word's vector is its row of the shifted
-    pointwise mutual information of words and neighbours, which is what skip-gram with negative sampling factorises,
-    brought to 32 dimensions by random signs of the neighbours.
+    A word's vector is its row of the shifted pointwise mutual information of words and neighbours, which is what
+    skip-gram with negative sampling factorises, brought to 32 dimensions by random signs of the neighbours.
     """
-    counted = spread(lines.select("text").filter("text is not null")).mapInPandas(_count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    counted = counted.persist()
-    try:
-        total = counted.filter("b = ''").agg(F.sum("n")).first()[0] or 0
-        least = max(LEAST_COUNT, int(total * LEAST_SHARE) + 1)
-        counts = {r.a: r.n for r in counted.filter((F.col("b") == "") & (F.col("n") >= least)).select("a", "n").toLocalIterator()}
-        latin = {w: n for w, n in counts.items() if w[0] > "\x03"}
-        whole = max(1, sum(latin.values()))
-
-        def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(DIMENSIONS, dtype=np.float32))
-            for batch in batches:
-                for w, c, n in zip(batch["w"], batch["c"], batch["n"]):
-                    pmi = np.log(n * whole / (latin[w] * latin[c[1:]])) - np.log(NEGATIVE)
-                    if pmi > 0:
-                        out[w] += np.float32(pmi) * _sign(c)
+    counted = stored(spread(lines.select("text").filter("text is not null")).mapInPandas(_count, "a string, b string, n long").groupBy("a", "b").agg(F.sum("n").alias("n")))
+    words = counted.filter(F.col("b") == "")
+    known = words.filter(F.col("n") >= LEAST_COUNT).select(F.col("a").alias("word"), "n")
+    latin = known.filter(F.col("word") > "\x03\uffff")
+    sums = words.agg(F.sum("n").alias("all"), F.sum(F.when((F.col("n") >= LEAST_COUNT) & (F.col("a") > "\x03\uffff"), F.col("n"))).alias("latin")).first()
+    whole = max(1, sums["latin"] or 0)
+    of = lambda c: latin.select(F.col("word").alias(c), F.col("n").alias(f"n_{c}"))
+    near = counted.filter(F.col("b") != "").join(of("a"), "a").join(of("b"), "b")
+    pmi = F.log(F.col("n") * F.lit(float(whole)) / (F.col("n_a") * F.col("n_b"))) - math.log(NEGATIVE)
+    both = near.withColumn("pmi", pmi).filter("pmi > 0").select(F.explode(F.array(F.struct(F.col("a").alias("w"), F.concat(F.lit(">"), "b").alias("c")), F.struct(F.col("b").alias("w"), F.concat(F.lit("<"), "a").alias("c")))).alias("p"), "pmi").select("p.w", "p.c", "pmi")
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(DIMENSIONS, dtype=np.float32))
+        for batch in batches:
+            for w, c, x in zip(batch["w"], batch["c"], batch["pmi"]):
+                out[w] += np.float32(x) * _sign(c)
+        if out:
             yield pd.DataFrame({"w": list(out), "v": [v.tolist() for v in out.values()]})
 
-        known = F.broadcast(lines.sparkSession.createDataFrame([(w,) for w in latin] or [("",)], "k string"))  # at most 200,000 words
-        near = counted.filter("b <> ''").join(known.withColumnRenamed("k", "a"), "a", "left_semi").join(known.withColumnRenamed("k", "b"), "b", "left_semi")
-        both = near.select(F.explode(F.array(F.struct(F.col("a").alias("w"), F.concat(F.lit(">"), "b").alias("c")), F.struct(F.col("b").alias("w"), F.concat(F.lit("<"), "a").alias("c")))).alias("p"), "n").select("p.w", "p.c", "n")
-        learned: dict[str, np.ndarray] = {}
-        for r in both.repartition("w").mapInPandas(vectors, "w string, v array<float>").toLocalIterator():
-            learned[r.w] = learned.get(r.w, 0) + np.array(r.v, dtype=np.float32)
-    finally:
-        counted.unpersist()
-    return doubles_of(counts, learned, least)
+    @F.pandas_udf("string")
+    def key(word: pd.Series) -> pd.Series:
+        return word.map(_key)
+
+    learned = both.repartition("w").mapInPandas(vectors, "w string, v array<float>")
+    return Learned(stored(known.join(learned, known["word"] == learned["w"], "left").select("word", "n", key("word").alias("key"), "v")), sums["all"] or 0)
+
+
+def as_language(rows: Iterable[tuple[str, int, object]]) -> Language:
+    """Words with their counts and vectors as they are looked up; words of one key must all be there or none."""
+    counts: dict[str, int] = {}
+    vectors: dict[str, np.ndarray] = {}
+    for word, n, v in rows:
+        counts[word] = int(n)
+        if v is not None:
+            vectors[word] = np.asarray(v, dtype=np.float32)
+    return doubles_of(counts, vectors, LEAST_COUNT)
+
+
+def learn_language(lines: DataFrame) -> Language:
+    """All of what ``learn`` tells at once; for small corpora."""
+    return as_language((r.word, r.n, r.v) for r in learn(lines).vocabulary.select("word", "n", "v").toLocalIterator())
 
 
 def doubles_of(counts: dict[str, int], vectors: dict[str, np.ndarray], least: int) -> Language:
     """Frequent words by their strokes, and the words of the vocabulary that are suspect beside them."""
     by: dict[str, list[str]] = defaultdict(list)
     for w in counts:
-        by[_han_class(w) if w[0] <= "\x03" else strokes(w)].append(w)
+        by[_key(w)].append(w)
     suspects: dict[str, list[str]] = {}
     doubles: dict[str, list[str]] = {}
     for key, words in by.items():
@@ -381,9 +410,9 @@ def _page_said(text: Column) -> Column:
 
 def _like(text: Column) -> Column:
     """What lines of one kind share: the strokes of the part before a wide gap, without numbers and space."""
-    base = F.lower(F.regexp_replace(F.split(F.trim(text), r" {2,}", 2)[0], r"(?<!\p{L})\d+(?!\p{L})|\s+", ""))
-    for a, b in (("m", "rri"), ("w", "vv"), ("d", "ci"), ("[uü]", "ii"), ("n", "ri")):
-        base = F.regexp_replace(base, a, b)
+    base = F.translate(F.lower(F.regexp_replace(F.substring_index(F.trim(text), "  ", 1), r"(?<![\p{L}\d])\d++(?!\p{L})", "")), " \t\n\r\x0b\x0c", "")
+    for a, b in (("m", "rri"), ("w", "vv"), ("d", "ci"), ("u", "ii"), ("ü", "ii"), ("n", "ri")):
+        base = F.replace(base, F.lit(a), F.lit(b))
     singles = {k: v for k, v in STROKES.items() if len(v) == 1}
     rare = {c: r[0] for r in HAN_CLASSES for c in r[1:]}
     return F.translate(base, "".join(singles) + "".join(rare), "".join(singles.values()) + "".join(rare.values()))
@@ -430,7 +459,7 @@ def _repaired(text: str, after: str | None, before: str | None, known: Language)
 def repaired_lines(lines: DataFrame) -> DataFrame:
     """``document_token, line_index, text, furniture, broken, misread, fixed`` of every line, once each.
 
-    Method: counts, skip-gram vectors and plausible doubles are learned from all lines (``learn_language``). A rare
+    Method: counts, skip-gram vectors and plausible doubles are learned from all lines (``learn``). A rare
     word, or one rare beside a word of the same strokes, is corrected to the one that goes best with its neighbours;
     ideographs by the counts of their surroundings. ``furniture`` is ``running_line`` (at a page edge, repeated on
     the document's pages, or the like of such lines elsewhere), ``page_number`` or null for body lines. ``broken``:
@@ -438,7 +467,7 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
     Repeated rows count once (of different texts the greatest); null texts are empty lines; ``confidence`` is no
     sure sign and not used.
     """
-    known = learn_language(lines)
+    learned = learn(lines)
     placed = _placed(lines)
     doc = Window.partitionBy("document_token")
     order = doc.orderBy("line_index")
@@ -460,14 +489,68 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
     marked = marked.select("document_token", "line_index", "text", furniture.alias("furniture")).withColumn("body", F.when(F.col("furniture").isNull(), text))
     reach = range(1, 6)  # at most two foot and two head lines stand between neighbours
     near = {"before": F.coalesce(*[F.lag("body", k).over(order) for k in reach]), "after": F.coalesce(*[F.lead("body", k).over(order) for k in reach])}
+    ready = marked.withColumns(near)
+    if learned.vocabulary.limit(MOST_WORDS + 1).count() > MOST_WORDS:
+        return _by_slices(ready, learned)
+    known = as_language((r.word, r.n, r.v) for r in learned.vocabulary.select("word", "n", "v").toLocalIterator())
 
     @F.pandas_udf(_FAULTS)
     def repaired(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for body, after, before in batches:
-            done = [(False, False, None) if t is None else _repaired(t, a, b, known) for t, a, b in zip(body, after, before)]
-            yield pd.DataFrame(done, columns=["broken", "misread", "fixed"])
+            yield _all_repaired(body, after, before, known)
 
-    return marked.withColumns(near).withColumn("r", repaired("body", "after", "before")).select("document_token", "line_index", "text", "furniture", "r.*")
+    return ready.withColumn("r", repaired("body", "after", "before")).select("document_token", "line_index", "text", "furniture", "r.*")
+
+
+def _all_repaired(body: pd.Series, after: pd.Series, before: pd.Series, known: Language) -> pd.DataFrame:
+    done = [(False, False, None) if t is None else _repaired(t, a, b, known) for t, a, b in zip(body, after, before)]
+    return pd.DataFrame(done, columns=["broken", "misread", "fixed"])
+
+
+def _asked(text: str, after: str | None) -> set[str]:
+    """The keys of every word a line can ask for: its own, and those its last word may be part of."""
+    if _HAN.search(text):
+        return {_key(g) for _, *grams in han_grams(text) for g in grams} | {strokes(t) for m in _ASCII_TOKEN.finditer(text) for t in (m.group().strip(_EDGE), _UNIT_TAIL.sub("", m.group().strip(_EDGE)))}
+    words = text.split()
+    out = {strokes(w) for raw in words for w in (raw, raw.strip(_EDGE), raw.rstrip(HYPHENS).strip(_EDGE))}
+    last, first = _last_part(text), _first_part(after)
+    if last and first:
+        out |= {strokes(w) for w in (first, last + first, f"{last}-{first}")}
+        # The next line's first word stands behind its own edge marks, as it is joined.
+        out.add(strokes(words[-1].rstrip(HYPHENS) + first))
+    return out
+
+
+def _by_slices(ready: DataFrame, learned: Learned) -> DataFrame:
+    """The repaired lines where the vocabulary is too large for one task.
+
+    Lines are dealt out to slices of some 500,000 words, a long document to several (each line carries its
+    neighbours). A slice gets the vocabulary's words of every key its lines ask for; as all that is decided about a
+    word depends on the words of its key, the results are those of the whole vocabulary.
+    """
+    slices = max(1, learned.total // SLICE_WORDS)
+    dealt = ready.withColumn("slice", F.pmod(F.xxhash64("document_token", F.floor(F.col("line_index") / 1000)), F.lit(slices)).cast("int"))
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: dict[int, set[str]] = defaultdict(set)
+            for k, text, after, before in zip(batch["slice"], batch["body"], batch["after"], batch["before"]):
+                if text is not None:
+                    found[k] |= _asked(text, after)
+                    if before is not None:
+                        found[k] |= _asked(before, text)
+            yield pd.DataFrame([(k, x) for k, xs in found.items() for x in xs], columns=["slice", "key"])
+
+    asked = dealt.select("slice", "body", "after", "before").mapInPandas(keys, "slice int, key string").distinct()
+    entries = asked.join(learned.vocabulary, "key").select("slice", "word", "n", "v")
+
+    def repaired(lines: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        known = as_language(zip(words["word"], words["n"], words["v"]))
+        none = lambda c: lines[c].astype(object).where(lines[c].notna(), None)
+        done = _all_repaired(none("body"), none("after"), none("before"), known)
+        return pd.concat([lines[["document_token", "line_index", "text", "furniture"]].reset_index(drop=True), done], axis=1)
+
+    return dealt.groupBy("slice").cogroup(entries.groupBy("slice")).applyInPandas(repaired, f"document_token string, line_index int, text string, furniture string, {_FAULTS}")
 
 
 def scan_noise(lines: DataFrame) -> DataFrame:

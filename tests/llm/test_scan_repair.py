@@ -59,3 +59,24 @@ def test_empty(spark):
 def test_strokes_and_numbers():
     assert S.strokes("rnodern") == S.strokes("modern") and S.strokes("diirch") == S.strokes("durch") and S.strokes("hat") == S.strokes("bat")
     assert S.misread_number("l3.5", False) and S.misread_number("4O", True) and not S.misread_number("48b", False) and not S.misread_number("ZZ1912754", False) and not S.misread_number("B12", False) and not S.misread_number("12.5", True)
+
+
+def test_slices_of_a_large_vocabulary_give_the_same(spark, monkeypatch):
+    lines = corpus(spark)
+    shown = lambda: sorted((str(r.document_token), r.line_index, r.furniture or "", r.broken, r.misread, r.fixed or "") for r in S.repaired_lines(lines).collect())
+    whole = shown()
+    monkeypatch.setattr(S, "MOST_WORDS", 3)
+    monkeypatch.setattr(S, "SLICE_WORDS", 500)
+    assert shown() == whole and any(r[4] for r in whole)
+
+
+def test_rare_words_do_not_hang_on_size(spark):
+    """A word seen seven times and its misreading, alone and among a hundred times as many other lines."""
+    rnd = random.Random(3)
+    rows = [("r", i, 1, "ordered by Thalmira Quessington today") for i in range(7)] + [("r", 7, 1, "ordered by Thalrnira Quessington today")]
+    found = []
+    for more in (0, 3000):
+        other = [(f"o{d}", i, 1, " ".join(rnd.choice(WORDS) for _ in range(6))) for d in range(more // 30) for i in range(30)]
+        lines = spark.createDataFrame(rows + other, "document_token string, line_index int, page_number int, text string")
+        found.append({(r.line_index, r.fixed) for r in S.repaired_lines(lines).filter("misread and document_token = 'r'").collect()})
+    assert found[0] == found[1]
