@@ -410,12 +410,13 @@ def _page_said(text: Column) -> Column:
 
 def _like(text: Column) -> Column:
     """What lines of one kind share: the strokes of the part before a wide gap, without numbers and space."""
-    base = F.translate(F.lower(F.regexp_replace(F.substring_index(F.trim(text), "  ", 1), r"(?<![\p{L}\d])\d++(?!\p{L})", "")), " \t\n\r\x0b\x0c", "")
+    base = F.lower(F.regexp_replace(F.substring_index(F.trim(text), "  ", 1), r"\d(?<![\p{L}\d]\d)\d*+(?!\p{L})", ""))
+    singles = {k: v for k, v in STROKES.items() if len(v) == 1} | {c: r[0] for r in HAN_CLASSES for c in r[1:]}
+    # Characters without a double in the second list, which are white space, are taken out.
+    base = F.translate(base, "".join(singles) + " \t\n\r\x0b\x0c", "".join(singles.values()))
     for a, b in (("m", "rri"), ("w", "vv"), ("d", "ci"), ("u", "ii"), ("ü", "ii"), ("n", "ri")):
         base = F.replace(base, F.lit(a), F.lit(b))
-    singles = {k: v for k, v in STROKES.items() if len(v) == 1}
-    rare = {c: r[0] for r in HAN_CLASSES for c in r[1:]}
-    return F.translate(base, "".join(singles) + "".join(rare), "".join(singles.values()) + "".join(rare.values()))
+    return base
 
 
 def _placed(lines: DataFrame) -> DataFrame:
@@ -472,12 +473,13 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
     doc = Window.partitionBy("document_token")
     order = doc.orderBy("line_index")
     text = F.col("text")
-    said = _page_said(F.trim(text))
+    numbered = placed.withColumn("said", F.when(F.col("edge") > 0, _page_said(F.trim(text))))
+    said = F.col("said")
     number = F.translate(said, "".join(AS_DIGIT), "".join(AS_DIGIT.values())).try_cast("int")
     roman = F.try_element_at(F.array(*[F.lit(r) for r in _ROMAN[1:]]), F.greatest(F.col("page"), F.lit(1)))
     named = (F.col("edge") > 0) & said.isNotNull() & ((number == F.col("page")) | (F.translate(said, "lI1!|", "iiiii") == F.translate(roman, "l", "i")))
     bare = F.trim(text) == said
-    marked = placed.withColumns({"like": F.when(F.col("edge") > 0, _like(text)), "named": F.coalesce(named & ~bare, F.lit(False)), "bare": F.coalesce(named & bare, F.lit(False)), "first": ~F.lag("page", 1).over(order).eqNullSafe(F.col("page"))})
+    marked = numbered.withColumns({"like": F.when(F.col("edge") > 0, _like(text)), "named": F.coalesce(named & ~bare, F.lit(False)), "bare": F.coalesce(named & bare, F.lit(False)), "first": ~F.lag("page", 1).over(order).eqNullSafe(F.col("page"))})
     marked = marked.withColumns({"pages": F.count_if(F.col("first")).over(doc), "bares": F.count_if(F.col("bare")).over(doc)})
     page_number = F.col("named") | F.col("bare") & F.when(F.col("pages") == 1, F.col("outer")).otherwise(F.col("bares") >= 0.5 * F.col("pages"))
     again = F.count(F.lit(1)).over(Window.partitionBy("document_token", "edge", "like"))
