@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from daywise.workload import checks, cohort, general, layout, ledger, scoring, selection
+from daywise.workload import checks, cohort, general, layout, ledger, questions, scoring, selection
 
 FLAGSHIP = "c1_latest_at_or_before"
-_FAMILIES = (selection, scoring, layout, checks, ledger, cohort, general)
+_FAMILIES = (selection, scoring, layout, checks, ledger, cohort, questions, general)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for f in _FAMILIES for k, v in f.QUERIES.items()}
 ORACLE: dict[str, str] = {k: v for f in _FAMILIES for k, v in f.ORACLE.items()}

@@ -59,7 +59,7 @@ def grams_per_litre(value: Column, unit: Column) -> Column:
 
 def moment_of(text: Column) -> tuple[Column, Column]:
     """The date or date-time a text names and its precision: second, minute, day, ``invalid`` or ``missing``."""
-    pattern = r"(\d{4})[-/.年](\d{1,2})[-/.月](\d{1,2})日?(?:[T ]+(\d{1,2}):(\d{2})(?::(\d{2}))?)?"
+    pattern = r"(20\d{2})\s*[-/／.年]\s*(\d{1,2})\s*[-/／.月]\s*(\d{1,2})(?:\s*日)?(?:[T\s]*(\d{1,2})\s*[:：]\s*(\d{2})(?:\s*[:：]\s*(\d{2}))?)?"
     g = lambda i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
     has = text.rlike(pattern)
     at = F.try_make_timestamp_ntz(g(1).cast("int"), g(2).cast("int"), g(3).cast("int"), F.coalesce(g(4), F.lit("0")).cast("int"), F.coalesce(g(5), F.lit("0")).cast("int"), F.coalesce(g(6), F.lit("0")).cast("decimal(8,6)"))

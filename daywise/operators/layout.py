@@ -6,12 +6,12 @@ with one document and index count once (``reading_order``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daywise.functions.values import day_marker, finite_number, last_number_before
+from daywise.functions.values import day_marker, finite_number, first_number, grams_per_litre, last_number_before, moment_of, row_id, unit_key
 
 #: Units that end or make a line.
 UNIT_LINE = r"^(?:[mµμun]?mol/L|[mµμun]?g/d?L|k?U/L|10\^\d+/L|10⁹/L|%|mmHg|kPa|°C|cm|kg)$"
@@ -110,6 +110,69 @@ def table_rows(lines: DataFrame, reach: int = 6) -> DataFrame:
     return out.withColumn("missing", F.array_join(F.array_compact(F.array(F.when(F.col("unit").isNull(), "unit"), F.when(F.col("low").isNull(), "range"))), ","))
 
 
+# Names of one measurement and its short form, roles of times, numbers, ranges and units within a line.
+TARGET_NAME = r"(?i)^[\s*#·※]*(?:血红蛋白(?:量|浓度)?|ha?emoglobin)(?:[\s*#·]*[（(]\s*(?:HGB|Hb)\s*[)）])?[\s*#·]*$"
+TARGET_ALIAS = r"(?i)(?<![A-Za-z])HGB(?![A-Za-z])"
+ROLE_CUES = {"collection": r"(?i)采集时间|采样时间|采血时间|collection\s*time|collected", "report": r"(?i)报告时间|报告日期|report\s*time|reported"}
+INLINE_RANGE = r"[-+]?\d+(?:[.,]\d+)?\s*(?:--|[-~～至])\s*[-+]?\d+(?:[.,]\d+)?"
+INLINE_UNIT = r"(?i)(?:g\s*/\s*dL|g\s*/\s*L|mg\s*/\s*dL|mg\s*/\s*L|mmol\s*/\s*L|10\s*\^?\s*9\s*/\s*L|%)"
+
+
+def measurements(lines: DataFrame, *, name: str = TARGET_NAME, alias: str = TARGET_ALIAS, roles: Mapping[str, str] = ROLE_CUES, moment: Callable[[Column], tuple[Column, Column]] = moment_of, reach: int = 6) -> DataFrame:
+    """One measurement wherever a page names it: value, unit and range in the lines after the name, and both times.
+
+    A start is a line that is the name as a whole, or one that holds the short form unless the line before is the name;
+    without a full name it is an ``invalid_task``. Of the ``reach`` lines of the page after it, blank ones and those of
+    a time's role are passed over; the first with a number that is no range holds the value, the first after it with
+    a unit the unit (if the value's line has none), and the next with a range the range, which ends the search. Each
+    role's time is that of the nearest line at or after the start, else before it, that tells one. Both come from
+    windows over the page, with no join. Columns: ``record_id, identity_status, binding_status, document_token,
+    page_number, line_index, project_name, project_ref, result_ref, value, unit, unit_ref, reference_interval,
+    reference_ref, {role}_ref, {role}_time, {role}_precision, value_g_l, source_refs``.
+    """
+    text = F.trim("text")
+    page = Window.partitionBy("document_token", "page_number").orderBy("line_index")
+    role_line = F.lit(False)
+    for cue in roles.values():
+        role_line = role_line | text.rlike(cue)
+    seen = reading_order(lines).select("document_token", "page_number", "line_index", text.alias("text"), role_line.alias("of_role"), text.rlike(name).alias("named"), text.rlike(alias).alias("short"))
+    value, unit = first_number(F.col("text")), F.nullif(F.regexp_extract("text", f"({INLINE_UNIT})", 1), F.lit(""))
+    usable = (F.col("text") != "") & ~F.col("of_role")
+    seen = seen.withColumn("cell", F.struct(F.col("line_index").alias("ref"), F.when(usable, value).alias("value"), F.when(usable, unit).alias("unit"), F.when(usable & F.col("text").rlike(INLINE_RANGE), F.col("text")).alias("span")))
+    # The marks of each role, filled from both sides.
+    after, before = page.rowsBetween(Window.currentRow, Window.unboundedFollowing), page.rowsBetween(Window.unboundedPreceding, -1)
+    for role, cue in roles.items():
+        at, precision = moment(F.col("text"))
+        mark = F.when(F.col("text").rlike(cue) & at.isNotNull(), F.struct(F.col("line_index").alias("ref"), at.alias("time"), precision.alias("precision")))
+        seen = seen.withColumn("mark", mark).withColumn(role, F.coalesce(F.first("mark", ignorenulls=True).over(after), F.last("mark", ignorenulls=True).over(before))).drop("mark")
+    ahead = F.array_compact(F.array(*[F.lead("cell", k).over(page) for k in range(1, reach + 1)]))
+    begun = seen.withColumns({"ahead": ahead, "follows": F.coalesce(F.lag("named").over(page), F.lit(False))}).filter("named or short and not follows")
+    at = F.array_position(F.transform("ahead", lambda c: c["value"].isNotNull()), True).cast("int")
+    begun = begun.withColumn("at", at).withColumns({"result": F.when(F.col("at") > 0, F.try_element_at("ahead", F.col("at"))), "rest": F.when(F.col("at") > 0, F.slice("ahead", F.col("at") + 1, F.lit(reach))).otherwise(F.slice("ahead", 1, 0))})
+    first = lambda rows, keep: F.try_element_at(F.filter(rows, keep), F.lit(1))
+    begun = begun.withColumns({"unit_row": first("rest", lambda c: c["unit"].isNotNull()), "bare_span": first("rest", lambda c: c["span"].isNotNull() & c["unit"].isNull()), "any_span": first("rest", lambda c: c["span"].isNotNull())})
+    # A range before any unit ends the search; behind a unit the next range counts.
+    inline = F.col("result.unit").isNotNull()
+    ended = ~inline & F.col("bare_span").isNotNull() & (F.col("unit_row").isNull() | (F.col("bare_span.ref") < F.col("unit_row.ref")))
+    begun = begun.withColumn("unit_row", F.when(~inline & ~ended, F.col("unit_row")))
+    behind = first("rest", lambda c: c["span"].isNotNull() & (c["ref"] > F.col("unit_row.ref")))
+    begun = begun.withColumn("range_row", F.when(inline, F.col("any_span")).when(ended, F.col("bare_span")).when(F.col("unit_row").isNotNull(), behind))
+    shown = F.coalesce("result.unit", "unit_row.unit")
+    known = {"g/dl": "g/dL", "g/l": "g/L", "mg/dl": "mg/dL", "mg/l": "mg/L"}
+    plain = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), unit_key(shown)), shown)
+    out = begun.select(
+        "document_token", "page_number", "line_index", F.when(F.col("named"), F.col("text")).alias("project_name"), F.when(F.col("named"), F.col("line_index")).alias("project_ref"), F.col("result.ref").alias("result_ref"), F.col("result.value").alias("value"),
+        plain.alias("unit"), F.when(inline, F.col("result.ref")).otherwise(F.col("unit_row.ref")).alias("unit_ref"), F.col("range_row.span").alias("reference_interval"), F.col("range_row.ref").alias("reference_ref"), *[F.col(f"{r}.{c}").alias(f"{r}_{c}") for r in roles for c in ("ref", "time", "precision")],
+    )
+    refs = ("project_ref", "result_ref", "unit_ref", "reference_ref", *[f"{r}_ref" for r in roles])
+    explicit = F.col("project_ref").isNotNull()
+    bound = explicit & F.col("result_ref").isNotNull() & (F.col("collection_ref").isNotNull() if "collection" in roles else F.lit(True))
+    return out.withColumns({
+        "record_id": F.when(explicit, row_id(F.col("document_token"), F.col("page_number"), F.col("project_ref"), F.coalesce(F.col("result_ref").cast("string"), F.lit("None")))), "identity_status": F.when(explicit, "explicit").otherwise("invalid_task"),
+        "binding_status": F.when(bound, "explicit").otherwise("unresolved"), "value_g_l": grams_per_litre(F.col("value"), F.col("unit")), "source_refs": F.array_compact(F.array(*refs)),
+    })
+
+
 def header_in_scope(rows: DataFrame, headers: DataFrame) -> DataFrame:
     """The nearest header at or above each row on its page, a backward as-of join with tie detection.
 

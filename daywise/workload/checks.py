@@ -85,7 +85,7 @@ s AS (SELECT n.*, CASE WHEN h.n = 1 THEN h.header_id END AS header_id FROM near
 e AS (SELECT s.*, CASE WHEN contains(o.text, ':') THEN 'report' WHEN o.text IS NOT NULL THEN 'unknown' END AS role, o.line_index AS at_line FROM s LEFT JOIN one o ON s.document_token = o.document_token AND s.header_id = CAST(o.line_index AS VARCHAR))
 SELECT document_token, row_id, value, CASE WHEN role = 'report' THEN at_line END AS event_date, coalesce(role, 'unknown') AS temporal_role, CASE WHEN role = 'report' THEN 'explicit' ELSE 'unresolved' END AS binding_status FROM e""",
     "d19_grounding": f"""WITH claims AS (SELECT document_token, line_index, CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END AS value, unit FROM ({LAYOUT_SQL['c10_table_rows']})),
-{ONE}, near AS (SELECT document_token, line_index, concat_ws(chr(10), text, lead(text, 1) OVER w, lead(text, 2) OVER w, lead(text, 3) OVER w) AS near FROM one WINDOW w AS (PARTITION BY document_token ORDER BY line_index))
+{ONE}, near AS (SELECT document_token, line_index, concat_ws(chr(10), text, {', '.join(f'lead(text, {k}) OVER w' for k in range(1, 7))}) AS near FROM one WINDOW w AS (PARTITION BY document_token ORDER BY line_index))
 SELECT c.document_token, count(*) AS claims, count(n.near) AS resolvable, count(*) FILTER (WHERE contains(n.near, c.value)) AS value_verbatim, count(*) FILTER (WHERE contains(n.near, c.unit)) AS unit_verbatim
 FROM claims c LEFT JOIN near n ON c.document_token = n.document_token AND c.line_index = n.line_index GROUP BY 1""",
 }

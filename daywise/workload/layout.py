@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from daywise.operators import layout as L
 from daywise.operators import retrieval as R
+from daywise.functions.values import day_marker
 from daywise.sources.tables import table
 
 QUESTION = "haemoglobin creatinine"
@@ -41,6 +42,16 @@ def c10_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.table_rows(_lines(spark, sf_dir))
 
 
+def _day_told(text: F.Column) -> tuple[F.Column, F.Column]:
+    """The documents tell relative days instead of dates."""
+    return day_marker(text), F.when(day_marker(text).isNotNull(), "day").otherwise("missing")
+
+
+def c10_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = L.measurements(_lines(spark, sf_dir), alias=r"(?i)(?<![A-Za-z])(?:HGB|CA 19-9)(?![A-Za-z])", moment=_day_told)
+    return found.withColumns({"source_refs": F.array_join(F.transform("source_refs", lambda r: r.cast("string")), ",")})
+
+
 def _headers(seen: DataFrame) -> DataFrame:
     return seen.filter(F.col("text").rlike(r"[:：]")).select("document_token", "page_number", "top", F.col("line_index").cast("string").alias("header_id"))
 
@@ -104,7 +115,7 @@ def c20_retrieve_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (g16_page_ranges, struct_violations, j2_alignment_audit, w5_bands, c11_band_texts, c10_table_rows, j5_header_scope, j6_preferred_role, j7_nearest_days, w4_previous_line, c13_line_cells, j20_page_rules, g6_rule_histogram, c14_day_candidates, c15_case_coordinates, c19_retrieve_pages, c19_retrieve_best_pages, c20_retrieve_lines)
+    for f in (g16_page_ranges, struct_violations, j2_alignment_audit, w5_bands, c11_band_texts, c10_table_rows, c10_measurements, j5_header_scope, j6_preferred_role, j7_nearest_days, w4_previous_line, c13_line_cells, j20_page_rules, g6_rule_histogram, c14_day_candidates, c15_case_coordinates, c19_retrieve_pages, c19_retrieve_best_pages, c20_retrieve_lines)
 }
 
 ONE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_token, line_index ORDER BY text DESC NULLS LAST, page_number DESC) AS n FROM layout_line) WHERE n = 1)"
@@ -126,6 +137,37 @@ k AS (SELECT *, row_number() OVER (PARTITION BY document_token ORDER BY page_num
 SELECT document_token, page_number, hits, chosen_as FROM k WHERE n <= {most}"""
 
 
+# The operator's patterns in the other engine's dialect, which has no look-behind.
+HB = r"'(?i)^[\s*#·※]*(血红蛋白(量|浓度)?|ha?emoglobin)([\s*#·]*[（(]\s*(HGB|Hb)\s*[)）])?[\s*#·]*$'"
+SHORT = r"'(?i)(^|[^A-Za-z])(HGB|CA 19-9)([^A-Za-z]|$)'"
+CUE_C, CUE_R = r"'(?i)采集时间|采样时间|采血时间|collection\s*time|collected'", r"'(?i)报告时间|报告日期|report\s*time|reported'"
+SPAN = r"'[-+]?[0-9]+([.,][0-9]+)?\s*(--|[-~～至])\s*[-+]?[0-9]+([.,][0-9]+)?'"
+UNIT_IN = r"'(?i)(g\s*/\s*dL|g\s*/\s*L|mg\s*/\s*dL|mg\s*/\s*L|mmol\s*/\s*L|10\s*\^?\s*9\s*/\s*L|%)'"
+BARE = r"regexp_replace(text, '[0-9]+([.,][0-9]+)?\s*[-–~]\s*[0-9]+([.,][0-9]+)?', ' ', 'g')"
+FIRST = rf"TRY_CAST(replace(nullif(regexp_extract({BARE}, '(^|[^0-9A-Za-z_.,])([0-9]+([.,][0-9]+)?)([^0-9A-Za-z_]|$)', 2), ''), ',', '.') AS DOUBLE)"
+TOLD = r"TRY_CAST(nullif(regexp_extract(text, '(\b[Dd]ay |\bTag |第|D\+)([0-9]{1,4})', 2), '') AS INTEGER)"
+MEASUREMENTS = f"""WITH {ONE}, s AS (SELECT document_token, page_number, line_index, trim(coalesce(text, '')) AS text FROM one),
+c AS (SELECT *, regexp_matches(text, {CUE_C}) AS is_c, regexp_matches(text, {CUE_R}) AS is_r, regexp_matches(text, {HB}) AS named, regexp_matches(text, {SHORT}) AS short, {TOLD} AS day FROM s),
+k AS (SELECT *, CASE WHEN text <> '' AND NOT is_c AND NOT is_r THEN {{'ref': line_index, 'value': {FIRST}, 'unit': nullif(regexp_extract(text, {UNIT_IN}, 1), ''), 'span': CASE WHEN regexp_matches(text, {SPAN}) THEN text END}} END AS cell FROM c),
+g AS (SELECT *, list_filter([{', '.join(f'lead(cell, {i}) OVER w' for i in range(1, 7))}], lambda x: x IS NOT NULL) AS ahead, coalesce(lag(named) OVER w, FALSE) AS follows,
+  (SELECT min(o.line_index) FROM c o WHERE o.document_token IS NOT DISTINCT FROM k.document_token AND o.page_number IS NOT DISTINCT FROM k.page_number AND o.is_c AND o.day IS NOT NULL AND o.line_index >= k.line_index) AS c_next,
+  (SELECT max(o.line_index) FROM c o WHERE o.document_token IS NOT DISTINCT FROM k.document_token AND o.page_number IS NOT DISTINCT FROM k.page_number AND o.is_c AND o.day IS NOT NULL AND o.line_index < k.line_index) AS c_last,
+  (SELECT min(o.line_index) FROM c o WHERE o.document_token IS NOT DISTINCT FROM k.document_token AND o.page_number IS NOT DISTINCT FROM k.page_number AND o.is_r AND o.day IS NOT NULL AND o.line_index >= k.line_index) AS r_next,
+  (SELECT max(o.line_index) FROM c o WHERE o.document_token IS NOT DISTINCT FROM k.document_token AND o.page_number IS NOT DISTINCT FROM k.page_number AND o.is_r AND o.day IS NOT NULL AND o.line_index < k.line_index) AS r_last
+  FROM k WINDOW w AS (PARTITION BY document_token, page_number ORDER BY line_index)),
+b AS (SELECT *, list_filter(ahead, lambda x: x.value IS NOT NULL)[1] AS result, coalesce(c_next, c_last) AS collection_ref, coalesce(r_next, r_last) AS report_ref FROM g WHERE named OR short AND NOT follows),
+d AS (SELECT *, list_filter(ahead, lambda x: x.ref > result.ref) AS rest FROM b),
+e AS (SELECT *, list_filter(rest, lambda x: x.unit IS NOT NULL)[1] AS u, list_filter(rest, lambda x: x.span IS NOT NULL AND x.unit IS NULL)[1] AS bs, list_filter(rest, lambda x: x.span IS NOT NULL)[1] AS sp FROM d),
+f AS (SELECT *, CASE WHEN result.unit IS NULL AND NOT (bs IS NOT NULL AND (u IS NULL OR bs.ref < u.ref)) THEN u END AS unit_row FROM e),
+h AS (SELECT *, CASE WHEN result.unit IS NOT NULL THEN sp WHEN unit_row IS NULL THEN bs ELSE list_filter(rest, lambda x: x.span IS NOT NULL AND x.ref > unit_row.ref)[1] END AS range_row, coalesce(result.unit, unit_row.unit) AS shown FROM f),
+i AS (SELECT *, CASE lower(regexp_replace(shown, '\s+', '', 'g')) WHEN 'g/dl' THEN 'g/dL' WHEN 'g/l' THEN 'g/L' WHEN 'mg/dl' THEN 'mg/dL' WHEN 'mg/l' THEN 'mg/L' ELSE shown END AS unit, CASE WHEN named THEN line_index END AS project_ref, CASE WHEN result.unit IS NOT NULL THEN result.ref ELSE unit_row.ref END AS unit_ref FROM h)
+SELECT i.document_token, i.page_number, i.line_index, CASE WHEN i.named THEN i.text END AS project_name, project_ref, result.ref AS result_ref, result.value AS value, unit, unit_ref, range_row.span AS reference_interval, range_row.ref AS reference_ref,
+  collection_ref, cc.day AS collection_time, CASE WHEN cc.day IS NOT NULL THEN 'day' END AS collection_precision, report_ref, rr.day AS report_time, CASE WHEN rr.day IS NOT NULL THEN 'day' END AS report_precision,
+  CASE WHEN i.named THEN substr(sha256(concat_ws('|', i.document_token, i.page_number, project_ref, coalesce(CAST(result.ref AS VARCHAR), 'None'))), 1, 16) END AS record_id, CASE WHEN i.named THEN 'explicit' ELSE 'invalid_task' END AS identity_status,
+  CASE WHEN i.named AND result.ref IS NOT NULL AND collection_ref IS NOT NULL THEN 'explicit' ELSE 'unresolved' END AS binding_status, CASE unit WHEN 'g/dL' THEN result.value * 10 WHEN 'g/L' THEN result.value WHEN 'mg/dL' THEN result.value / 100 WHEN 'mg/L' THEN result.value / 1000 END AS value_g_l,
+  concat_ws(',', project_ref, result.ref, unit_ref, range_row.ref, collection_ref, report_ref) AS source_refs
+FROM i LEFT JOIN c cc ON cc.document_token = i.document_token AND cc.line_index = collection_ref LEFT JOIN c rr ON rr.document_token = i.document_token AND rr.line_index = report_ref"""
+
 ORACLE = {
     "g16_page_ranges": f"WITH {ONE} SELECT document_token, min(page_number) AS first_page, max(page_number) AS last_page, count(*) AS line_count FROM one GROUP BY 1",
     "struct_violations": f"""WITH {ONE}, seen AS (SELECT *, line_index - lag(line_index) OVER w AS step, page_number - lag(page_number) OVER w AS turn FROM one WINDOW w AS (PARTITION BY document_token ORDER BY line_index))
@@ -142,11 +184,13 @@ SELECT document_token, page_number, CAST(sum(CASE WHEN far IS NULL OR top > far
     "c11_band_texts": f"""WITH {ONE}, {BOX}, reached AS (SELECT *, max(bottom) OVER (PARTITION BY document_token, page_number ORDER BY top, bottom, line_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM box WHERE top IS NOT NULL),
 b AS (SELECT *, CAST(sum(CASE WHEN far IS NULL OR top > far + 4.0 THEN 1 ELSE 0 END) OVER (PARTITION BY document_token, page_number ORDER BY top, bottom, line_index ROWS UNBOUNDED PRECEDING) AS INTEGER) AS band_no FROM reached)
 SELECT document_token, page_number, band_no, count(*) AS lines, string_agg(text, ' ' ORDER BY "left", line_index) AS text FROM b GROUP BY 1, 2, 3""",
-    "c10_table_rows": f"""WITH {ONE}, t AS (SELECT document_token, line_index, trim(text) AS text, trim(lead(text, 1) OVER w) AS a1, trim(lead(text, 2) OVER w) AS a2, trim(lead(text, 3) OVER w) AS a3 FROM one WINDOW w AS (PARTITION BY document_token ORDER BY line_index)),
-r AS (SELECT *, CASE WHEN {UNIT.format('a2')} THEN a2 WHEN {UNIT.format('a3')} THEN a3 END AS unit, CASE WHEN {RANGE.format('a2')} THEN a2 WHEN {RANGE.format('a3')} THEN a3 END AS span FROM t
-  WHERE regexp_full_match(text, '[\\p{{L}}\\p{{N}} .,()/-]{{2,40}}') AND regexp_matches(text, '\\p{{L}}') AND NOT {NUMBER.format('text')} AND NOT {RANGE.format('text')} AND NOT {UNIT.format('text')} AND {NUMBER.format('a1')}),
-v AS (SELECT document_token, line_index, text AS name, CAST(regexp_replace(replace(a1, ',', '.'), '[<>≤≥]', '', 'g') AS DOUBLE) AS value, unit, TRY_CAST(replace(split_part(span, '-', 1), ',', '.') AS DOUBLE) AS low, TRY_CAST(replace(split_part(span, '-', 2), ',', '.') AS DOUBLE) AS high FROM r)
+    "c10_table_rows": f"""WITH {ONE}, t AS (SELECT document_token, line_index, trim(text) AS text, [{', '.join(f'trim(lead(text, {k}) OVER w)' for k in range(1, 7))}] AS ahead FROM one WINDOW w AS (PARTITION BY document_token ORDER BY line_index)),
+a AS (SELECT *, list_position(list_transform(ahead, lambda x: coalesce({NUMBER.format('x')}, FALSE)), TRUE) AS pos FROM t
+  WHERE regexp_full_match(text, '[\\p{{L}}\\p{{N}} .,()/-]{{2,40}}') AND regexp_matches(text, '\\p{{L}}') AND NOT {NUMBER.format('text')} AND NOT {RANGE.format('text')} AND NOT {UNIT.format('text')}),
+r AS (SELECT *, ahead[pos] AS said, list_filter(ahead[pos + 1:], lambda x: {UNIT.format('x')})[1] AS unit, list_filter(ahead[pos + 1:], lambda x: {RANGE.format('x')})[1] AS span FROM a WHERE pos > 0),
+v AS (SELECT document_token, line_index, text AS name, CAST(regexp_replace(replace(said, ',', '.'), '[<>≤≥]', '', 'g') AS DOUBLE) AS value, unit, TRY_CAST(replace(split_part(span, '-', 1), ',', '.') AS DOUBLE) AS low, TRY_CAST(replace(split_part(span, '-', 2), ',', '.') AS DOUBLE) AS high FROM r)
 SELECT *, concat_ws(',', CASE WHEN unit IS NULL THEN 'unit' END, CASE WHEN low IS NULL THEN 'range' END) AS missing FROM v""",
+    "c10_measurements": MEASUREMENTS,
     "j5_header_scope": f"""WITH {ONE}, {BOX}, h AS (SELECT document_token, page_number, top, min(CAST(line_index AS VARCHAR)) AS header_id, count(*) AS n FROM box WHERE contains(text, ':') OR contains(text, '：') GROUP BY 1, 2, 3),
 r AS (SELECT document_token, page_number, top, CAST(line_index AS VARCHAR) AS row_id FROM box WHERE {NUMBER.format('text')}),
 near AS (SELECT r.document_token, r.page_number, r.row_id, max(h.top) AS top FROM r LEFT JOIN h ON r.document_token = h.document_token AND r.page_number = h.page_number AND h.top <= r.top GROUP BY 1, 2, 3)

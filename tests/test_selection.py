@@ -96,12 +96,12 @@ PLANS = [
 def test_a_table_of_plans_gets_the_codes_of_each_plan(spark):
     import json
 
-    from daywise.plans.selection import SHORT_RULES, problem_codes
+    from daywise.plans.selection import SHORT_RULES, with_problem_codes
 
     texts = [p if p is None or isinstance(p, str) else json.dumps(p) for p in PLANS]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, plan string")
-    got = {r.i: (r.a, r.b) for r in df.select("i", problem_codes(F.col("plan")).alias("a"), problem_codes(F.col("plan"), SHORT_RULES).alias("b")).collect()}
+    got = {r.i: (r.a, r.b) for r in with_problem_codes(with_problem_codes(df, "plan", out="a"), "plan", SHORT_RULES, "b").collect()}
     for i, p in enumerate(PLANS):
         whole = p if isinstance(p, dict) else None
         assert got[i] == (plan_problems(whole), short_plan_problems(whole)), p
-    assert spark.createDataFrame([], "plan string").select(problem_codes(F.col("plan"))).count() == 0
+    assert with_problem_codes(df.limit(0), "plan").count() == 0
