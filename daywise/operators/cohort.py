@@ -62,11 +62,12 @@ def value_errors(pairs: DataFrame, left: str, right: str, tolerance: float) -> D
 def rank_auc(rows: DataFrame, score: str, positive: str) -> DataFrame:
     """Area under the curve by the rank sum, ties at their middle.
 
-    Equal scores are counted first; running totals go over whole steps of the score, then within each step, so no
-    window holds all rows.
+    Equal scores are counted first and cut into some 256 ranges of like size by their quantiles; running totals go over
+    the ranges, then within each, so no window holds all rows, whatever the scores' scale.
     """
     per = rows.filter(F.col(score).isNotNull() & F.col(positive).isNotNull()).groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(positive)).cast("double").alias("p"), F.count_if(~F.col(positive)).cast("double").alias("q"))
-    per = per.withColumn("b", F.floor("s"))
+    cuts = per.agg(F.percentile_approx("s", [k / 256 for k in range(1, 256)], 10_000)).scalar()
+    per = per.withColumn("cuts", cuts).withColumn("b", F.size(F.filter("cuts", lambda c: c <= F.col("s")))).drop("cuts")
     below = per.groupBy("b").agg(F.sum("q").alias("bq")).withColumn("before", F.coalesce(F.sum("bq").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     within = per.withColumn("inner", F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     joined = within.join(below.select("b", "before"), "b")

@@ -71,17 +71,19 @@ def select_records(records: DataFrame, tasks: DataFrame) -> DataFrame:
     """
     seen = considered(records, tasks)
     single = F.col("selection").isin("first", "latest")
-    direction = F.when(F.col("selection") == "latest", F.col("day")).otherwise(-F.col("day"))
     usable = F.col("standing") == "usable"
-    # Only the extreme day's records of single selections go on to be listed.
-    best = F.max(F.when(usable, direction)).over(Window.partitionBy("task_id"))
-    seen = seen.withColumn("listed", usable & (~single | (direction == best)))
     clock = F.when(F.col("selection") == "latest", F.col("second")).otherwise(-F.col("second"))
-    per = seen.groupBy(*TASK_COLUMNS).agg(
-        F.count_if("carries").alias("n_carrying"), F.count_if(F.col("standing") == "incomplete").alias("n_incomplete"), F.count_if("listed").alias("n_listed"),
-        F.count_if(F.col("listed") & F.col("second").isNull()).alias("n_unknown"), F.max(F.when(F.col("listed"), clock)).alias("extreme"), F.min(F.when(F.col("listed"), clock)).alias("other"),
-        F.array_sort(F.array_compact(F.collect_list(F.when(F.col("listed"), F.struct("day", F.coalesce("second", F.lit(86400)).alias("second"), "record_id", clock.alias("clock")))))).alias("listed"),
+    # First by day, which splits a case of very many records; of single selections only the extreme day's list goes on.
+    days = seen.groupBy(*TASK_COLUMNS, "day").agg(
+        F.count_if("carries").alias("n_carrying"), F.count_if(F.col("standing") == "incomplete").alias("n_incomplete"), F.count_if(usable).alias("n_listed"),
+        F.count_if(usable & F.col("second").isNull()).alias("n_unknown"), F.max(F.when(usable, clock)).alias("extreme"),
+        F.collect_list(F.when(usable, F.struct("day", F.coalesce("second", F.lit(86400)).alias("second"), "record_id", clock.alias("clock")))).alias("listed"),
     )
+    direction = F.when(F.col("selection") == "latest", F.col("day")).otherwise(-F.col("day"))
+    whole = F.struct("n_listed", "n_unknown", "extreme", "listed")
+    top = F.max_by(F.when(single, whole), F.when(F.col("n_listed") > 0, direction))
+    per = days.groupBy(*TASK_COLUMNS).agg(F.sum("n_carrying").alias("n_carrying"), F.sum("n_incomplete").alias("n_incomplete"), top.alias("top"), F.sum("n_listed").alias("n_usable"), F.flatten(F.collect_list(F.when(~single, F.col("listed")))).alias("every"))
+    per = per.select(*TASK_COLUMNS, "n_carrying", "n_incomplete", F.when(single, F.coalesce("top.n_listed", F.lit(0))).otherwise(F.col("n_usable")).alias("n_listed"), F.col("top.n_unknown").alias("n_unknown"), F.col("top.extreme").alias("extreme"), F.array_sort(F.when(single, F.coalesce("top.listed", "every")).otherwise(F.col("every"))).alias("listed"))
     ids = lambda rows: F.transform(rows, lambda x: x["record_id"])
     at_extreme = F.filter("listed", lambda x: x["clock"] == F.col("extreme"))
     all_known = F.col("n_unknown") == 0
@@ -130,9 +132,13 @@ def expand_selected(outcomes: DataFrame, records: DataFrame, fields: Sequence[st
 
 
 def day_coordinate(records: DataFrame, day: str = "collection_day") -> DataFrame:
-    """``record_id, case_token, day, offset``: days from the case's own first day; null days stay null."""
-    origin = F.min(day).over(Window.partitionBy("case_token"))
-    return records.select("record_id", "case_token", F.col(day).cast("int").alias("day"), (F.col(day) - origin).cast("int").alias("offset"))
+    """``record_id, case_token, day, offset``: days from the case's own first day; null days stay null.
+
+    The first day is a partial aggregate joined back, as one case may hold a large part of all records.
+    """
+    origin = records.groupBy(F.col("case_token").alias("of")).agg(F.min(day).alias("origin"))
+    both = records.join(origin, F.col("case_token").eqNullSafe(F.col("of")), "left")
+    return both.select("record_id", "case_token", F.col(day).cast("int").alias("day"), (F.col(day) - F.col("origin")).cast("int").alias("offset"))
 
 
 def compare_outcomes(left: DataFrame, right: DataFrame) -> DataFrame:

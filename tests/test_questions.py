@@ -58,3 +58,16 @@ def test_bootstrap_and_keys(spark):
     assert Q.repeated_keys(a, ["k"]).first().copies == 2 and Q.stability(spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 1.0), ("a", None)], "k string, v double"), ["k"], F.col("v")).collect() == [("a", 2, 1.0, 3.0, 2.0)]
     d = spark.createDataFrame([(True, 9, 10, True), (True, 8, 10, True), (True, None, 10, True), (False, 10, 10, True), (True, 10, 10, None)], "p boolean, r int, t int, c boolean")
     assert [r[0] for r in d.select(Q.completed(F.col("p"), F.col("r"), F.col("t"), F.col("c"))).collect()] == [True, False, False, False, False]
+
+
+def test_rank_auc_in_any_scale(spark):
+    from daywise.operators.cohort import rank_auc
+
+    rows = [((i * 37 % 1000) / (1000.0 if unit else 1.0), i % 3 == 0) for unit in (0,) for i in range(2000)]
+    small = [(s / 1000, p) for s, p in rows]
+    pos, neg = [s for s, p in rows if p], [s for s, p in rows if not p]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    for data in (rows, small, [(1.0, True), (1.0, False), (None, True)]):
+        got = rank_auc(spark.createDataFrame(data, "s double, p boolean"), "s", "p").first()
+        assert abs(got.auc - (want if len(data) > 3 else 0.5)) < 1e-9
+    assert rank_auc(spark.createDataFrame([], "s double, p boolean"), "s", "p").first().auc is None
