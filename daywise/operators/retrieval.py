@@ -21,11 +21,12 @@ def _hit(text: Column, terms: list[str]) -> Column:
 
 
 def retrieve_pages(lines: DataFrame, question: str, *, max_pages: int | None = None, adjacent: bool = True, min_hits: int = 1, page_cap: int = 64) -> DataFrame:
-    """``document_token, page_number, hits, chosen_as``: whole pages on which lines contain a term of the question.
+    """``document_token, page_number, hits, chosen_as, truncated, can_read_more``: whole pages on which lines contain a term of the question.
 
     Pages rank by hit lines, then by number; with ``adjacent`` the pages beside chosen ones come too. Without
     ``max_pages`` all pages with hits are chosen, up to the feature's ``page_cap`` in page order; with it the best,
-    and at most two more. A document without hits gives its first page.
+    and at most two more. A document without hits gives its first page. ``truncated`` tells that ``max_pages`` was given
+    and pages were not chosen, ``can_read_more`` that fewer pages are returned than the document has.
     """
     terms = question_terms(question)
     pages = reading_order(lines).groupBy("document_token", "page_number").agg(F.count_if(_hit(F.col("text"), terms)).alias("hits"))
@@ -35,10 +36,12 @@ def retrieve_pages(lines: DataFrame, question: str, *, max_pages: int | None = N
     ranked = ranked.withColumn("hit", found & (F.lit(True) if max_pages is None else F.col("rank") <= max_pages))
     order = doc.orderBy("page_number")
     beside = F.coalesce(F.lag("hit").over(order), F.lit(False)) | F.coalesce(F.lead("hit").over(order), F.lit(False))
-    marked = ranked.withColumns({"beside": beside & F.lit(adjacent), "any": F.max("hit").over(doc), "place": F.row_number().over(order)})
+    marked = ranked.withColumns({"beside": beside & F.lit(adjacent), "any": F.max("hit").over(doc), "place": F.row_number().over(order), "pages": F.count(F.lit(1)).over(doc)})
     kept = marked.withColumn("chosen_as", F.when(F.col("hit"), "hit").when(F.col("beside"), "adjacent").when(~F.col("any") & (F.col("place") == 1), "first")).filter("chosen_as is not null")
     most = page_cap if max_pages is None else max_pages + (2 if adjacent else 0)
-    return kept.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("document_token", "page_number", "hits", "chosen_as")
+    counted = kept.withColumns({"n": F.row_number().over(order), "chosen": F.count(F.lit(1)).over(doc)}).filter(F.col("n") <= most)
+    truncated = F.lit(max_pages is not None) & (F.col("chosen") < F.col("pages"))
+    return counted.select("document_token", "page_number", "hits", "chosen_as", truncated.alias("truncated"), (F.least("chosen", F.lit(most)) < F.col("pages")).alias("can_read_more"))
 
 
 def retrieve_lines(lines: DataFrame, question: str, *, top_k: int = 40, window: int = 1) -> DataFrame:

@@ -81,3 +81,15 @@ def request_checks(destinations: Sequence[str], purpose: str, required: Sequence
 def missing_parts(require_unit: bool = True) -> Column:
     """What a candidate record lacks, for ``complete`` or ``incomplete``: value, unit, collection time, anchors."""
     return reason_codes([("VALUE_MISSING", F.col("value").isNull()), ("UNIT_MISSING", F.lit(require_unit) & F.col("unit").isNull()), ("COLLECTION_TIME_MISSING", F.col("clock").isNull() & F.col("day_offset").isNull()), ("COLLECTION_ANCHOR_MISSING", F.col("collection_ref").isNull()), ("REPORT_ANCHOR_MISSING", F.col("report_ref").isNull())])
+
+
+def candidate_state(require_unit: bool = False) -> tuple[Column, Column]:
+    """``status, missing`` of a candidate measurement: ``invalid_task`` without an anchored identity, else whether anything is missing."""
+    missing = reason_codes([("value", F.col("value").isNull()), ("collection_time_role", F.col("collection_time").isNull()), ("source_anchor", F.coalesce(F.size("source_refs"), F.lit(0)) < 1), ("unit", F.lit(require_unit) & F.col("unit").isNull())])
+    valid = F.coalesce(F.col("identity_status") == "explicit", F.lit(False))
+    return F.when(~valid, "invalid_task").when(F.size(missing) == 0, "complete").otherwise("incomplete"), F.when(valid, missing).otherwise(F.array(F.lit("identity")))
+
+
+def unresolved_parts() -> Column:
+    """The codes of what a candidate measurement does not tell: value, unit, collection time and both anchors."""
+    return reason_codes([("VALUE_MISSING", F.col("value").isNull()), ("UNIT_MISSING", F.col("unit").isNull()), ("COLLECTION_TIME_MISSING", F.col("collection_time").isNull()), ("COLLECTION_ANCHOR_MISSING", F.col("collection_ref").isNull()), ("REPORT_ANCHOR_MISSING", F.col("report_ref").isNull())])

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daywise.functions.values import day_marker, row_id
 from daywise.operators import layout as L
 from daywise.operators import retrieval as R
-from daywise.functions.values import day_marker
+from daywise.operators import validation as V
 from daywise.sources.tables import table
 
 QUESTION = "haemoglobin creatinine"
@@ -52,6 +53,22 @@ def c10_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"source_refs": F.array_join(F.transform("source_refs", lambda r: r.cast("string")), ",")})
 
 
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.measurements(_lines(spark, sf_dir), alias=r"(?i)(?<![A-Za-z])(?:HGB|CA 19-9)(?![A-Za-z])", moment=_day_told)
+
+
+def c13_rule_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter's rule mode: measurements as records of their case, with what is unresolved."""
+    cases = _lines(spark, sf_dir).groupBy("document_token").agg(F.min("case_token").alias("case_token"))
+    found = _measured(spark, sf_dir).drop("record_id").join(cases, "document_token")
+    return found.select(row_id(F.col("case_token"), F.col("document_token"), F.coalesce("result_ref", F.lit(0))).alias("record_id"), "case_token", F.col("result_ref").alias("anchor"), "project_name", "value", "unit", "identity_status", "page_number", "collection_time", "report_time", F.array_join(V.unresolved_parts(), ",").alias("unresolved"))
+
+
+def pred_candidate_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status, missing = V.candidate_state(require_unit=True)
+    return _measured(spark, sf_dir).groupBy(status.alias("status"), F.array_join(missing, ",").alias("missing")).agg(F.count(F.lit(1)).alias("candidates"))
+
+
 def _headers(seen: DataFrame) -> DataFrame:
     return seen.filter(F.col("text").rlike(r"[:：]")).select("document_token", "page_number", "top", F.col("line_index").cast("string").alias("header_id"))
 
@@ -115,7 +132,7 @@ def c20_retrieve_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (g16_page_ranges, struct_violations, j2_alignment_audit, w5_bands, c11_band_texts, c10_table_rows, c10_measurements, j5_header_scope, j6_preferred_role, j7_nearest_days, w4_previous_line, c13_line_cells, j20_page_rules, g6_rule_histogram, c14_day_candidates, c15_case_coordinates, c19_retrieve_pages, c19_retrieve_best_pages, c20_retrieve_lines)
+    for f in (g16_page_ranges, struct_violations, j2_alignment_audit, w5_bands, c11_band_texts, c10_table_rows, c10_measurements, c13_rule_records, pred_candidate_states, j5_header_scope, j6_preferred_role, j7_nearest_days, w4_previous_line, c13_line_cells, j20_page_rules, g6_rule_histogram, c14_day_candidates, c15_case_coordinates, c19_retrieve_pages, c19_retrieve_best_pages, c20_retrieve_lines)
 }
 
 ONE = "one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_token, line_index ORDER BY text DESC NULLS LAST, page_number DESC) AS n FROM layout_line) WHERE n = 1)"
@@ -133,8 +150,9 @@ def _pages(most: str, chosen: str) -> str:
     return f"""WITH {ONE}, {PAGES}, h AS (SELECT *, hits >= 1 AND {chosen} AS hit FROM ranked),
 b AS (SELECT *, coalesce(lag(hit) OVER w, FALSE) OR coalesce(lead(hit) OVER w, FALSE) AS beside, bool_or(hit) OVER (PARTITION BY document_token) AS any_hit FROM h WINDOW w AS (PARTITION BY document_token ORDER BY page_number)),
 c AS (SELECT *, CASE WHEN hit THEN 'hit' WHEN beside THEN 'adjacent' WHEN NOT any_hit AND place = 1 THEN 'first' END AS chosen_as FROM b),
-k AS (SELECT *, row_number() OVER (PARTITION BY document_token ORDER BY page_number) AS n FROM c WHERE chosen_as IS NOT NULL)
-SELECT document_token, page_number, hits, chosen_as FROM k WHERE n <= {most}"""
+p AS (SELECT *, count(*) OVER (PARTITION BY document_token) AS pages FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY document_token ORDER BY page_number) AS n, count(*) OVER (PARTITION BY document_token) AS chosen FROM p WHERE chosen_as IS NOT NULL)
+SELECT document_token, page_number, hits, chosen_as, {'FALSE' if chosen == 'TRUE' else 'chosen < pages'} AS truncated, least(chosen, {most}) < pages AS can_read_more FROM k WHERE n <= {most}"""
 
 
 # The operator's patterns in the other engine's dialect, which has no look-behind.
@@ -191,6 +209,11 @@ r AS (SELECT *, ahead[pos] AS said, list_filter(ahead[pos + 1:], lambda x: {UNIT
 v AS (SELECT document_token, line_index, text AS name, CAST(regexp_replace(replace(said, ',', '.'), '[<>≤≥]', '', 'g') AS DOUBLE) AS value, unit, TRY_CAST(replace(split_part(span, '-', 1), ',', '.') AS DOUBLE) AS low, TRY_CAST(replace(split_part(span, '-', 2), ',', '.') AS DOUBLE) AS high FROM r)
 SELECT *, concat_ws(',', CASE WHEN unit IS NULL THEN 'unit' END, CASE WHEN low IS NULL THEN 'range' END) AS missing FROM v""",
     "c10_measurements": MEASUREMENTS,
+    "c13_rule_records": f"""WITH m AS ({MEASUREMENTS}), cases AS (SELECT document_token, min(case_token) AS case_token FROM layout_line GROUP BY 1)
+SELECT substr(sha256(concat_ws('|', case_token, m.document_token, coalesce(result_ref, 0))), 1, 16) AS record_id, case_token, result_ref AS anchor, project_name, value, unit, identity_status, page_number, collection_time, report_time,
+  concat_ws(',', CASE WHEN value IS NULL THEN 'VALUE_MISSING' END, CASE WHEN unit IS NULL THEN 'UNIT_MISSING' END, CASE WHEN collection_time IS NULL THEN 'COLLECTION_TIME_MISSING' END, CASE WHEN collection_ref IS NULL THEN 'COLLECTION_ANCHOR_MISSING' END, CASE WHEN report_ref IS NULL THEN 'REPORT_ANCHOR_MISSING' END) AS unresolved FROM m JOIN cases ON m.document_token = cases.document_token""",
+    "pred_candidate_states": f"""WITH m AS ({MEASUREMENTS}), c AS (SELECT identity_status = 'explicit' AS valid, concat_ws(',', CASE WHEN value IS NULL THEN 'value' END, CASE WHEN collection_time IS NULL THEN 'collection_time_role' END, CASE WHEN source_refs = '' THEN 'source_anchor' END, CASE WHEN unit IS NULL THEN 'unit' END) AS missing FROM m)
+SELECT CASE WHEN NOT valid THEN 'invalid_task' WHEN missing = '' THEN 'complete' ELSE 'incomplete' END AS status, CASE WHEN valid THEN missing ELSE 'identity' END AS missing, count(*) AS candidates FROM c GROUP BY 1, 2""",
     "j5_header_scope": f"""WITH {ONE}, {BOX}, h AS (SELECT document_token, page_number, top, min(CAST(line_index AS VARCHAR)) AS header_id, count(*) AS n FROM box WHERE contains(text, ':') OR contains(text, '：') GROUP BY 1, 2, 3),
 r AS (SELECT document_token, page_number, top, CAST(line_index AS VARCHAR) AS row_id FROM box WHERE {NUMBER.format('text')}),
 near AS (SELECT r.document_token, r.page_number, r.row_id, max(h.top) AS top FROM r LEFT JOIN h ON r.document_token = h.document_token AND r.page_number = h.page_number AND h.top <= r.top GROUP BY 1, 2, 3)

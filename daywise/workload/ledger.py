@@ -43,6 +43,12 @@ def j18_recovered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.recovered_rows(_grid(spark, sf_dir), rows.filter(_given()), saved)
 
 
+def c17_next_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run as a whole: the grid, less what the ledger has, as far as each arm's budget goes."""
+    jobs = B.open_jobs(_grid(spark, sf_dir), _rows(spark, sf_dir).filter(_given())).withColumn("cost", F.when(F.col("arm") == "adjudicator", 5).otherwise(3))
+    return B.within_budget(jobs, ["arm"], [F.col("task_id")], "cost", 500).select("task_id", "arm", "cost", F.col("spent").cast("long").alias("spent"))
+
+
 def g4_arm_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.arm_summary(_rows(spark, sf_dir), ["arm"], _given(), F.col("label") == F.col("closed"))
 
@@ -73,7 +79,7 @@ def g13_context_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.context_estimate(table(spark, sf_dir, "documents"), "text")
 
 
-QUERIES = {f.__name__: f for f in (j17_job_grid, j16_open_jobs, j18_recovered_rows, g4_arm_summary, g5_label_histograms, pred_failure_class, pred_reason_codes, w6_within_budget, g13_context_estimate)}
+QUERIES = {f.__name__: f for f in (j17_job_grid, j16_open_jobs, j18_recovered_rows, c17_next_jobs, g4_arm_summary, g5_label_histograms, pred_failure_class, pred_reason_codes, w6_within_budget, g13_context_estimate)}
 
 GRID = "grid AS (SELECT DISTINCT observation_id AS task_id, arm FROM review_template, (VALUES ('reviewer_a'), ('reviewer_b'), ('adjudicator')) v(arm))"
 ROWS = """sheets AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sheet_id ORDER BY locked_at) AS n FROM review_template) WHERE n = 1),
@@ -87,6 +93,9 @@ ORACLE = {
     "j16_open_jobs": f"WITH {GRID}, {ROWS} SELECT task_id, arm FROM grid EXCEPT SELECT task_id, arm FROM led WHERE {GIVEN}",
     "j18_recovered_rows": f"""WITH {GRID}, {ROWS}, o AS (SELECT task_id, arm FROM grid EXCEPT SELECT task_id, arm FROM led WHERE {GIVEN})
 SELECT o.task_id, o.arm, count(*) AS attempts FROM o JOIN led ON o.task_id = led.task_id AND o.arm = led.arm WHERE closed IS NOT NULL GROUP BY 1, 2""",
+    "c17_next_jobs": f"""WITH {GRID}, {ROWS}, o AS (SELECT task_id, arm, CASE WHEN arm = 'adjudicator' THEN 5 ELSE 3 END AS cost FROM (SELECT task_id, arm FROM grid EXCEPT SELECT task_id, arm FROM led WHERE {GIVEN})),
+s AS (SELECT *, sum(cost) OVER (PARTITION BY arm ORDER BY task_id ROWS UNBOUNDED PRECEDING) AS used FROM o)
+SELECT task_id, arm, cost, CAST(used - cost AS BIGINT) AS spent FROM s WHERE used <= 500""",
     "g4_arm_summary": f"WITH {ROWS} SELECT arm, count(*) AS jobs, count(*) FILTER (WHERE {GIVEN}) AS done, count(*) FILTER (WHERE {GIVEN} AND label = closed) AS \"right\", CAST(count(*) FILTER (WHERE {GIVEN} AND label = closed) AS DOUBLE) / NULLIF(count(*) FILTER (WHERE {GIVEN}), 0) AS success_share FROM led GROUP BY 1",
     "g5_label_histograms": f"WITH {ROWS}, c AS (SELECT who, coalesce(label, 'none') AS label, count(*) AS n FROM led WHERE who IS NOT NULL GROUP BY 1, 2) SELECT who, CAST(sum(n) AS BIGINT) AS \"rows\", string_agg(label || '=' || n, ';' ORDER BY label) AS histogram FROM c GROUP BY 1",
     "pred_failure_class": f"WITH {ROWS} SELECT arm, CASE WHEN who IS NULL THEN 'service' WHEN NOT ({GIVEN}) THEN 'format' WHEN NOT coalesce(label = closed, FALSE) THEN 'content' ELSE 'none' END AS failure_class, count(*) AS jobs FROM led GROUP BY 1, 2",
