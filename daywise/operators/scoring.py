@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -171,6 +171,31 @@ def field_correct(predicted: DataFrame, reference: DataFrame) -> DataFrame:
     return checks.agg(F.count(F.lit(1)).alias("aligned"), F.count_if("value").alias("value_ok"), F.count_if("unit").alias("unit_ok"), F.count_if("sampling").alias("sampling_ok"), F.count_if("times").alias("times_ok"), F.count_if(F.col("value") & F.col("unit") & F.col("sampling") & F.col("sources")).alias("joint_ok"))
 
 
+def _bag(c: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """Time assertions as they compare: a bag of role, day, coordinate and binding, in order; null is an empty one."""
+    rows = F.col(c) if keep is None else F.filter(c, keep)
+    return F.coalesce(F.to_json(F.array_sort(F.transform(rows, lambda t: F.struct(*[t[f].alias(f) for f in ("role", "relative_day", "coordinate_id", "binding_status")])))), F.lit("[]"))
+
+
+def observation_scores(predicted: DataFrame, reference: DataFrame, *, full_record: bool = False) -> DataFrame:
+    """``tp, fp, fn, precision, recall, f1`` of predicted observations that are right as a whole, matched one to one.
+
+    Right is an observation of the same case, item, exact value, unit, source lines and sampling assertions (with
+    ``full_record`` all time assertions). Being right is an equivalence, so a largest one-to-one matching takes from
+    each class of equal observations the smaller of both numbers: classes are counted, and no pair is ever made, however
+    many repeats a case has. Without source lines nothing is aligned, so such rows are wrong. A measure over nothing
+    is null.
+    """
+    refs = F.coalesce("source_refs", F.array().cast("array<string>"))
+    sampling = _bag("time_assertions", lambda t: t["role"] == "sampling")
+    key = F.struct("case_token", F.trim("item").alias("item"), canonical_number(F.col("value")).alias("value"), F.trim("unit").alias("unit"), F.array_sort(F.array_distinct(refs)).alias("refs"), (_bag("time_assertions") if full_record else sampling).alias("times"))
+    side = lambda df, a, b: df.select(key.alias("key"), (F.size(refs) > 0).alias("aligned"), F.lit(a).alias("p"), F.lit(b).alias("r"))
+    classes = side(predicted, 1, 0).unionByName(side(reference, 0, 1)).groupBy("key", "aligned").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    sums = classes.agg(F.coalesce(F.sum(F.when(F.col("aligned"), F.least("p", "r"))), F.lit(0)).alias("tp"), F.coalesce(F.sum("p"), F.lit(0)).alias("p"), F.coalesce(F.sum("r"), F.lit(0)).alias("r"))
+    out = sums.select("tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("r") - F.col("tp")).alias("fn"), F.try_divide("tp", "p").alias("precision"), F.try_divide("tp", "r").alias("recall"))
+    return out.withColumn("f1", F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
+
+
 def identity_scores(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """Counts over reference pairs (``left_row, right_row, relation``) by predicted groups (``row, group_id``).
 

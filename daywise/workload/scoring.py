@@ -52,6 +52,21 @@ def c8_field_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.field_correct(said, seen)
 
 
+def _sheets_and_observations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What the latest sheet of each observation says, and the observations."""
+    seen = _observations(spark, sf_dir)
+    sheets = table(spark, sf_dir, "review_template").groupBy(F.col("observation_id").alias("id")).agg(F.max(F.struct("locked_at", "sheet_id", "item", "value", "unit")).alias("s"))
+    return seen.select("id", "case_token", "source_refs", "time_assertions").join(sheets, "id").select("id", "case_token", "s.item", "s.value", "s.unit", "source_refs", "time_assertions"), seen
+
+
+def c8_joint_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.observation_scores(*_sheets_and_observations(spark, sf_dir))
+
+
+def c8_full_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.observation_scores(*_sheets_and_observations(spark, sf_dir), full_record=True)
+
+
 def c9_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = _observations(spark, sf_dir)
     facts = seen.select("id", F.lower(F.trim("item")).alias("item"), "value", "case_token")
@@ -84,7 +99,7 @@ def j15_resolve_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.resolve_items(items, records)
 
 
-QUERIES = {f.__name__: f for f in (c6_selection_score, c7_field_mismatches, j10_overlap_anchors, j11_matching, c8_field_correct, c9_identity, g10_unknown_sampling, g12_cost_summary, j15_resolve_items)}
+QUERIES = {f.__name__: f for f in (c6_selection_score, c7_field_mismatches, j10_overlap_anchors, j11_matching, c8_field_correct, c8_joint_scores, c8_full_scores, c9_identity, g10_unknown_sampling, g12_cost_summary, j15_resolve_items)}
 
 OBSERVATIONS = """obs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY submitted_at DESC) AS version FROM unified_fixture_submission) WHERE version = 1)"""
 REFS = "refs AS (SELECT DISTINCT observation_id AS id, case_token, unnest(source_refs) AS ref FROM obs)"
@@ -95,6 +110,19 @@ FINITE = "CASE WHEN isfinite(TRY_CAST(trim({0}) AS DOUBLE)) THEN TRY_CAST(trim({
 UNIT = r"lower(regexp_replace({0}, '\s+', '', 'g'))"
 CLOCK = "regexp_full_match(trim({0}), '([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9])?')"
 
+def _scores_sql(keep: str) -> str:
+    told = "coalesce(t.role, '~') || '|' || coalesce(CAST(t.relative_day AS VARCHAR), '~') || '|' || coalesce(t.coordinate_id, '~') || '|' || coalesce(t.binding_status, '~')"
+    key = f"""case_token, trim(item) AS item, CASE WHEN {PLAIN.format('value')} THEN CAST(CAST(trim(value) AS DECIMAL(38,17)) AS VARCHAR) ELSE trim(value) END AS value, trim(unit) AS unit, list_sort(list_distinct(coalesce(source_refs, []))) AS refs,
+  CAST(list_sort(list_transform(list_filter(coalesce(time_assertions, []), lambda t: {keep}), lambda t: {told})) AS VARCHAR) AS times"""
+    return f"""WITH {OBSERVATIONS}, sheets AS (SELECT * FROM (SELECT observation_id, item, value, unit,
+  row_number() OVER (PARTITION BY observation_id ORDER BY locked_at DESC NULLS LAST, sheet_id DESC, item DESC NULLS LAST, value DESC NULLS LAST, unit DESC NULLS LAST) AS n FROM review_template) WHERE n = 1),
+said AS (SELECT o.case_token, o.source_refs, o.time_assertions, s.item, s.value, s.unit FROM obs o JOIN sheets s ON o.observation_id = s.observation_id),
+k AS (SELECT 1 AS p, 0 AS r, {key} FROM said UNION ALL SELECT 0, 1, {key} FROM obs),
+c AS (SELECT refs, sum(p) AS p, sum(r) AS r FROM k GROUP BY case_token, item, value, unit, refs, times),
+t AS (SELECT CAST(sum(CASE WHEN len(refs) > 0 THEN least(p, r) ELSE 0 END) AS BIGINT) AS tp, CAST(sum(p) AS BIGINT) AS p, CAST(sum(r) AS BIGINT) AS r FROM c)
+SELECT tp, p - tp AS fp, r - tp AS fn, CAST(tp AS DOUBLE) / nullif(p, 0) AS precision, CAST(tp AS DOUBLE) / nullif(r, 0) AS recall, 2.0 * tp / nullif(p + r, 0) AS f1 FROM t"""
+
+
 ORACLE = {
     "c6_selection_score": f"""WITH ref AS ({outcome_sql(LATEST)}), naive AS ({SELECTION_SQL['w3_naive_latest']}),
 both_ AS (SELECT r.*, n.record_id AS pick, CASE WHEN n.record_id IS NULL THEN 'empty' ELSE 'ok' END AS said,
@@ -136,6 +164,8 @@ checks AS (SELECT trim(s.item) IS NOT DISTINCT FROM trim(o.item) AND CASE WHEN {
     ELSE trim(s.value) IS NOT DISTINCT FROM trim(o.value) END AS v, trim(s.unit) IS NOT DISTINCT FROM trim(o.unit) AS u
   FROM only_ x JOIN said s ON x.pred_id = s.id JOIN obs o ON x.ref_id = o.observation_id)
 SELECT count(*) AS aligned, count(*) FILTER (WHERE v) AS value_ok, count(*) FILTER (WHERE u) AS unit_ok, count(*) AS sampling_ok, count(*) AS times_ok, count(*) FILTER (WHERE v AND u) AS joint_ok FROM checks""",
+    "c8_joint_scores": _scores_sql("t.role = 'sampling'"),
+    "c8_full_scores": _scores_sql("TRUE"),
     "c9_identity": f"""WITH {OBSERVATIONS}, {REFS}, {ANCHORS},
 facts AS (SELECT observation_id AS id, lower(trim(item)) AS item, value, case_token FROM obs),
 p AS (SELECT CASE WHEN a.value IS NULL OR b.value IS NULL THEN 'unresolved' WHEN a.item = b.item THEN 'same' ELSE 'different' END AS relation,

@@ -68,3 +68,25 @@ def test_values(spark):
     assert one(precision) == "invalid" and one(V.moment_of(F.lit("2025-02-03 08:30:01"))[1]) == "second" and one(V.moment_of(F.lit(""))[1]) == "missing"
     assert one(V.brace_object(F.lit('```json\n{"a": 1}\n```'))) == '{"a": 1}' and one(V.brace_object(F.lit("no"))) is None
     assert len(one(V.row_id(F.lit("a"), F.lit(1)))) == 16
+
+
+ASSERTIONS = "array<struct<role:string,relative_day:int,coordinate_id:string,binding_status:string>>"
+
+
+def observed(n=12):
+    """Twelve observations of two cases; one measurement was repeated."""
+    time = lambda d: [("sampling", d, "c", "explicit"), ("report", d + 1, "c", "explicit")]
+    return [(f"o{i}", "AB"[i % 2], "Hb", str(100 + i // 2 * 1.5), "g/L", [f"p1:L{i}"], time(i)) for i in range(n)]
+
+
+def test_mutations_of_a_submission(spark):
+    make = lambda rows: spark.createDataFrame(rows, f"id string, case_token string, item string, value string, unit string, source_refs array<string>, time_assertions {ASSERTIONS}")
+    gold = observed()
+    swapped = [*gold[:1], (*gold[1][:6], [("report", 1, "c", "explicit"), ("sampling", 2, "c", "explicit")]), *gold[2:]]
+    late = [*gold[:1], (*gold[1][:6], [("sampling", 1, "c", "explicit"), ("report", 9, "c", "explicit")]), *gold[2:]]
+    cases = [(gold, 12, 0, 0), (swapped, 11, 1, 1), (gold[:-1], 11, 0, 1), ([*gold, ("again", *gold[0][1:])], 12, 1, 0), ([*gold[:-1], (*gold[-1][:5], None, gold[-1][6])], 11, 1, 1), ([], 0, 0, 12), ([("x", *(None,) * 6)], 0, 1, 12), (late, 12, 0, 0), ([(*gold[0][:3], "100.00", *gold[0][4:]), *gold[1:]], 12, 0, 0)]
+    for rows, tp, fp, fn in cases:
+        r = G.observation_scores(make(rows), make(gold)).first()
+        assert (r.tp, r.fp, r.fn) == (tp, fp, fn) and r.recall == tp / 12 and (r.precision == tp / len(rows) if rows else r.precision is None)
+    assert tuple(G.observation_scores(make(late), make(gold), full_record=True).first())[:3] == (11, 1, 1)
+    assert tuple(G.observation_scores(make([]), make([])).first()) == (0, 0, 0, None, None, None)
