@@ -31,6 +31,8 @@ KANA = {"ニ": "二", "ロ": "口", "カ": "力", "ー": "一", "エ": "工", "
 SUPERSCRIPT = frozenset("⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻")
 #: Log score of a letter of another script inside a word, of a pair of letters never seen, and of a changed letter.
 FOREIGN, CHANGED = -60.0, -0.01
+#: Log score of two neighbouring characters of different East Asian scripts.
+TURN = -1.0
 
 
 def _script(c: str) -> str:
@@ -174,20 +176,50 @@ def _is_katakana(c: str) -> bool:
     return "゠" <= c <= "ヿ" and c not in "・"
 
 
+@functools.lru_cache(maxsize=1)
+def _kana_doubles() -> dict[str, tuple[str, ...]]:
+    """For each kana and ideograph with a double what it may stand for, itself first; hiragana are not written for katakana."""
+    out = {k: (k, v) if v not in "へべぺり" else (k,) for k, v in KANA.items()}
+    return out | {v: (v, k) for k, v in KANA.items()}
+
+
+def _wide_script(c: str) -> str:
+    """K, H or I for katakana, hiragana and ideographs, O for other letters, else the empty string."""
+    if _is_katakana(c):
+        return "K"
+    if "ぁ" <= c <= "ゟ":
+        return "H"
+    return "I" if "一" <= c <= "鿿" else "O" if c.isalpha() and not c.isascii() else ""
+
+
 def _kana(text: str) -> str:
-    """Kana and ideographs that look alike follow their neighbours."""
-    back = {v: k for k, v in KANA.items()}
-    out = list(text)
-    for i, c in enumerate(text):
-        if c not in KANA and c not in back:
-            continue
-        near = [x for x in (text[i - 1 : i] + text[i + 1 : i + 2]) if x.isalpha() and not x.isascii()]
-        sure = [x for x in near if x not in KANA and x not in back]
-        if c in KANA and KANA[c] not in "へべぺり" and sure and all("一" <= x <= "鿿" for x in sure) and len(sure) == len(near):
-            out[i] = KANA[c]
-        elif c in back and sure and all(_is_katakana(x) for x in sure):
-            out[i] = back[c]
-    return "".join(out)
+    """Viterbi over the kana and ideographs that each character may stand for, scored by pairs of scripts.
+
+    A pair of one script costs nothing and one of two scripts ``TURN``, beside ``CHANGED`` for a changed character;
+    what is no such letter separates runs. Of equal paths the one that changes least, then least early, is taken.
+    """
+    doubles = _kana_doubles()
+    if doubles.keys().isdisjoint(text):
+        return text
+    layer: dict[str, float] = {"": 0.0}  # of each script of the last character the best score
+    back: list[dict[str, tuple[str, str]]] = []
+    for c in text:
+        after: dict[str, float] = {}
+        came: dict[str, tuple[str, str]] = {}
+        for x in doubles.get(c, (c,)):
+            kind = _wide_script(x)
+            for last, score in layer.items():
+                s = score + (TURN if kind and last and kind != last else 0.0) + (0.0 if x == c else CHANGED)
+                if kind not in after or s > after[kind] + 1e-9:
+                    after[kind], came[kind] = s, (last, x)
+        layer = after
+        back.append(came)
+    at = max(layer, key=lambda k: layer[k])
+    out = []
+    for came in reversed(back):
+        at, x = came[at]
+        out.append(x)
+    return "".join(reversed(out))
 
 
 def plain(text: str | None, model: PairModel) -> str | None:
@@ -198,9 +230,13 @@ def plain(text: str | None, model: PairModel) -> str | None:
     if text.isascii():
         return text
     out, last = [], 0
-    for a, b in words(text):
+    spans = list(words(text))
+    # Beside words of another script a word of ASCII letters that all have doubles may be one of theirs.
+    others = any(_script(c) in "GC" for a, b in spans if not text[a:b].isascii() for c in text[a:b] if _script(c))
+    for a, b in spans:
         word = text[a:b]
-        out += [text[last:a], word if word.isascii() else _best_word(word, model)]
+        sure = word.isascii() and not (others and len(word) > 2 and all(c in _doubles() for c in word))
+        out += [text[last:a], word if sure else _best_word(word, model)]
         last = b
     return _kana("".join([*out, text[last:]]))
 

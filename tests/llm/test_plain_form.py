@@ -45,3 +45,16 @@ def test_records(spark):
     assert P.disguised_fields(df.limit(0)).count() == 0
     out = P.plain_form(df, ["unit"])
     assert out.count() == len(rows) + 2 and {r.unit_plain for r in out.collect()} == {"g/L", None}
+
+
+def test_kana_by_their_lattice():
+    assert [P._kana(t) for t in ("力ルシウム", "二トロ", "ニ酸化炭素", "第ー", "トロンボ一ス", "カ", "力", "ヘモグロビン", "へモグロビン", "へや", "口 ロ", "ニ口ト", "カ月")] == ["カルシウム", "ニトロ", "二酸化炭素", "第一", "トロンボース", "カ", "力", "ヘモグロビン", "ヘモグロビン", "へや", "口 ロ", "ニロト", "力月"]
+    assert P._kana("ア" * 50_000 + "力") == "ア" * 50_000 + "カ" and P._kana("") == ""
+
+
+def test_ascii_words_beside_words_of_another_script():
+    into = Counter()
+    for w, n in (("сахар", 40), ("крови", 40), ("глюкоза", 30), ("sugar", 40), ("blood", 40), ("extra", 20)):
+        P.pair_counts(w, n, into)
+    model = P.PairModel(into)
+    assert P.plain("caxap крови", model) == "сахар крови" and P.plain("caxap", model) == "caxap" and P.plain("pH крови", model) == "pH крови"
