@@ -140,7 +140,7 @@ def consensus(labels: DataFrame, classes: Sequence[str] = CLASSES, *, rounds: in
     held = _Labels(cut_by(counted, "item"), None)
     hot = stored(held.usual.groupBy("item").count().filter(F.col("count") > HOT).select("item"))
     if not hot.isEmpty():
-        held = _Labels(cut_by(held.usual.join(hot, "item", "left_anti"), "item"), cut(held.usual.join(hot, "item", "left_semi").repartition()))
+        held = _Labels(cut_by(held.usual.join(hot, "item", "left_anti"), "item"), cut(held.usual.join(hot, "item", "left_semi").repartition("item", "annotator")))
     whole = held.usual if held.hot is None else held.usual.unionByName(held.hot)
     by_class = {r.label: r.n for r in whole.groupBy("label").agg(F.sum("n").alias("n")).collect()}
     total = sum(by_class.values()) or 1.0
