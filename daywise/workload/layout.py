@@ -178,7 +178,7 @@ d AS (SELECT *, list_filter(ahead, lambda x: x.ref > result.ref) AS rest FROM b)
 e AS (SELECT *, list_filter(rest, lambda x: x.unit IS NOT NULL)[1] AS u, list_filter(rest, lambda x: x.span IS NOT NULL AND x.unit IS NULL)[1] AS bs, list_filter(rest, lambda x: x.span IS NOT NULL)[1] AS sp FROM d),
 f AS (SELECT *, CASE WHEN result.unit IS NULL AND NOT (bs IS NOT NULL AND (u IS NULL OR bs.ref < u.ref)) THEN u END AS unit_row FROM e),
 h AS (SELECT *, CASE WHEN result.unit IS NOT NULL THEN sp WHEN unit_row IS NULL THEN bs ELSE list_filter(rest, lambda x: x.span IS NOT NULL AND x.ref > unit_row.ref)[1] END AS range_row, coalesce(result.unit, unit_row.unit) AS shown FROM f),
-i AS (SELECT *, CASE lower(regexp_replace(shown, '\s+', '', 'g')) WHEN 'g/dl' THEN 'g/dL' WHEN 'g/l' THEN 'g/L' WHEN 'mg/dl' THEN 'mg/dL' WHEN 'mg/l' THEN 'mg/L' ELSE shown END AS unit, CASE WHEN named THEN line_index END AS project_ref, CASE WHEN result.unit IS NOT NULL THEN result.ref ELSE unit_row.ref END AS unit_ref FROM h)
+i AS (SELECT *, CASE lower(regexp_replace(shown, '\\s+', '', 'g')) WHEN 'g/dl' THEN 'g/dL' WHEN 'g/l' THEN 'g/L' WHEN 'mg/dl' THEN 'mg/dL' WHEN 'mg/l' THEN 'mg/L' ELSE shown END AS unit, CASE WHEN named THEN line_index END AS project_ref, CASE WHEN result.unit IS NOT NULL THEN result.ref ELSE unit_row.ref END AS unit_ref FROM h)
 SELECT i.document_token, i.page_number, i.line_index, CASE WHEN i.named THEN i.text END AS project_name, project_ref, result.ref AS result_ref, result.value AS value, unit, unit_ref, range_row.span AS reference_interval, range_row.ref AS reference_ref,
   collection_ref, cc.day AS collection_time, CASE WHEN cc.day IS NOT NULL THEN 'day' END AS collection_precision, report_ref, rr.day AS report_time, CASE WHEN rr.day IS NOT NULL THEN 'day' END AS report_precision,
   CASE WHEN i.named THEN substr(sha256(concat_ws('|', i.document_token, i.page_number, project_ref, coalesce(CAST(result.ref AS VARCHAR), 'None'))), 1, 16) END AS record_id, CASE WHEN i.named THEN 'explicit' ELSE 'invalid_task' END AS identity_status,
