@@ -7,6 +7,7 @@ files speak of.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -107,6 +108,7 @@ def name_parts(name: str) -> list[str]:
     return [p.lower() for p in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_A-Za-z]+", name)]
 
 
+@functools.lru_cache(maxsize=100_000)  # names are few beside the files that use them
 def name_likeness(a: str, b: str) -> float:
     """1 for names of the same words in any order and joining, else the Dice share of their letter triples and words."""
     pa, pb = name_parts(a), name_parts(b)
