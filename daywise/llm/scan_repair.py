@@ -27,6 +27,8 @@ LEAST_LINES = 3
 #: A word is suspect beside one so many times as frequent with the same strokes.
 RATIO, RATIO_HAN = 15, 6
 DIMENSIONS, NEGATIVE = 32, 5
+#: What is found out about a word or an ideograph is kept for at most so many, then forgotten and found anew.
+MOST_KEPT = 500_000
 
 # Letters as the strokes a scanner sees; words of equal strokes are plausible misreadings of each other.
 STROKES = {
@@ -71,22 +73,44 @@ _UNIT_TAIL = re.compile(r"(?<=[\dOolISsZzBb])(?:[munμ]?mol|[munμk]?g|k?U|m?Eq)
 _ASCII_TOKEN = re.compile(r"[!-~µμ°²³äöüÄÖÜßé]+")
 
 
-def tokens(text: str) -> list[str]:
-    """The words of a line without outer punctuation."""
-    return [w for w in (t.strip(_EDGE) for t in text.split()) if w]
+class _Bare(dict):
+    """Words without outer punctuation, each stripped once."""
+
+    def __missing__(self, word: str) -> str:
+        bare = self[word] = word.strip(_EDGE)
+        return bare
+
+
+def _has_han(text: str) -> bool:
+    return not text.isascii() and _HAN.search(text) is not None
+
+
+@lru_cache(maxsize=1)
+def _doubled() -> re.Pattern[str]:
+    """Any ideograph with doubles."""
+    return re.compile(f"[{''.join(_han())}]")
+
+
+def han_places(text: str) -> Iterator[tuple[int, str]]:
+    """For each ideograph with doubles its place, and itself between what stands on both sides."""
+    n = len(text)
+    for m in _doubled().finditer(text):
+        i = m.start()
+        a = text[i - 1] if i else "^"
+        b = text[i + 1] if i + 1 < n else "$"
+        a = a if _is_han(a) or a == "^" else "|"
+        b = b if _is_han(b) or b == "$" else "|"
+        yield i, f"{a}{text[i]}{b}"
+
+
+def _grams(place: str) -> tuple[str, str, str]:
+    """The grams of an ideograph in its surroundings: both sides, left, right."""
+    return f"\x01{place}", f"\x02{place[:2]}", f"\x03{place[1:]}"
 
 
 def han_grams(text: str) -> Iterator[tuple[int, str, str, str]]:
     """For each ideograph with doubles its place and what stands around it: both sides, left, right."""
-    doubles = _han()
-    n = len(text)
-    for i, c in enumerate(text):
-        if c in doubles:
-            a = text[i - 1] if i else "^"
-            b = text[i + 1] if i + 1 < n else "$"
-            a = a if _is_han(a) or a == "^" else "|"
-            b = b if _is_han(b) or b == "$" else "|"
-            yield i, f"\x01{a}{c}{b}", f"\x02{a}{c}", f"\x03{c}{b}"
+    return ((i, *_grams(place)) for i, place in han_places(text))
 
 
 @lru_cache(maxsize=200_000)
@@ -98,29 +122,36 @@ def _han_class(gram: str) -> str:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words: Counter = Counter()
     pairs: Counter = Counter()
+    places: Counter = Counter()
+    bare = _Bare()
     for batch in batches:
+        # The words of all lines in a row, an empty one after each line.
+        row: list[str] = []
         for text in batch["text"]:
             if not text:
                 continue
-            if _HAN.search(text):
-                for _, *grams in han_grams(text):
-                    words.update(grams)
+            if _has_han(text):
+                places.update([place for _, place in han_places(text)])
                 continue
-            line = tokens(text)
-            if not line:
-                continue
-            words.update(line)
-            if len(line) > 1:
-                pairs.update(zip(line, line[1:]))
-        if len(words) + len(pairs) > 1_000_000:
-            yield _counted(words, pairs)
-            words, pairs = Counter(), Counter()
-    yield _counted(words, pairs)
-
-
-def _counted(words: Counter, pairs: Counter) -> pd.DataFrame:
-    rows = [(w, "", n) for w, n in words.items()] + [(a, b, n) for (a, b), n in pairs.items()]
-    return pd.DataFrame(rows, columns=["a", "b", "n"])
+            row.extend(filter(None, map(bare.__getitem__, text.split())))
+            row.append("")
+        words.update(row)
+        pairs.update(zip(row, row[1:]))
+        if len(words) + len(pairs) + len(places) > 1_000_000:
+            yield _counted(words, pairs, places)
+            words, pairs, places = Counter(), Counter(), Counter()
+        if len(bare) > 1_000_000:
+            bare.clear()
+    yield _counted(words, pairs, places)
+
+
+def _counted(words: Counter, pairs: Counter, places: Counter) -> pd.DataFrame:
+    words.pop("", None)
+    for place, n in places.items():
+        for gram in _grams(place):
+            words[gram] += n
+    near = [(a, b) for a, b in pairs if a and b]
+    return pd.DataFrame({"a": [*words, *(a for a, _ in near)], "b": [""] * len(words) + [b for _, b in near], "n": [*words.values(), *(pairs[p] for p in near)]}).astype({"n": "int64"})
 
 
 class Language(NamedTuple):
@@ -131,6 +162,11 @@ class Language(NamedTuple):
     doubles: dict[str, list[str]]
     suspects: dict[str, list[str]]
     least: int
+    #: Found on the way: words as they stand in lines that are no misreading whatever is around them, what words are
+    #: corrected to between their neighbours, and what ideographs are.
+    sure: set[str]
+    corrected: dict[tuple[str, str, str], str | None]
+    read: dict[str, str | None]
 
 
 @lru_cache(maxsize=500_000)
@@ -219,7 +255,7 @@ def doubles_of(counts: dict[str, int], vectors: dict[str, np.ndarray], least: in
             if mates:
                 suspects[w] = mates
         doubles[key] = [w for w in right if w not in suspects]
-    return Language(counts, vectors, doubles, suspects, least)
+    return Language(counts, vectors, doubles, suspects, least, set(), {}, {})
 
 
 def _affinity(word: str, left: str, right: str, known: Language) -> float | None:
@@ -231,29 +267,32 @@ def _affinity(word: str, left: str, right: str, known: Language) -> float | None
     return float(sum(v @ _sign(c) for c in near)) / (DIMENSIONS * len(near))
 
 
-def correct_word(word: str, left: str, right: str, known: Language) -> str | None:
-    """The frequent word that ``word`` is a misreading of, in its context; None if it stands as it is."""
+def _mates(word: str, known: Language) -> list[str] | None:
+    """The frequent words that ``word`` may be a misreading of."""
     if len(word) < 2 or not any(c.isalpha() for c in word):
         return None
-    own = known.counts.get(word, 0)
-    if own:
-        mates = known.suspects.get(word)
-    else:
-        mates = [f for f in known.doubles.get(strokes(word), ()) if f.lower() != word.lower() and known.counts[f] >= known.least * 2]
+    if known.counts.get(word, 0):
+        return known.suspects.get(word)
+    return [f for f in known.doubles.get(strokes(word), ()) if f.lower() != word.lower() and known.counts[f] >= known.least * 2]
+
+
+def correct_word(word: str, left: str, right: str, known: Language) -> str | None:
+    """The frequent word that ``word`` is a misreading of, in its context; None if it stands as it is."""
+    mates = _mates(word, known)
     if not mates:
         return None
-    odd = any(c in "0123456789@!|$" for c in word)
-    scored = []
-    for f in mates:
-        # Casing of the first letter is read rightly more often than not.
-        same_case = f[:1].isupper() == word[:1].isupper() or not word[:1].isalpha()
-        fit = _affinity(f, left, right, known)
-        scored.append(((fit if fit is not None else 0.0) + 0.5 * same_case + 0.05 * np.log(known.counts[f]), fit, f))
-    scored.sort(key=lambda x: (-x[0], x[2]))
-    _, fit, best = scored[0]
-    if not odd and len(word) < 6:
-        # Short words of equal strokes may both be right: the frequent one must go with the neighbours.
-        if fit is None or fit < (0.1 if len(word) > 3 else 0.3):
+    # Short words of equal strokes may both be right: the frequent one must go with the neighbours.
+    short = len(word) < 6 and not any(c in "0123456789@!|$" for c in word)
+    best = mates[0]
+    if short or len(mates) > 1:
+        scored = []
+        for f in mates:
+            # Casing of the first letter is read rightly more often than not.
+            same_case = f[:1].isupper() == word[:1].isupper() or not word[:1].isalpha()
+            fit = _affinity(f, left, right, known)
+            scored.append(((fit if fit is not None else 0.0) + 0.5 * same_case + 0.05 * math.log(known.counts[f]), fit, f))
+        _, fit, best = min(scored, key=lambda x: (-x[0], x[2]))
+        if short and (fit is None or fit < (0.1 if len(word) > 3 else 0.3)):
             return None
     # Strokes of both cases are alike: the case that was read stays where the letter is the same.
     if best[0] != word[0] and best[0].lower() == word[0].lower():
@@ -264,24 +303,35 @@ def correct_word(word: str, left: str, right: str, known: Language) -> str | Non
 def wrong_han(text: str, known: Language) -> list[tuple[int, str]]:
     """Places of misread ideographs and the right ones, by the counts of their surroundings."""
     out = []
-    counts = known.counts
-    for i, *grams in han_grams(text):
-        c = text[i]
-        votes: Counter = Counter()
-        for weight, gram, at in zip((2, 1, 1), grams, (2, 2, 1)):
-            own = counts.get(gram, 0)
-            best = next((f for f in known.doubles.get(_han_class(gram), ()) if f[at] != c and counts[f] >= max(RATIO_HAN * own, known.least)), None)
-            if best is not None:
-                votes[best[at]] += weight
-            elif own:
-                votes[c] += weight
-        if votes:
-            top, n = votes.most_common(1)[0]
-            if top != c and n >= 2 and n > votes.get(c, 0):
-                out.append((i, top))
+    read = known.read
+    for i, place in han_places(text):
+        if place not in read:
+            if len(read) > MOST_KEPT:
+                read.clear()
+            read[place] = _right_han(place, known)
+        if read[place] is not None:
+            out.append((i, read[place]))
     return out
 
 
+def _right_han(place: str, known: Language) -> str | None:
+    """The ideograph that the one between its neighbours is a misreading of; None if it stands as it is."""
+    counts = known.counts
+    c = place[1]
+    votes: Counter = Counter()
+    for weight, gram, at in zip((2, 1, 1), _grams(place), (2, 2, 1)):
+        own = counts.get(gram, 0)
+        best = next((f for f in known.doubles.get(_han_class(gram), ()) if f[at] != c and counts[f] >= max(RATIO_HAN * own, known.least)), None)
+        if best is not None:
+            votes[best[at]] += weight
+        elif own:
+            votes[c] += weight
+    if not votes:
+        return None
+    top, n = votes.most_common(1)[0]
+    return top if top != c and n >= 2 and n > votes.get(c, 0) else None
+
+
 def misread_number(token: str, alone: bool) -> bool:
     """Whether a token is a number with a letter for a digit."""
     if not _NUMBER.match(token):
@@ -298,7 +348,7 @@ def line_faults(text: str, after: str | None, before: str | None, known: Languag
 
     ``before`` and ``after`` are the body lines around it.
     """
-    if _HAN.search(text):
+    if _has_han(text):
         faults = [(i, i + 1, c) for i, c in wrong_han(text, known)]
         for m in _ASCII_TOKEN.finditer(text):
             t = _UNIT_TAIL.sub("", m.group().strip(_EDGE))
@@ -306,44 +356,71 @@ def line_faults(text: str, after: str | None, before: str | None, known: Languag
                 at = m.start() + m.group().index(t)
                 faults.append((at, at + len(t), "".join(AS_DIGIT.get(c, c) for c in t)))
         return False, sorted(faults)
-    counts, suspects = known.counts, known.suspects
     words = text.split()
     if not words:
         return False, []
-    broken = goes_on(text, after, known)
+    broken = after is not None and goes_on(text, after, known)
     carried = _last_part(before) if before is not None and goes_on(before, text, known) else ""
+    sure, corrected = known.sure, known.corrected
+    if not broken and not carried and sure.issuperset(words):
+        return False, []
     faults: list[tuple[int, int, str]] = []
     last = len(words) - 1
-    at = 0
     for i, raw in enumerate(words):
-        w = raw if raw in counts else raw.strip(_EDGE)
-        at = text.index(raw, at)
-        if w and (w not in counts or w in suspects or i == 0 and carried or i == last and broken):
-            start = at + raw.index(w)
-            head, tail = "", ""
-            if i == last and broken:
-                w = w.rstrip(HYPHENS)
-                tail = _first_part(after)
-            if i == 0 and carried:
-                head = carried
-            whole = head + w + tail
-            if not w or "@" in w.strip("@") and re.search(r"@[\w-]+\.\w", w):
-                at += len(raw)
-                continue
-            if misread_number(whole, len(words) == 1) and whole not in counts:
-                faults.append((start, start + len(w), "".join(AS_DIGIT.get(c, c) for c in w)))
-            else:
-                left = words[i - 1].strip(_EDGE) if i else ""
-                right = words[i + 1].strip(_EDGE) if i < last else ""
-                best = correct_word(whole, left, right, known)
-                if best is not None:
-                    part = _own_part(whole, best, len(head), len(head) + len(w))
-                    if part is not None:
-                        faults.append((start, start + len(w), part))
-        at += len(raw)
+        head, tail = carried if i == 0 else "", ""
+        ends = i == last and broken
+        if not head and not ends and (raw in sure or _is_sure(raw, known)):
+            continue
+        w = raw if raw in known.counts else raw.strip(_EDGE)
+        if not w:
+            continue
+        start = raw.index(w)
+        if ends:
+            w = w.rstrip(HYPHENS)
+            tail = _first_part(after)
+        whole = head + w + tail
+        if not w or _is_address(w):
+            continue
+        if misread_number(whole, len(words) == 1) and whole not in known.counts:
+            right = "".join(AS_DIGIT.get(c, c) for c in w)
+        else:
+            case = whole, words[i - 1] if i else "", words[i + 1] if i < last else ""
+            if case not in corrected:
+                if len(corrected) > MOST_KEPT:
+                    corrected.clear()
+                corrected[case] = correct_word(whole, case[1].strip(_EDGE), case[2].strip(_EDGE), known)
+            best = corrected[case]
+            right = None if best is None else _own_part(whole, best, len(head), len(head) + len(w))
+        if right is not None:
+            start += _start(text, words, i)
+            faults.append((start, start + len(w), right))
     return broken, faults
 
 
+def _is_address(word: str) -> bool:
+    return "@" in word.strip("@") and re.search(r"@[\w-]+\.\w", word) is not None
+
+
+def _is_sure(raw: str, known: Language) -> bool:
+    """Whether a whole word, as it stands in a line, is no misreading whatever is around it."""
+    w = raw if raw in known.counts else raw.strip(_EDGE)
+    if w and (w in known.suspects or w not in known.counts and not _is_address(w) and (misread_number(w, True) or _mates(w, known))):
+        return False
+    if len(known.sure) > MOST_KEPT:
+        known.sure.clear()
+    known.sure.add(raw)
+    return True
+
+
+def _start(text: str, words: list[str], i: int) -> int:
+    """Where the word of this number begins in its line."""
+    at = 0
+    for raw in words[:i]:
+        at = text.index(raw, at) + len(raw)
+    return text.index(words[i], at)
+
+
+@lru_cache(maxsize=200_000)
 def _own_part(wrong: str, right: str, a: int, b: int) -> str | None:
     """The part of ``right`` for ``wrong[a:b]``; None if the two differ only outside that part."""
     ends = [0]
@@ -403,58 +480,82 @@ _ROMAN = ["", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x", "xi",
 
 
 def _page_said(text: Column) -> Column:
-    """The number that a line of nothing else names, as text; null for other lines."""
+    """The number that a line of nothing else names, as text; null or empty for other lines."""
     a, b = (F.regexp_extract(text, p, 1) for p in PAGE_LINE)
-    return F.when(F.length(text) <= 30, F.nullif(F.concat(a, b), F.lit("")))
+    return F.when(F.length(text) <= 30, F.concat(a, b))
 
 
 def _like(text: Column) -> Column:
     """What lines of one kind share: the strokes of the part before a wide gap, without numbers and space."""
     base = F.lower(F.regexp_replace(F.substring_index(F.trim(text), "  ", 1), r"\d(?<![\p{L}\d]\d)\d*+(?!\p{L})", ""))
-    singles = {k: v for k, v in STROKES.items() if len(v) == 1} | {c: r[0] for r in HAN_CLASSES for c in r[1:]}
+    singles = {k: v for k, v in STROKES.items() if len(v) == 1} | {"ü": "u"} | {c: r[0] for r in HAN_CLASSES for c in r[1:]}
     # Characters without a double in the second list, which are white space, are taken out.
     base = F.translate(base, "".join(singles) + " \t\n\r\x0b\x0c", "".join(singles.values()))
-    for a, b in (("m", "rri"), ("w", "vv"), ("d", "ci"), ("u", "ii"), ("ü", "ii"), ("n", "ri")):
+    for a, b in (("m", "rri"), ("w", "vv"), ("d", "ci"), ("u", "ii"), ("n", "ri")):
         base = F.replace(base, F.lit(a), F.lit(b))
     return base
 
 
 def _placed(lines: DataFrame) -> DataFrame:
-    """Each line once with its place: whether it is among the first or last two lines of its page."""
-    one = lines.select("document_token", F.col("line_index").cast("int").alias("line_index"), F.col("page_number").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
-    one = one.repartition("document_token").groupBy("document_token", "line_index").agg(F.max(F.struct("text", "page")).alias("v")).select("document_token", "line_index", "v.text", "v.page")
-    order = Window.partitionBy("document_token").orderBy("line_index")
-    other = lambda f, k: ~f("page", k).over(order).eqNullSafe(F.col("page"))
-    top, bottom = other(F.lag, 1) | other(F.lag, 2), other(F.lead, 1) | other(F.lead, 2)
-    return one.withColumns({"edge": F.when(top, F.lit(1)).when(bottom, F.lit(2)).otherwise(F.lit(0)), "outer": other(F.lag, 1) | other(F.lead, 1)})
+    """Each line once with its place: whether it is among the first or last two lines of its page.
+
+    ``doc`` stands for the document's token; as it is never null, a join by it moves no line again.
+    """
+    doc = F.coalesce(F.concat(F.lit("="), "document_token"), F.lit(""))
+    one = lines.select(doc.alias("doc"), F.col("line_index").cast("int").alias("line_index"), F.col("page_number").cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text")).repartition("doc")
+    greatest = Window.partitionBy("doc").orderBy("line_index", F.desc("text"), F.desc("page"))
+    one = one.withColumns({"no": F.row_number().over(greatest), "last": F.lag("line_index").over(greatest)}).filter((F.col("no") == 1) | ~F.col("last").eqNullSafe(F.col("line_index"))).drop("no", "last")
+    order = Window.partitionBy("doc").orderBy("line_index")
+    at = {"a2": F.lag("page", 2), "a1": F.lag("page", 1), "b1": F.lead("page", 1), "b2": F.lead("page", 2)}
+    one = one.withColumns({k: f.over(order) for k, f in at.items()})
+    other = {k: ~F.col(k).eqNullSafe(F.col("page")) for k in at}
+    edge = F.when(other["a1"] | other["a2"], F.lit(1)).when(other["b1"] | other["b2"], F.lit(2)).otherwise(F.lit(0))
+    return one.select("doc", "line_index", "text", "page", edge.alias("edge"), (other["a1"] | other["b1"]).alias("outer"), other["a1"].alias("first"))
+
+
+def _place_like(edge: Column, like: Column) -> Column:
+    return F.concat(edge.cast("string"), like)
 
 
 def _line_kinds(placed: DataFrame) -> DataFrame:
-    """``document_token, at_edge_of``: of each document the likes of its edge lines that are frequent over all lines, and whether they stand at page edges.
+    """``doc, running_of``: of each document the edges and likes of lines that may be running lines, and whether it repeats them there.
 
-    Only likes that can be running lines (four characters) are counted and joined, by an ordinary join of one row per
-    document and like. A document's map is bounded by its pages.
+    A like that is frequent over all lines must stand at page edges; one that is not counts where its document repeats
+    it. Only likes that can be running lines (four characters) are joined, by an ordinary join of one row per document,
+    edge and like. A document's map is bounded by its pages.
     """
     edge = F.col("edge") > 0
-    seen = placed.select(_like(F.col("text")).alias("like"), edge.alias("edge"), F.when(edge, F.col("document_token")).alias("document_token")).filter(F.length("like") >= 4)
-    # Both sides of the join read this one aggregate; their filters are on counts so that its exchange is shared.
-    cells = seen.groupBy("like", "edge", "document_token").agg(F.count(F.lit(1)).alias("n"), F.count_if("edge").alias("edges"))
-    by = cells.groupBy("like").agg(F.sum("n").alias("all"), F.sum("edges").alias("at_edges")).filter(F.col("all") >= LEAST_LINES)
-    kinds = by.select("like", (F.col("at_edges") >= 0.8 * F.col("all")).alias("at_edge"))
-    own = cells.filter("edges = n").select("document_token", "like")
-    return own.join(kinds, "like").groupBy("document_token").agg(F.map_from_entries(F.collect_list(F.struct("like", "at_edge"))).alias("at_edge_of"))
+    seen = placed.select(_like(F.col("text")).alias("like"), "edge", F.when(edge, F.col("doc")).otherwise(F.lit("-")).alias("doc"))
+    # Both sides of the join read this one aggregate: their filters are on counts and ``doc`` is never null, so that its
+    # exchange is shared, and no filter on likes makes them a second time for each line.
+    cells = seen.groupBy("like", "edge", "doc").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("edge") > 0).alias("edges"))
+    by = cells.groupBy("like").agg(F.sum("n").alias("all"), F.sum("edges").alias("at_edges"))
+    frequent = F.col("all") >= LEAST_LINES
+    kinds = by.filter((F.col("at_edges") > 0) & (~frequent | (F.col("at_edges") >= 0.8 * F.col("all"))) & (F.when(F.col("all") > 0, F.length("like")) >= 4)).select("like", frequent.alias("frequent"))
+    own = cells.filter("edges = n").join(kinds, "like").filter("frequent or n >= 2")
+    return own.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct(_place_like(F.col("edge"), F.col("like")), F.col("n") >= 2))).alias("running_of"))
 
 
 _FAULTS = "broken boolean, misread boolean, fixed string"
 
 
-def _repaired(text: str, after: str | None, before: str | None, known: Language) -> tuple[bool, bool, str]:
+def _repaired(text: str, after: str | None, before: str | None, known: Language) -> tuple[bool, bool, str | None]:
     broken, faults = line_faults(text, after, before, known)
+    if not faults:
+        return broken, False, None
     out, last = [], 0
     for a, b, right in faults:
         out += [text[last:a], right]
         last = b
-    return broken, bool(faults), "".join([*out, text[last:]])
+    return broken, True, "".join([*out, text[last:]])
+
+
+#: Python's white space: a line that ends in none of it nor in a hyphen is not broken, whatever comes next.
+_SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _may_go_on(text: Column) -> Column:
+    return F.substring(text, -1, 1).isin(*HYPHENS, *_SPACE)
 
 
 def repaired_lines(lines: DataFrame) -> DataFrame:
@@ -470,28 +571,26 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
     """
     learned = learn(lines)
     placed = _placed(lines)
-    doc = Window.partitionBy("document_token")
-    order = doc.orderBy("line_index")
+    doc = Window.partitionBy("doc")
     text = F.col("text")
     numbered = placed.withColumn("said", F.when(F.col("edge") > 0, _page_said(F.trim(text))))
-    said = F.col("said")
+    said = F.nullif(F.col("said"), F.lit(""))
     number = F.translate(said, "".join(AS_DIGIT), "".join(AS_DIGIT.values())).try_cast("int")
     roman = F.try_element_at(F.array(*[F.lit(r) for r in _ROMAN[1:]]), F.greatest(F.col("page"), F.lit(1)))
     named = (F.col("edge") > 0) & said.isNotNull() & ((number == F.col("page")) | (F.translate(said, "lI1!|", "iiiii") == F.translate(roman, "l", "i")))
     bare = F.trim(text) == said
-    marked = numbered.withColumns({"like": F.when(F.col("edge") > 0, _like(text)), "named": F.coalesce(named & ~bare, F.lit(False)), "bare": F.coalesce(named & bare, F.lit(False)), "first": ~F.lag("page", 1).over(order).eqNullSafe(F.col("page"))})
+    marked = numbered.withColumns({"place": F.when(F.col("edge") > 0, _place_like(F.col("edge"), _like(text))), "named": F.coalesce(named & ~bare, F.lit(False)), "bare": F.coalesce(named & bare, F.lit(False))})
     marked = marked.withColumns({"pages": F.count_if(F.col("first")).over(doc), "bares": F.count_if(F.col("bare")).over(doc)})
     page_number = F.col("named") | F.col("bare") & F.when(F.col("pages") == 1, F.col("outer")).otherwise(F.col("bares") >= 0.5 * F.col("pages"))
-    again = F.count(F.lit(1)).over(Window.partitionBy("document_token", "edge", "like"))
-    marked = marked.withColumn("again", F.when(F.col("edge") > 0, again)).join(_line_kinds(placed).withColumnRenamed("document_token", "of"), F.col("document_token").eqNullSafe(F.col("of")), "left")
-    marked = marked.withColumn("at_edge", F.when(F.col("edge") > 0, F.try_element_at("at_edge_of", F.col("like"))))
-    repeated = (F.col("again") >= 2) & F.coalesce("at_edge", F.lit(True)) & (F.length("like") >= 4)
-    running = (F.col("edge") > 0) & (repeated | F.coalesce("at_edge", F.lit(False)) & (F.col("pages") > 1) & (F.length("like") >= 4))
+    marked = marked.join(_line_kinds(placed), "doc", "left")
+    repeated = F.when(F.col("edge") > 0, F.try_element_at("running_of", F.col("place")))
+    running = repeated | repeated.isNotNull() & (F.col("pages") > 1)
     furniture = F.when(page_number, "page_number").when(F.coalesce(running, F.lit(False)), "running_line")
-    marked = marked.select("document_token", "line_index", "text", furniture.alias("furniture")).withColumn("body", F.when(F.col("furniture").isNull(), text))
-    reach = range(1, 6)  # at most two foot and two head lines stand between neighbours
-    near = {"before": F.coalesce(*[F.lag("body", k).over(order) for k in reach]), "after": F.coalesce(*[F.lead("body", k).over(order) for k in reach])}
-    ready = marked.withColumns(near)
+    marked = marked.select("doc", "line_index", "text", furniture.alias("furniture")).withColumn("body", F.when(F.col("furniture").isNull(), text))
+    # The body lines around a line, however much furniture or how many pages of nothing else stand between.
+    near = marked.withColumns({n: F.expr(f"{f}(body) ignore nulls over (partition by doc order by line_index)") for n, f in (("before", "lag"), ("after", "lead"))})
+    token = F.when(F.col("doc") != "", F.expr("substring(doc, 2)")).alias("document_token")
+    ready = near.select(token, "line_index", "text", "furniture", "body", *[F.when(F.col("body").isNotNull() & _may_go_on(F.col(c)), F.col(n)).alias(n) for c, n in (("body", "after"), ("before", "before"))])
     if learned.vocabulary.limit(MOST_WORDS + 1).count() > MOST_WORDS:
         return _by_slices(ready, learned)
     known = as_language((r.word, r.n, r.v) for r in learned.vocabulary.select("word", "n", "v").toLocalIterator())
@@ -501,17 +600,28 @@ def repaired_lines(lines: DataFrame) -> DataFrame:
         for body, after, before in batches:
             yield _all_repaired(body, after, before, known)
 
-    return ready.withColumn("r", repaired("body", "after", "before")).select("document_token", "line_index", "text", "furniture", "r.*")
+    return _with_text(ready.withColumn("r", repaired("body", "after", "before")).select("document_token", "line_index", "text", "furniture", "r.*"))
+
+
+def _with_text(done: DataFrame) -> DataFrame:
+    """Body lines in which nothing was misread stay as they are."""
+    return done.withColumn("fixed", F.when(F.col("furniture").isNull(), F.coalesce("fixed", "text")))
 
 
 def _all_repaired(body: pd.Series, after: pd.Series, before: pd.Series, known: Language) -> pd.DataFrame:
-    done = [(False, False, None) if t is None else _repaired(t, a, b, known) for t, a, b in zip(body, after, before)]
-    return pd.DataFrame(done, columns=["broken", "misread", "fixed"])
+    n = len(body)
+    broken, misread, fixed = [False] * n, [False] * n, [None] * n
+    sure = known.sure
+    for i, (text, a, b) in enumerate(zip(body, after, before)):
+        # Most lines hold nothing but sure words.
+        if text is not None and not (a is None and b is None and text.isascii() and sure.issuperset(text.split())):
+            broken[i], misread[i], fixed[i] = _repaired(text, a, b, known)
+    return pd.DataFrame({"broken": broken, "misread": misread, "fixed": pd.Series(fixed, dtype=object)})
 
 
 def _asked(text: str, after: str | None) -> set[str]:
     """The keys of every word a line can ask for: its own, and those its last word may be part of."""
-    if _HAN.search(text):
+    if _has_han(text):
         return {_key(g) for _, *grams in han_grams(text) for g in grams} | {strokes(t) for m in _ASCII_TOKEN.finditer(text) for t in (m.group().strip(_EDGE), _UNIT_TAIL.sub("", m.group().strip(_EDGE)))}
     words = text.split()
     out = {strokes(w) for raw in words for w in (raw, raw.strip(_EDGE), raw.rstrip(HYPHENS).strip(_EDGE))}
@@ -552,7 +662,7 @@ def _by_slices(ready: DataFrame, learned: Learned) -> DataFrame:
         done = _all_repaired(none("body"), none("after"), none("before"), known)
         return pd.concat([lines[["document_token", "line_index", "text", "furniture"]].reset_index(drop=True), done], axis=1)
 
-    return dealt.groupBy("slice").cogroup(entries.groupBy("slice")).applyInPandas(repaired, f"document_token string, line_index int, text string, furniture string, {_FAULTS}")
+    return _with_text(dealt.groupBy("slice").cogroup(entries.groupBy("slice")).applyInPandas(repaired, f"document_token string, line_index int, text string, furniture string, {_FAULTS}"))
 
 
 def scan_noise(lines: DataFrame) -> DataFrame:

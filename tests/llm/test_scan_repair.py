@@ -80,3 +80,21 @@ def test_rare_words_do_not_hang_on_size(spark):
         lines = spark.createDataFrame(rows + other, "document_token string, line_index int, page_number int, text string")
         found.append({(r.line_index, r.fixed) for r in S.repaired_lines(lines).filter("misread and document_token = 'r'").collect()})
     assert found[0] == found[1]
+
+
+def test_lines_move_once_and_their_likes_are_made_once(spark):
+    told = S.scan_noise(corpus(spark))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = told.split("\n\n")
+    moved = [x for x in nodes if ") Exchange\n" in x and ("text#" in x or "body#" in x)]
+    assert moved and all("REPARTITION_BY_COL" in x for x in moved)
+    assert not [x for x in nodes if ") Filter" in x and "substring_index" in x]
+
+
+def test_a_word_goes_on_behind_pages_of_furniture(spark):
+    rnd = random.Random(4)
+    rows = [r for d in range(30) for r in document(rnd, f"d{d}")]
+    long = document(rnd, "x", 3, [(6, "the department reported a persis-"), (19, "tent elevation of albumin without clinical")])
+    rows += [r for r in long if not 10 <= r[1] <= 15]  # the second page has no body
+    lines = spark.createDataFrame(rows, "document_token string, line_index int, page_number int, text string")
+    got = {r.line_index: r for r in S.repaired_lines(lines).filter("document_token = 'x'").collect()}
+    assert [i for i in sorted(got) if got[i].furniture] == [0, 7, 8, 9, 16, 17, 18, 25, 26] and got[6].broken and not got[19].misread
