@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import itertools
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -152,6 +153,80 @@ def match_anchors(anchors: DataFrame, component: str = "case_token") -> DataFram
     return sure.unionByName(open_.groupBy(component).applyInPandas(matched, f"{component} string, pred_id string, ref_id string"))
 
 
+def match_through_lines(seen: Iterable[tuple[str, Sequence[str]]]) -> list[tuple[str, str]]:
+    """A largest one-to-one matching of observations (id, lines) with others that share a line, in any order of them.
+
+    Each may be once a predicted and once a reference one. What lines hold is searched, never the pairs they make: all
+    unmatched ones of a line go round in a ring, then augmenting paths from all that are left grow side by side, and
+    a line hands each of its observations out once. Time of a round and memory are in proportion to the lines held.
+    """
+    rows = sorted((i, sorted(set(lines))) for i, lines in seen)
+    members: dict[str, list[int]] = {}
+    for u, (_, lines) in enumerate(rows):
+        for line in lines:
+            members.setdefault(line, []).append(u)
+    to: dict[int, int] = {}
+    of: dict[int, int] = {}
+    for line in sorted(members):
+        alone = [u for u in members[line] if u not in to]
+        if len(alone) > 1:
+            for u, v in zip(alone, alone[1:] + alone[:1]):
+                to[u], of[v] = v, u
+    while True:
+        root = {u: u for u in range(len(rows)) if u not in to}
+        queue, came, done = list(root), {}, set()
+        left = {line: iter(held) for line, held in members.items()}
+        own: dict[str, list[int]] = {}  # who passed itself over on a line; the next one there takes it
+        for u in queue:
+            for line in rows[u][1]:
+                if root[u] in done:
+                    break
+                for v in itertools.chain(own.pop(line, ()), left[line]):
+                    if v == u:
+                        own[line] = [v]
+                    elif v not in came:
+                        came[v] = u
+                        if v not in of:
+                            done.add(root[u])
+                            at: int | None = v
+                            while at is not None:
+                                by = came[at]
+                                of[at], to[by], at = by, at, to.get(by)
+                            break
+                        root[of[v]] = root[u]
+                        queue.append(of[v])
+        if not done:
+            return [(rows[u][0], rows[v][0]) for u, v in sorted(to.items())]
+
+
+def match_observations(observations: DataFrame) -> DataFrame:
+    """``case_token, pred_id, ref_id``: a largest matching of observations with others of their case that share a source line.
+
+    ``observations`` has ``id, case_token, source_refs``, ids once each. The result is as large as that of
+    ``match_anchors`` on all pairs of different ids, but no pair is made, so rows stay in proportion to the source lines
+    however many observations hold one. Observations of the same shared lines are a class. A class that shares its lines
+    with no other goes round in a ring. Of any other, as many as it has lines (at least two) serve all neighbours that may
+    need one, since those on one line need one at most; the rest, at least two, goes round in a ring. Python gets
+    what is left, case by case: a few of each class. Rows without id, case or lines have no match.
+    """
+    held = observations.filter("id is not null and case_token is not null").select("case_token", "id", F.explode(F.array_distinct("source_refs")).alias("ref")).filter("ref is not null")
+    shared = held.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("case_token", "ref"))).filter("n > 1")
+    seen = shared.groupBy("case_token", "id").agg(F.sort_array(F.collect_list("ref")).alias("lines"), F.max("n").alias("most"))
+    among = Window.partitionBy("case_token", "lines")
+    turn = among.orderBy("id")
+    enough = F.greatest(F.lit(2), F.size("lines"))
+    kept = F.when(F.col("n") == F.col("most"), 0).when(F.col("n") > enough + 1, enough).otherwise(F.col("n"))
+    dealt = seen.withColumns({"n": F.count(F.lit(1)).over(among), "k": F.row_number().over(turn)}).withColumn("ring", F.col("k") > kept)
+    ring = dealt.filter("ring").select("case_token", F.col("id").alias("pred_id"), F.coalesce(F.lead("id").over(turn), F.first("id").over(turn)).alias("ref_id"))
+
+    def matched(group: pd.DataFrame) -> pd.DataFrame:
+        pairs = match_through_lines(zip(group["id"], group["lines"]))
+        return pd.DataFrame({"case_token": group["case_token"].iloc[0], "pred_id": [p for p, _ in pairs], "ref_id": [r for _, r in pairs]})
+
+    open_ = dealt.filter("not ring").select("case_token", "id", "lines")
+    return ring.unionByName(open_.groupBy("case_token").applyInPandas(matched, "case_token string, pred_id string, ref_id string"))
+
+
 def field_correct(predicted: DataFrame, reference: DataFrame) -> DataFrame:
     """Fields right over predictions with exactly one anchor: ``aligned, value_ok, unit_ok, sampling_ok, times_ok, joint_ok``.
 

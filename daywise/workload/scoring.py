@@ -40,9 +40,7 @@ def j10_overlap_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j11_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = _observations(spark, sf_dir)
-    anchors = G.overlap_anchors(seen, seen).filter("pred_id <> ref_id").join(seen.select(F.col("id").alias("pred_id"), "case_token"), "pred_id")
-    return G.match_anchors(anchors).groupBy("case_token").agg(F.count(F.lit(1)).alias("matched"))
+    return G.match_observations(_observations(spark, sf_dir)).groupBy("case_token").agg(F.count(F.lit(1)).alias("matched"))
 
 
 def c8_field_correct(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import collections
 import itertools
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from daywise.functions import values as V
 from daywise.operators import scoring as G
+from daywise.workload import scoring as W
 
 
 @settings(max_examples=200, deadline=None)
@@ -29,6 +32,47 @@ def test_match_anchors(spark):
     assert got == {("p1", "r1"), ("p2", "r2"), ("p3", "r3")}
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sets(st.integers(0, 6), max_size=3), max_size=10))
+def test_match_through_lines(held):
+    seen = [(f"o{i}", [f"r{x}" for x in lines]) for i, lines in enumerate(held)]
+    edges = {(a, b) for a, x in seen for b, y in seen if a != b and set(x) & set(y)}
+    got = G.match_through_lines(seen)
+    assert set(got) <= edges and len({a for a, _ in got}) == len({b for _, b in got}) == len(got) == len(G.largest_matching(list(edges)))
+    assert got == G.match_through_lines(seen[::-1])
+
+
+def test_long_chains_of_lines():
+    chain = [(f"o{i:05d}", [f"r{i:05d}", f"r{i + 1:05d}"]) for i in range(3001)]
+    assert len(G.match_through_lines(chain)) == 3000 and len(G.match_through_lines([*chain[:-1], ("o03000", ["r03000", "r00000"])])) == 3001
+    # A hub whose lines lead to one observation each serves one of them only.
+    assert len(G.match_through_lines([("hub", [f"r{i}" for i in range(50)]), *((f"o{i}", [f"r{i}"]) for i in range(50))])) == 2
+
+
+def test_match_observations_as_over_all_pairs(spark):
+    rng = random.Random(7)
+    rows = [(f"o{i:04d}", f"C{rng.randrange(60)}", [f"r{rng.randrange(9)}" for _ in range(rng.choice((0, 1, 1, 1, 2, 3)))]) for i in range(500)]
+    rows += [(f"w{c}-{i:02d}", f"W{c}", [f"r{x}" for x in rng.choice(((1,), (2,), (1, 2), (2, 3), (3, 4, 5), (6, 7), (8,)))]) for c in range(20) for i in range(rng.randrange(2, 30))]
+    rows += [(None, "C1", ["r1"]), ("lost", None, ["r1"]), ("bare", "C1", None), ("blank1", "N", [None]), ("blank2", "N", [None]), ("twice1", "T", ["r1", "r1"]), ("twice2", "T", ["r2"])]
+    df = spark.createDataFrame(rows, "id string, case_token string, source_refs array<string>")
+    pairs = G.overlap_anchors(df, df).filter("pred_id <> ref_id").join(df.select(F.col("id").alias("pred_id"), "case_token"), "pred_id")
+    edges = {(r.case_token, r.pred_id, r.ref_id) for r in pairs.collect()}
+    got = [(r.case_token, r.pred_id, r.ref_id) for r in G.match_observations(df).collect()]
+    assert set(got) <= edges and len({p for _, p, _ in got}) == len({r for _, _, r in got}) == len(got)
+    sizes = lambda some: dict(collections.Counter(c for c, _, _ in some))
+    assert sizes(got) == sizes((r.case_token, r.pred_id, r.ref_id) for r in G.match_anchors(pairs).collect())
+
+
+def test_matching_of_many_observations_on_one_line(spark, tmp_path):
+    """20,000 observations on one line have 400 million pairs; the query makes none of them."""
+    refs = F.when(F.col("id") % 4 == 0, F.array(F.lit("r1"), F.lit("r2"))).when(F.col("id") == 1, F.array(F.lit("r2"))).otherwise(F.array(F.lit("r1")))
+    text = [F.col("id").cast("string").alias(c) for c in ("observation_id", "item", "value", "unit")]
+    spark.range(20_000).select(*text, F.lit("A").alias("case_token"), refs.alias("source_refs"), F.lit("2025-01-01").cast("timestamp").alias("submitted_at"), F.array().cast(ASSERTIONS).alias("time_assertions")).write.parquet(f"{tmp_path}/unified_fixture_submission.parquet")
+    df = W.j11_matching(spark, str(tmp_path))
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in df.collect()] == [("A", 20_000)]
+
+
 def test_whole_sum(spark):
     df = spark.createDataFrame([("a", 1), ("a", None), ("b", 2), ("b", 3)], "k string, x int")
     assert {r.k: r.s for r in df.groupBy("k").agg(G.whole_sum(F.col("x")).alias("s")).collect()} == {"a": None, "b": 5}
